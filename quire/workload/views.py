@@ -57,3 +57,233 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
+
+
+# --- vectors ---------------------------------------------------------------
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored vector, attached to the document with the same number."""
+    docs = library(spark, sf_dir).select(F.col("source_id").alias("vec_id"), "source_type", "content")
+    return table(spark, sf_dir, "embeddings").join(docs, "vec_id", "left").select(
+        F.coalesce("source_type", F.lit("scriptures")).alias("source_type"),
+        F.col("vec_id").alias("source_id"),
+        F.lit("paragraph").alias("layer"),
+        F.coalesce("content", F.lit("")).alias("content"),
+        "embedding",
+        F.lit("driver").alias("model"),
+    )
+
+
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per label: the mean of all its vectors. Odd labels search two sources only."""
+    means = (
+        table(spark, sf_dir, "embeddings")
+        .select("label", F.posexplode("embedding").alias("at", "x"))
+        .groupBy("label", "at")
+        .agg(F.avg("x").alias("mean"))
+        .groupBy("label")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "mean"))).alias("parts"))
+    )
+    return means.select(
+        F.col("label").cast("bigint").alias("query_id"),
+        F.col("parts.mean").cast("array<float>").alias("vector"),
+        F.when(F.col("label") % 2 == 1, F.array(F.lit("talks"), F.lit("books"))).alias("sources"),
+        F.lit(10).alias("limit"),
+    )
+
+
+def every_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit(10).alias("limit")
+    )
+
+
+# --- text with paragraphs ----------------------------------------------------
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines turned into paragraphs."""
+    return library(spark, sf_dir).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
+
+
+def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One verse per line of every document."""
+    at = F.col("at") + 1
+    return documents(spark, sf_dir).select(
+        "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("at", "line")
+    ).select(
+        (F.col("doc_id") * 1_000_000 + at).alias("id"),
+        F.col("lang").alias("volume"),
+        F.col("source").alias("book"),
+        F.col("doc_id").cast("int").alias("chapter"),
+        at.cast("int").alias("verse"),
+        F.concat("source", F.lit(" "), "doc_id", F.lit(":"), at).alias("reference"),
+        F.col("line").alias("text"),
+        F.concat("source", F.lit("/"), "doc_id").alias("file_path"),
+    )
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(
+        F.col("doc_id").alias("id"),
+        F.col("lang").alias("volume"),
+        F.col("source").alias("book"),
+        F.col("doc_id").cast("int").alias("chapter"),
+        F.concat(F.lit("Chapter "), "doc_id").alias("title"),
+        F.col("text").alias("full_content"),
+        F.concat("source", F.lit("/"), "doc_id").alias("file_path"),
+    )
+
+
+# --- citations ---------------------------------------------------------------
+
+# One citation of each form per document; {b} is the book, {c} the chapter.
+CITATION_FORMS = (
+    "{b} {c}:1", "{b} {c}:2-6", "{b} {c}", "{b} {c}:5-2", "{b} {c}:1-51", "{b}  {c}:7a", "nowhere {c}:1",
+    "{b}", "{b} {c}:3–4", "{b} {c}:2-", "{b} {c}:3--2", "{b} {c}:0", " {b} {c}:1-50 ",
+)
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = F.array(*[F.lit(f) for f in CITATION_FORMS])
+    return documents(spark, sf_dir).select(
+        "doc_id", "source", F.posexplode(forms).alias("k", "form")
+    ).select(
+        (F.col("doc_id") * len(CITATION_FORMS) + F.col("k")).alias("request_id"),
+        F.replace(
+            F.replace("form", F.lit("{b}"), F.upper("source")), F.lit("{c}"), F.col("doc_id").cast("string")
+        ).alias("citation"),
+    )
+
+
+def source_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "documents").select("source").distinct()
+    return source.select(F.col("source").alias("alias"), F.col("source").alias("book"))
+
+
+def order_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a request for its seven possible lines."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        F.lit("orders").alias("volume"),
+        F.lit("order").alias("book"),
+        F.col("o_orderkey").cast("int").alias("chapter"),
+        F.explode(F.sequence(F.lit(1), F.lit(7))).alias("verse"),
+    )
+
+
+def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lineitem as an edge from its order line to its part; filled orders cite whole chapters."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.lit("orders").alias("source_volume"),
+        F.lit("order").alias("source_book"),
+        F.col("l_orderkey").cast("int").alias("source_chapter"),
+        F.col("l_linenumber").alias("source_verse"),
+        F.lit("parts").alias("target_volume"),
+        F.lit("part").alias("target_book"),
+        F.col("l_partkey").cast("int").alias("target_chapter"),
+        F.when(F.col("l_linestatus") != "F", F.col("l_linenumber")).alias("target_verse"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("reference_type"),
+    )
+
+
+def part_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.lit("part").alias("book"),
+        F.col("p_partkey").cast("int").alias("chapter"),
+        (F.col("p_size") % 7 + 1).alias("verse"),
+        F.col("p_name").alias("reference"),
+    )
+
+
+# --- files -------------------------------------------------------------------
+
+MTIME = "2024-05-01 00:00:00"
+
+
+def _file(path: Column, content: Column) -> list[Column]:
+    return [
+        path.alias("path"), path.alias("rel_path"), F.lit(MTIME).cast("timestamp").alias("mtime"),
+        F.octet_length(content).cast("bigint").alias("size"), content.alias("content"),
+    ]
+
+
+def scripture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a scripture chapter: numbered verses with a footnote and a link each."""
+    numbered = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.concat(
+            F.lit("**"), i + 1, F.lit(".** "), line,
+            F.lit("<sup>[a](#fn-1)</sup>  [see  here](../x.md)<sup>b</sup>"),
+        ),
+    )
+    content = F.concat(F.lit("# Chapter "), "doc_id", F.lit("\n\n"), F.array_join(numbered, "\n"))
+    path = F.concat(F.lit("eng/scriptures/bofm/"), "source", F.lit("/"), "doc_id", F.lit(".md"))
+    return documents(spark, sf_dir).select("doc_id", *_file(path, content))
+
+
+def talk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a talk: title, audio link, title again, mostly a speaker, then the text."""
+    doc = F.col("doc_id").cast("string")
+    head = F.concat(
+        F.lit("# Talk "), doc, F.lit("\n\n🎧 [Listen to Audio](https://a/"), doc, F.lit(".mp3)\n\n# Talk "), doc,
+        F.lit("\n\n(See "), doc, F.lit(".)\n\n"),
+    )
+    speaker = F.when(F.col("n_chars") % 9 == 0, "").otherwise(
+        F.concat(F.lit("By *Elder* ["), "source", F.lit("](../s.md)\n\n"))
+    )
+    content = F.concat(head, speaker, F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    path = F.concat(
+        F.lit("eng/general-conference/"), F.col("no") + 2000,
+        F.when(F.col("n_chars") % 2 == 0, "/04/").otherwise("/10/"), doc, F.lit(".md"),
+    )
+    return documents(spark, sf_dir).select("doc_id", *_file(path, content))
+
+
+# Path shapes of the mixed tree, by source number; {s} is the source, {d} the document.
+PATH_SHAPES = (
+    "eng/scriptures/bofm/{s}/{d}.md", "eng/general-conference/2001/04/{d}.md", "eng/manual/{s}/a/{d}.md",
+    "eng/scriptures/tg/{d}.md", "eng/scriptures/jst/{s}/{d}.md", "eng/liahona/2020/{d}.md",
+    "eng/scriptures/ot/{s}/intro{d}.md", "eng/general-conference/later/04/{d}.md", "eng/{d}.md",
+    "eng/scriptures/maps/{s}/{d}.md",
+)
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of a tree that mixes all path shapes."""
+    shape = F.get(F.array(*[F.lit(s) for s in PATH_SHAPES]), F.col("no") % len(PATH_SHAPES))
+    path = F.replace(
+        F.replace(shape, F.lit("{s}"), F.col("source")), F.lit("{d}"), F.col("doc_id").cast("string")
+    )
+    return documents(spark, sf_dir).select("doc_id", *_file(path, F.col("text")))
+
+
+def old_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was indexed before: the labelled documents; toxic ones had another size, good ones another time."""
+    files = mixed_files(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    return files.select(
+        F.col("path").alias("file_path"),
+        F.lit("old").alias("content_type"),
+        F.lit(MTIME).cast("timestamp").alias("indexed_at"),
+        F.when(F.col("quality") == 1, F.lit("2024-06-01 00:00:00")).otherwise(F.lit(MTIME)).cast("timestamp").alias("file_mtime"),
+        (F.col("size") + F.col("toxic")).alias("file_size"),
+        F.lit(1).alias("record_count"),
+    )
+
+
+def old_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Talks stored before: the labelled documents, with a carried column and sometimes the right speaker."""
+    stored = talk_files(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").join(
+        documents(spark, sf_dir).select("doc_id", "source"), "doc_id"
+    )
+    return stored.select(
+        F.col("doc_id").alias("id"),
+        F.lit(1999).alias("year"),
+        F.lit("04").alias("month"),
+        F.when(F.col("quality") == 1, F.concat(F.lit("*Elder* "), "source")).otherwise(F.lit("nobody")).alias("speaker"),
+        F.lit("old").alias("title"),
+        F.lit("old").alias("content"),
+        F.col("path").alias("file_path"),
+        F.concat(F.lit("q"), "quality").alias("titsw_dominant"),
+    )
