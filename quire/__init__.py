@@ -1,0 +1,12 @@
+"""Corpus search and lookup as Spark jobs."""
+
+from quire.operators.catalog import listing
+from quire.operators.lookup import get_by_id
+from quire.plans.ingest import backfill_stored_speakers, embed_pending, ingest
+from quire.plans.search import Corpus, resolve, search, unified_corpus, write_term_index
+from quire.streaming.ingest import ingest_stream
+
+__all__ = [
+    "Corpus", "backfill_stored_speakers", "embed_pending", "get_by_id", "ingest", "ingest_stream",
+    "listing", "resolve", "search", "unified_corpus", "write_term_index",
+]
