@@ -77,15 +77,15 @@ def apply_files(state: StateTables, files: DataFrame, now: Column | None = None)
         return routed.filter(F.col("content_type") == kind)
 
     present = {r.content_type for r in routed.select("content_type").distinct().collect()}
-    verses = materialise(extract.extract_verses(of("scriptures")), "verses")
-    talks = materialise(extract.extract_talks(of("talks")), "talks")
     batches = {}
+    verses = talks = None
     if "scriptures" in present:
+        verses = materialise(extract.extract_verses(of("scriptures")), "verses")
         batches["chapters"] = extract.extract_chapters(of("scriptures"))
         # across files the later path wins, within a file the later line
         batches["scriptures"] = verses.withColumn("_order", F.struct("file_path", "line_no"))
     if "talks" in present:
-        batches["talks"] = talks
+        talks = batches["talks"] = materialise(extract.extract_talks(of("talks")), "talks")
     if "manuals" in present:
         batches["manuals"] = extract.extract_manuals(of("manuals"))
     if "books" in present:
@@ -98,14 +98,15 @@ def apply_files(state: StateTables, files: DataFrame, now: Column | None = None)
         summary = summary.unionByName(
             batch.agg(F.lit(name).alias("content_type"), F.lit("rows").alias("outcome"), F.count("*").alias("n"))
         )
-    suspects = extract.quarantine_speakers(talks, now)
-    if not suspects.isEmpty():
-        state.append("speaker_quarantine", suspects)
-    per_file = verses.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("verses"))
-    indexed = routed.select("path", "content_type", "mtime", "size").join(per_file, "path", "left").withColumn(
-        "record_count",
-        F.when(F.col("content_type") == "scriptures", F.coalesce("verses", F.lit(0))).otherwise(1),
-    )
+    if talks is not None:
+        suspects = extract.quarantine_speakers(talks, now)
+        if not suspects.isEmpty():
+            state.append("speaker_quarantine", suspects)
+    indexed = routed.select("path", "content_type", "mtime", "size").withColumn("record_count", F.lit(1))
+    if verses is not None:
+        per_file = verses.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("verses"))
+        in_file = F.when(F.col("content_type") == "scriptures", F.coalesce("verses", F.lit(0))).otherwise(1)
+        indexed = indexed.join(per_file, "path", "left").withColumn("record_count", in_file)
     state.merge("index_metadata", materialise(corpus.manifest_rows(indexed, now), "manifest"), "file_mtime")
     return summary
 

@@ -31,13 +31,12 @@ class StateTables:
         self.parts = parts
 
     def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _stored(self, name: str) -> DataFrame:
-        schema = T.StructType(TABLES[name].fields)
-        if name in UPSERTS:
-            schema = schema.add("part", T.IntegerType())
+        part = [T.StructField("part", T.IntegerType())] if name in UPSERTS else []
+        schema = T.StructType([*TABLES[name].fields, *part])
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
