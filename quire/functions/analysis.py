@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,11 +30,18 @@ ENGLISH_STOP_WORDS = (
 )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(tokens: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stemmed(tokens: pa.Array) -> pa.Array:
+    """Stem the distinct tokens of a batch and put the stems back in place."""
     from quire.functions.stem import stem
 
-    return tokens.map(lambda row: None if row is None else [stem(t) for t in row])
+    flat = tokens.flatten().dictionary_encode()
+    stems = pa.array([stem(t) for t in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+    sizes = np.nan_to_num(pc.list_value_length(tokens).to_numpy(zero_copy_only=False)).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), stems, mask=tokens.is_null() if tokens.null_count else None
+    )
 
 
 @dataclass(frozen=True)

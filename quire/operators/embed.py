@@ -45,15 +45,14 @@ def hashing_embedder(dim: int = 64) -> EmbedFn:
     """Offline stand-in for an embedding model: signed feature hashing of the words."""
 
     def embed(texts: list[str]) -> list:
-        vectors = []
-        for text in texts:
-            vector = np.zeros(dim)
-            for token in _WORD.findall(text.lower()):
-                slot, sign = _slot(token, dim)
-                vector[slot] += sign
-            norm = np.sqrt((vector * vector).sum())
-            vectors.append((vector / norm).astype(np.float32) if norm else vector.astype(np.float32))
-        return vectors
+        words = [_WORD.findall(text.lower()) for text in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        codes, distinct = pd.factorize(np.array([t for w in words for t in w], dtype=object))
+        slots = np.array([_slot(t, dim) for t in distinct], dtype=np.int64).reshape(-1, 2)[codes]
+        sums = np.bincount(owner * dim + slots[:, 0], weights=slots[:, 1], minlength=len(texts) * dim)
+        sums = sums.reshape(len(texts), dim)
+        norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        return list((sums / np.where(norms == 0, 1, norms)).astype(np.float32))
 
     return embed
 

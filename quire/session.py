@@ -56,3 +56,20 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Inputs up to this size may be spread over all cores before costly row work.
+SPREAD_BYTES = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a small input that came in too few blocks.
+
+    A small file is often a single row group, which one task would have to
+    work through alone. Larger inputs keep the partitions of their scan, so
+    this never shuffles more than a fixed amount.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

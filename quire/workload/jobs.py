@@ -79,18 +79,23 @@ def semantic_search_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as a stored table, for searches that pass over them several times."""
+    return materialise(v.vectors(spark, sf_dir), "vectors")
+
+
 @job
 def semantic_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a query, in the cell form."""
     return semantic.semantic_search(
-        v.every_vector(spark, sf_dir), v.vectors(spark, sf_dir), v.library(spark, sf_dir), shared=False
+        v.every_vector(spark, sf_dir), vector_table(spark, sf_dir), v.library(spark, sf_dir), shared=False
     )
 
 
 @job
 def semantic_search_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.semantic_search_approx(
-        v.every_vector(spark, sf_dir), v.vectors(spark, sf_dir), v.library(spark, sf_dir)
+        v.every_vector(spark, sf_dir), vector_table(spark, sf_dir), v.library(spark, sf_dir)
     )
 
 

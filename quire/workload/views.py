@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.schemas import SOURCE_TYPES
+from quire.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("no", _source_no())
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents for jobs that work through the whole text."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id").withColumn("no", _source_no())
+
+
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a row of one of the five source types, chosen by its source."""
     kind = F.col("source_type")
     doc = F.col("doc_id").cast("string")
     month = F.when(F.col("n_chars") % 2 == 0, "04").otherwise("10")
-    typed = documents(spark, sf_dir).withColumn(
+    typed = texts(spark, sf_dir).withColumn(
         "source_type", F.get(F.array(*[F.lit(s) for s in SOURCE_TYPES]), F.col("no") % 5)
     )
     return typed.select(
@@ -110,7 +116,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One verse per line of every document."""
     at = F.col("at") + 1
-    return documents(spark, sf_dir).select(
+    return texts(spark, sf_dir).select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("at", "line")
     ).select(
         (F.col("doc_id") * 1_000_000 + at).alias("id"),
@@ -220,7 +226,7 @@ def scripture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     content = F.concat(F.lit("# Chapter "), "doc_id", F.lit("\n\n"), F.array_join(numbered, "\n"))
     path = F.concat(F.lit("eng/scriptures/bofm/"), "source", F.lit("/"), "doc_id", F.lit(".md"))
-    return documents(spark, sf_dir).select("doc_id", *_file(path, content))
+    return texts(spark, sf_dir).select("doc_id", *_file(path, content))
 
 
 def talk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +244,7 @@ def talk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("eng/general-conference/"), F.col("no") + 2000,
         F.when(F.col("n_chars") % 2 == 0, "/04/").otherwise("/10/"), doc, F.lit(".md"),
     )
-    return documents(spark, sf_dir).select("doc_id", *_file(path, content))
+    return texts(spark, sf_dir).select("doc_id", *_file(path, content))
 
 
 # Path shapes of the mixed tree, by source number; {s} is the source, {d} the document.
@@ -256,7 +262,7 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.replace(
         F.replace(shape, F.lit("{s}"), F.col("source")), F.lit("{d}"), F.col("doc_id").cast("string")
     )
-    return documents(spark, sf_dir).select("doc_id", *_file(path, F.col("text")))
+    return texts(spark, sf_dir).select("doc_id", *_file(path, F.col("text")))
 
 
 def old_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
