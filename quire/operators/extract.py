@@ -26,9 +26,9 @@ LONGEST_SPEAKER_BYTES = 200
 def compose_reference(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Add ``reference``: display name of the book, chapter and verse."""
     if names is None:
-        names = book_names(rows.sparkSession)
-    # the dimension has a fixed number of rows, so this broadcast cannot grow
-    named = rows.join(F.broadcast(names), "book", "left")
+        # the built-in list has a fixed number of rows, so this broadcast cannot grow
+        names = F.broadcast(book_names(rows.sparkSession))
+    named = rows.join(names, "book", "left")
     return named.withColumn(
         "reference",
         F.format_string(
@@ -40,16 +40,21 @@ def compose_reference(rows: DataFrame, names: DataFrame | None = None) -> DataFr
 def extract_verses(routed: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """One row per verse line of each scripture file; needs volume, book, chapter, path, content."""
     marked = F.filter(lines(F.col("content")), lambda line: line.startswith("**"))
-    found = (
-        routed.select("volume", "book", "chapter", F.col("path").alias("file_path"),
-                      F.posexplode(marked).alias("line_no", "line"))
-        .select(
-            "volume", "book", "chapter", "file_path", "line_no",
-            F.regexp_extract("line", VERSE_LINE, 1).try_cast("int").alias("verse"),
-            clean_inline(F.regexp_extract("line", VERSE_LINE, 2)).alias("text"),
-        )
-        .filter(F.col("verse").isNotNull() & (F.col("text") != ""))
+    # parsed and filtered inside the array: a filter on top would run the patterns twice
+    parsed = F.filter(
+        F.transform(
+            marked,
+            lambda line, i: F.struct(
+                i.alias("line_no"),
+                F.regexp_extract(line, VERSE_LINE, 1).try_cast("int").alias("verse"),
+                clean_inline(F.regexp_extract(line, VERSE_LINE, 2)).alias("text"),
+            ),
+        ),
+        lambda v: v.getField("verse").isNotNull() & (v.getField("text") != ""),
     )
+    found = routed.select(
+        "volume", "book", "chapter", F.col("path").alias("file_path"), F.inline_outer(parsed)
+    ).filter(F.col("line_no").isNotNull())
     return compose_reference(found, names).select(
         "volume", "book", "chapter", "verse", "reference", "text", "file_path", "line_no"
     )
@@ -208,7 +213,9 @@ def chunk_paragraphs(rows: DataFrame) -> DataFrame:
     """
     cleaned = F.transform(F.split("content", "\n\n"), clean_inline)
     kept = F.filter(cleaned, lambda p: p != "")
-    return rows.select("source_type", "source_id", F.posexplode(kept).alias("_at", "_text")).select(
+    # the outer form keeps Spark from cleaning twice, once to test for emptiness
+    cut = rows.select("source_type", "source_id", F.posexplode_outer(kept).alias("_at", "_text"))
+    return cut.filter(F.col("_at").isNotNull()).select(
         "source_type",
         "source_id",
         F.when(F.col("_at") == 0, PARAGRAPH_LAYER)

@@ -1,11 +1,13 @@
-"""Term index and keyword search.
+"""Term index and keyword search, in two stored forms.
 
 The index is one row per document with its term vector: the counterpart of a
 stored text-search column. Building it is a single narrow pass, because a
 document's terms are counted inside its own row. Searching a batch of queries
 keeps work inside the row as well: a document is paired with a query only
 through one rare term of that query, all other terms are checked in place, and
-only true matches reach the shuffle for the top-k.
+only true matches reach the shuffle for the top-k. That reads the whole index
+once for the whole batch. For a few queries over a large corpus the postings
+form reads only the partitions that hold their terms.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from quire.functions.analysis import PLAIN, Analyzer
 from quire.functions.text import snippet
 from quire.schemas import CARD_COLUMNS, MAX_LIMIT, check_sources, normalised_limit, source_ordinal
+from quire.session import materialise
 
 RANKERS = ("log_tf", "bm25")
 BM25_K1 = 1.2
@@ -25,6 +28,9 @@ IN_ROW_TERMS = 20_000
 # Copies of each query over which one hot term is spread in the shuffled form.
 TERM_SALTS = 16
 
+# Partitions of a stored postings table.
+TERM_PARTS = 256
+
 KEYS = ["source_type", "source_id"]
 
 
@@ -198,6 +204,21 @@ def _top_hits(matches: DataFrame) -> DataFrame:
     )
 
 
+def _vocabulary(asked: DataFrame, bound: int) -> tuple[list[str], list[str]] | None:
+    """All terms of a batch and those that pair; None when there are more than ``bound``."""
+    # bounded fetch: at most one row more than is admitted
+    rows = (
+        asked.select(F.explode("terms").alias("term"), "driver")
+        .groupBy("term")
+        .agg(F.max(F.col("term") == F.col("driver")).alias("drives"))
+        .limit(bound + 1)
+        .collect()
+    )
+    if len(rows) > bound:
+        return None
+    return sorted(r.term for r in rows), sorted(r.term for r in rows if r.drives)
+
+
 def keyword_search(
     queries: DataFrame,
     index: DataFrame,
@@ -217,18 +238,9 @@ def keyword_search(
     wanted = check_sources(sources)
     asked = query_terms(queries, analyzer).withColumn("driver", _driver_term())
     searched = index if len(wanted) == 5 else index.filter(F.col("source_type").isin(*wanted))
-    # bounded fetch: at most one row more than the in-row form admits
-    vocabulary = (
-        asked.select(F.explode("terms").alias("term"), "driver")
-        .groupBy("term")
-        .agg(F.max(F.col("term") == F.col("driver")).alias("drives"))
-        .limit(in_row_terms + 1)
-        .collect()
-    )
-    if len(vocabulary) <= in_row_terms:
-        terms = sorted(r.term for r in vocabulary)
-        drivers = sorted(r.term for r in vocabulary if r.drives)
-        matches = _match_in_row(asked, searched, index, terms, drivers, ranker)
+    vocabulary = _vocabulary(asked, in_row_terms)
+    if vocabulary is not None:
+        matches = _match_in_row(asked, searched, index, *vocabulary, ranker)
     else:
         matches = _match_shuffled(asked, searched, index, ranker)
     scored = matches.select(
@@ -287,3 +299,77 @@ def _match_shuffled(asked: DataFrame, searched: DataFrame, index: DataFrame, ran
         .filter(F.size(F.array_intersect(F.col("terms"), F.col("_all.term"))) == F.size("terms"))
         .withColumn("hits", F.filter("_all", lambda h: F.array_contains("terms", h.getField("term"))))
     )
+
+
+# --- postings form --------------------------------------------------------------
+
+
+def _term_part(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+def write_postings(postings: DataFrame, path: str, parts: int = TERM_PARTS) -> DataFrame:
+    """Store postings by hash of the term, sorted by term inside each file.
+
+    Rebalancing cuts the partition of a hot term into several files.
+    """
+    placed = postings.withColumn("term_part", _term_part(F.col("term"), parts))
+    (
+        placed.hint("rebalance", "term_part")
+        .sortWithinPartitions("term_part", "term")
+        .write.mode("overwrite")
+        .partitionBy("term_part")
+        .parquet(path)
+    )
+    return postings.sparkSession.read.schema(placed.schema).parquet(path)
+
+
+def search_postings(
+    queries: DataFrame,
+    postings: DataFrame,
+    sources: list[str] | None = None,
+    analyzer: Analyzer = PLAIN,
+    parts: int = TERM_PARTS,
+    max_terms: int = IN_ROW_TERMS,
+) -> DataFrame:
+    """The log-tf ranking of :func:`keyword_search` from a stored postings table, without card columns.
+
+    Only partitions with a query term are read. The postings of each query's
+    rare term give the candidates; they are stored, so their size is known, and
+    the other terms' postings are cut down to them before anything is grouped.
+    """
+    wanted = check_sources(sources)
+    asked = query_terms(queries, analyzer).withColumn("driver", _driver_term())
+    vocabulary = _vocabulary(asked, max_terms)
+    if vocabulary is None:
+        raise ValueError(f"more than {max_terms} distinct terms: search the term index instead")
+    terms, drivers = vocabulary
+    searched = postings if len(wanted) == 5 else postings.filter(F.col("source_type").isin(*wanted))
+
+    spark = postings.sparkSession
+
+    def lists(of: list[str]) -> DataFrame:
+        places = spark.createDataFrame([(t,) for t in of], "term string").select(
+            _term_part(F.col("term"), parts).alias("part")
+        )
+        numbers = sorted({r.part for r in places.collect()})  # at most one per term
+        return searched.filter(F.col("term_part").isin(*numbers)).filter(F.expr(f"term IN ({_in_list(of)})"))
+
+    candidates = materialise(
+        lists(drivers)
+        .join(asked.withColumnRenamed("driver", "term"), "term")
+        .filter(_source_wanted())
+        .select("query_id", *KEYS),
+        "candidates",
+    )
+    each = asked.select("query_id", "limit", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    scored = (
+        lists(terms)
+        .join(each, "term")
+        .join(candidates, ["query_id", *KEYS])
+        .groupBy("query_id", "limit", "n", *KEYS)
+        .agg(F.count("*").alias("found"), F.sum(F.lit(1.0) + F.ln("tf")).alias("score"))
+        .filter(F.col("found") == F.col("n"))
+        .select("query_id", "limit", *KEYS, F.round("score", 6).alias("score"))
+    )
+    return _top_hits(scored).select("query_id", "rank", *KEYS, "score")

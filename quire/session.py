@@ -44,6 +44,21 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_FOLDER[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/quire-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove this application's cut points; DataFrames that read them stop working."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -52,7 +67,7 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     when it really is small.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

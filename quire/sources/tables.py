@@ -64,6 +64,10 @@ class StateTables:
         """Upsert a batch; ``batch`` is read several times, so pass a stored one."""
         keys, columns = UPSERTS[name]
         part = self._part(name)
+        if not self.exists(name):
+            first = upsert(self.read(name), batch, keys, update_cols or columns, order_col)
+            self._write(name, first.withColumn("part", part), "dynamic")
+            return
         touched = [r.part for r in batch.select(part.alias("part")).distinct().collect()]  # at most ``parts``
         if not touched:
             return

@@ -11,8 +11,11 @@ from quire.functions.analysis import ENGLISH, PLAIN, Analyzer
 from quire.functions.text import first_heading, path_stem
 from quire.operators import catalog, embed, extract, fusion, keyword, lookup, semantic, upsert
 from quire.schemas import BOOK_NAMES, STUDY_AID_TYPES
-from quire.session import materialise
+from quire.plans.ingest import ingest
+from quire.session import materialise, scratch_path
 from quire.sources import corpus
+from quire.sources.tables import StateTables
+from quire.streaming import ingest as stream
 from quire.workload import views as v
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +58,15 @@ def keyword_search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job
+def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search from a postings table stored by term."""
+    stored = keyword.write_postings(
+        keyword.build_postings(v.library(spark, sf_dir)), scratch_path(spark, "postings")
+    )
+    return keyword.search_postings(v.passages(spark, sf_dir), stored)
+
+
 @job
 def keyword_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.keyword_search(
@@ -279,6 +291,33 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- extraction --------------------------------------------------------------------
 
 
+def tree(spark: SparkSession, sf_dir: str) -> str:
+    return v.write_tree(v.tree_files(spark, sf_dir), scratch_path(spark, "tree"))
+
+
+@job
+def scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as a file of the mixed tree, and listed again."""
+    return corpus.scan_corpus(spark, tree(spark, sf_dir)).select("rel_path", "size", "content")
+
+
+@job
+def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and rows per content type of a first batch ingest of that tree."""
+    return ingest(spark, scratch_path(spark, "state"), tree(spark, sf_dir))
+
+
+@job
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verses stored by the streaming ingest of that tree."""
+    state = scratch_path(spark, "state")
+    query = stream.ingest_stream(spark, state, scratch_path(spark, "progress"), tree(spark, sf_dir), files_per_batch=5000)
+    query.awaitTermination()
+    return StateTables(spark, state).read("scriptures").select(
+        "volume", "book", "chapter", "verse", "reference", "text"
+    )
+
+
 @job
 def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.route_files(v.mixed_files(spark, sf_dir)).drop("content", "mtime", "path")

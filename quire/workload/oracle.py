@@ -411,7 +411,32 @@ def upserted(columns: str) -> str:
     )
 
 
+TREE = (
+    MIXED.replace("text AS content, strlen(text)::BIGINT AS size", "CASE WHEN <chapter> THEN <verses> ELSE <talk> END AS content, strlen(content)::BIGINT AS size")
+    .replace("<chapter>", f"contains([{_SHAPES}][no % {len(PATH_SHAPES)} + 1], '/scriptures/')")
+    .replace("<verses>", _SCRIPTURE_TEXT)
+    .replace("<talk>", _TALK_TEXT)
+)
+TREE_VERSES = f""",
+marked AS (SELECT doc_id, volume, book, chapter, unnest(string_split(content, chr(10))) AS line
+  FROM routed JOIN files USING (doc_id) WHERE content_type = 'scriptures'),
+tree_verses AS (
+  SELECT volume, book, chapter, verse, book || ' ' || chapter || ':' || verse AS reference, text
+  FROM (SELECT *, try_cast(regexp_extract(line, '^\\*\\*(\\d+)\\.\\*\\*\\s*(.+)', 1) AS INT) AS verse,
+    {clean("regexp_extract(line, '^\\*\\*(\\d+)\\.\\*\\*\\s*(.+)', 2)")} AS text FROM marked)
+  WHERE verse IS NOT NULL AND text <> '')"""
+
 SQL: dict[str, str] = {
+    "search_postings": "WITH " + LIBRARY + TERMS + keyword_hits("kw", "log_tf")
+    + "\nSELECT query_id, rank, source_type, source_id, score FROM kw",
+    "scan_corpus": "WITH " + TREE + "\nSELECT rel_path, size, content FROM files",
+    "ingest_summary": "WITH " + TREE + TREE_VERSES + """
+SELECT coalesce(content_type, 'none') AS content_type,
+  CASE WHEN outcome = 'routed' THEN 'indexed' ELSE outcome END AS outcome, count(*) AS n FROM routed GROUP BY 1, 2
+UNION ALL SELECT CASE content_type WHEN 'scriptures' THEN 'chapters' ELSE content_type END, 'rows', count(*)
+  FROM routed WHERE content_type IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'scriptures', 'rows', count(*) FROM tree_verses""",
+    "ingest_stream": "WITH " + TREE + TREE_VERSES + "\nSELECT * FROM tree_verses",
     "build_postings": "WITH " + LIBRARY + TERMS + "\nSELECT source_type, source_id, term, tf, doc_len FROM postings",
     "keyword_search": keyword_search("log_tf"),
     "keyword_search_bm25": keyword_search("bm25"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -293,3 +296,38 @@ def old_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("path").alias("file_path"),
         F.concat(F.lit("q"), "quality").alias("titsw_dominant"),
     )
+
+
+# --- a tree on disk --------------------------------------------------------------
+
+
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed tree with contents that fit the paths: chapters hold verses, the rest reads like talks."""
+    chapter = scripture_files(spark, sf_dir).select("doc_id", F.col("content").alias("verses"))
+    talk = talk_files(spark, sf_dir).select("doc_id", F.col("content").alias("talk"))
+    return (
+        mixed_files(spark, sf_dir)
+        .select("doc_id", "rel_path")
+        .join(chapter, "doc_id")
+        .join(talk, "doc_id")
+        .select(
+            "rel_path",
+            F.when(F.col("rel_path").contains("/scriptures/"), F.col("verses")).otherwise(F.col("talk")).alias("content"),
+        )
+    )
+
+
+def write_tree(files: DataFrame, root: str) -> str:
+    """Write (rel_path, content) as files below ``root``, each task its own share."""
+
+    def write(frames):
+        system, base = pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for frame in frames:
+            for path, content in zip(frame["rel_path"], frame["content"], strict=True):
+                system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content.encode())
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    files.mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+    return root

@@ -74,6 +74,16 @@ def test_shuffled_form_equals_in_row_form(frame, index, ranker):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_postings_form_equals_index_form(spark, frame, corpus, index, tmp_path):
+    queries = frame([(1, "faith hope"), (2, "hope"), (3, "charity faith hope"), (4, "nothing here")], QUERIES)
+    stored = keyword.write_postings(keyword.build_postings(corpus), str(tmp_path / "postings"), parts=8)
+    a = keyword.search_postings(queries, stored, parts=8)
+    b = keyword.keyword_search(queries, index).select(*a.columns)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    with pytest.raises(ValueError):
+        keyword.search_postings(queries, stored, parts=8, max_terms=2)
+
+
 def test_limits_and_sources_per_query(frame, index):
     schema = "query_id bigint, query string, sources array<string>, limit int"
     queries = frame(
