@@ -147,27 +147,17 @@ def _rank_weights(asked: DataFrame, index: DataFrame, vocabulary: str | None, ra
         .groupBy(F.col("t.term").alias("term"))
         .agg(F.count("*").alias("df"))
     )
-    totals = index.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("mean_len"))
+    totals = index.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("mean_len")).first()
+    df = F.coalesce("df", F.lit(0))
     weighted = (
         asked.select("query_id", F.explode("terms").alias("term"))
         .join(frequency, "term", "left")
-        .join(F.broadcast(totals))  # one row
-        .select(
-            "query_id",
-            "term",
-            "mean_len",
-            F.log1p(
-                (F.col("n_docs") - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5)
-            ).alias("idf"),
-        )
+        .select("query_id", "term", F.log1p((totals.n_docs - df + 0.5) / (df + 0.5)).alias("idf"))
         .groupBy("query_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("_w"),
-            F.first("mean_len").alias("mean_len"),
-        )
-        .select("query_id", F.col("_w.idf").alias("weights"), "mean_len")
+        .agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("_w"))
+        .select("query_id", F.col("_w.idf").alias("weights"))
     )
-    return asked.join(weighted, "query_id")
+    return asked.join(weighted, "query_id").withColumn("mean_len", F.lit(totals.mean_len))
 
 
 def _score(ranker: str) -> Column:

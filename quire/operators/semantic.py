@@ -234,41 +234,46 @@ def _with_cell(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(assign, schema)
 
 
-def _routes(asked: DataFrame, pivots: np.ndarray, probes: int) -> DataFrame:
-    """(query columns, cell, cosine to its pivot, near) for every cell a query might visit.
+def _route_columns() -> list[T.StructField]:
+    return [
+        T.StructField("query_id", T.LongType()),
+        T.StructField("vector", T.ArrayType(T.FloatType())),
+        T.StructField("limit", T.IntegerType()),
+        T.StructField("wanted", T.ArrayType(T.BooleanType())),
+        T.StructField("cell", T.IntegerType()),
+    ]
+
+
+def _routes(asked: DataFrame, pivots: np.ndarray, probes: int, radii: np.ndarray | None = None) -> DataFrame:
+    """Query rows copied to the cells they have to visit.
 
-    One row per query and pivot, so bounded per query by the number of pivots.
+    Without ``radii`` these are the ``probes`` nearest cells. With them, and a
+    ``bound`` column holding the last score found so far, these are the other
+    cells whose nearest possible member could still reach the bound; cells
+    ruled out are never emitted.
     """
-    shared = asked.sparkSession.sparkContext.broadcast(pivots)
-    schema = T.StructType(
-        [
-            T.StructField("query_id", T.LongType()),
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("angle", T.DoubleType()),
-            T.StructField("near", T.BooleanType()),
-        ]
-    )
+    shared = asked.sparkSession.sparkContext.broadcast((pivots, radii))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, radii = shared.value
         for batch in batches:
-            ids = batch.column("query_id").to_numpy()
-            cosine = np.round(matrix(batch.column("vector"), shared.value.shape[1]) @ shared.value.T, 9)
+            cosine = np.round(matrix(batch.column("vector"), pivots.shape[1]) @ pivots.T, 9)
             usable = ~np.isnan(cosine).any(axis=1)
-            ids, cosine = ids[usable], cosine[usable]
-            if len(ids) == 0:
-                continue
+            cosine = np.where(usable[:, None], cosine, 0.0)
             place = np.argsort(np.argsort(-cosine, axis=1, kind="stable"), axis=1, kind="stable")
-            n, m = cosine.shape
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": np.repeat(ids, m),
-                    "cell": np.tile(np.arange(m, dtype=np.int32), n),
-                    "angle": np.arccos(np.clip(cosine, -1.0, 1.0)).ravel(),
-                    "near": (place < probes).ravel(),
-                }
+            if radii is None:
+                visit = place < probes
+            else:
+                bound = batch.column("bound").to_numpy(zero_copy_only=False)[:, None]
+                closest = np.maximum(np.arccos(np.clip(cosine, -1.0, 1.0)) - radii - ANGLE_SLACK, 0.0)
+                visit = (place >= probes) & (np.isnan(bound) | (np.cos(closest) >= bound - SCORE_SLACK))
+            rows, cells = np.nonzero(visit & usable[:, None])
+            chosen = batch.select(["query_id", "vector", "limit", "wanted"]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays(
+                [*chosen.columns, pa.array(cells.astype(np.int32))], names=[f.name for f in _route_columns()]
             )
 
-    return asked.select("query_id", "vector").mapInArrow(route, schema)
+    return asked.mapInArrow(route, T.StructType(_route_columns()))
 
 
 def _salt(key: Column, parts: Column) -> Column:
@@ -279,14 +284,14 @@ def _parts(count: Column, size: int) -> Column:
     return F.greatest(F.ceil(count / F.lit(size)), F.lit(1)).cast("int")
 
 
-def _join_cells(stored: DataFrame, asked: DataFrame, routes: DataFrame, cells: DataFrame) -> DataFrame:
+def _join_cells(stored: DataFrame, routes: DataFrame, sizes: DataFrame) -> DataFrame:
     """Score every routed query against its cells.
 
     Each cell becomes a grid of row salts and query salts, so both sides of a
     group stay bounded however hot the cell is.
     """
     load = routes.groupBy("cell").agg(F.count("*").alias("n_queries"))
-    grid = cells.join(load, "cell").select(
+    grid = sizes.join(load, "cell").select(
         "cell",
         _parts(F.col("n_rows"), CELL_ROWS).alias("row_parts"),
         _parts(F.col("n_queries"), CELL_QUERIES).alias("query_parts"),
@@ -299,9 +304,7 @@ def _join_cells(stored: DataFrame, asked: DataFrame, routes: DataFrame, cells: D
         .select("cell", "row_salt", "query_salt", *_VECTOR_ROW.names, "embedding")
     )
     right = (
-        routes.select("query_id", "cell")
-        .join(asked, "query_id")
-        .join(grid, "cell")
+        routes.join(grid, "cell")
         .withColumn("query_salt", _salt(F.col("query_id"), F.col("query_parts")))
         .withColumn("row_salt", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1)))
         .select("cell", "row_salt", "query_salt", "query_id", "limit", "wanted", "vector")
@@ -338,9 +341,10 @@ def _nearest_by_cell(
         return _nothing(rows)
     stored = materialise(_with_cell(rows, pivots), "cells")
     asked = materialise(asked, "queries")
-    routes = materialise(_routes(asked, pivots, probes), "routes")
-    sizes = stored.groupBy("cell").agg(F.count("*").alias("n_rows"), F.max("angle").alias("radius"))
-    near = _join_cells(stored, asked, routes.filter("near"), sizes)
+    sizes = materialise(
+        stored.groupBy("cell").agg(F.count("*").alias("n_rows"), F.max("angle").alias("radius")), "sizes"
+    )
+    near = _join_cells(stored, materialise(_routes(asked, pivots, probes), "routes"), sizes)
     if not exact:
         return near
     near = materialise(near, "near")
@@ -351,14 +355,11 @@ def _nearest_by_cell(
         .filter((F.col("place") <= MAX_LIMIT * OVERFETCH) & (F.col("place") == F.col("limit")))
         .select("query_id", F.col("score").alias("bound"))
     )
-    closest = F.greatest(F.col("angle") - F.col("radius") - ANGLE_SLACK, F.lit(0.0))
-    rest = (
-        routes.filter(~F.col("near"))
-        .join(F.broadcast(sizes), "cell")  # one row per cell
-        .join(bound, "query_id", "left")
-        .filter(F.col("bound").isNull() | (F.cos(closest) >= F.col("bound") - SCORE_SLACK))
-    )
-    return near.unionByName(_join_cells(stored, asked, rest, sizes.select("cell", "n_rows")))
+    radii = np.zeros(len(pivots))
+    for row in sizes.collect():  # one row per pivot
+        radii[row.cell] = row.radius
+    rest = _routes(asked.join(bound, "query_id", "left"), pivots, probes, radii)
+    return near.unionByName(_join_cells(stored, materialise(rest, "routes"), sizes))
 
 
 # --- composed searches --------------------------------------------------------

@@ -85,9 +85,7 @@ def insert_if_absent(
     existing: DataFrame, incoming: DataFrame, keys: list[str], order_col: str
 ) -> DataFrame:
     """Rows to append: keys not stored yet; of equal keys in the batch the lowest ``order_col`` wins."""
-    rest = [F.col(c).asc() for c in incoming.columns
-            if c not in keys and c != order_col and incoming.schema[c].dataType.typeName() != "map"]
-    batch = latest_per_key(incoming, keys, [F.col(order_col).asc(), *rest])
+    batch = latest_per_key(incoming, keys, [F.col(order_col).asc()])
     return absent_rows(batch, existing, keys)
 
 

@@ -137,9 +137,9 @@ def text_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and vector for every passage; passages of several lines have no vector."""
-    queries = embed.embed_queries(v.passages(spark, sf_dir), embed.hashing_embedder()).withColumn(
-        "vector", F.when(~F.col("query").contains("\n"), F.col("vector"))
-    )
+    asked = embed.embed_queries(v.passages(spark, sf_dir), embed.hashing_embedder())
+    one_line = F.when(~F.col("query").contains("\n"), F.col("vector"))
+    queries = materialise(asked.withColumn("vector", one_line), "queries")
     found = keyword.keyword_search(queries, term_index(spark, sf_dir))
     near = semantic.semantic_search(
         queries, text_embeddings(spark, sf_dir), v.library(spark, sf_dir), model="hash-64"
@@ -504,6 +504,17 @@ def pending_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job
+def pending_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verses without a vector, when every stored vector belongs to the first verse of its document."""
+    stored = v.table(spark, sf_dir, "embeddings").select(
+        F.lit("scriptures").alias("source_type"),
+        (F.col("vec_id") * 1_000_000 + 1).alias("source_id"),
+        F.lit("verse").alias("layer"),
+    )
+    return embed.pending_embeddings(extract.verse_chunks(v.verses(spark, sf_dir)), stored)
+
+
 @job
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-zero components of every chunk vector."""

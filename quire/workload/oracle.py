@@ -570,6 +570,9 @@ SELECT source_type, source_id, 'paragraph' AS layer, 'a' AS content FROM library
 WHERE (source_type, source_id) NOT IN (SELECT (source_type, source_id) FROM vectors)""",
     "pending_embeddings": "WITH " + LIBRARY + CHUNKS + VECTORS + """
 SELECT * FROM chunks ANTI JOIN vectors USING (source_type, source_id, layer)""",
+    "pending_verses": "WITH " + VERSES + """
+SELECT 'scriptures' AS source_type, id AS source_id, 'verse' AS layer, text AS content FROM verses
+WHERE text <> '' AND id NOT IN (SELECT vec_id * 1000000 + 1 FROM embeddings)""",
     "embed_chunks": "WITH " + LIBRARY + CHUNKS
     + hashed("chunk_vec", "source_type, source_id, layer", "(SELECT * FROM chunks WHERE source_type <> 'study_aids')")
     + "\nSELECT source_type, source_id, layer, 'hash-64' AS model, pos::INT AS pos, round(x::DOUBLE, 6) AS x FROM chunk_vec",

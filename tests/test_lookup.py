@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quire.operators import catalog, lookup
 from quire.plans.search import resolve
 from quire.schemas import BOOK_NAMES, CHAPTERS, CROSS_REFERENCES, SCRIPTURES
+from quire.sources.corpus import load_cross_references
 
 VERSES = "id bigint, volume string, book string, chapter int, verse int, reference string, text string, file_path string"
 
@@ -75,6 +76,15 @@ def test_cross_references(spark, frame):
     assert passages.count() == 4
 
 
+def test_edges_are_read_with_their_schema(spark, frame, tmp_path):
+    edges = spark.createDataFrame([("a", "b", 1, 2, "c", "d", 3, None, None)], CROSS_REFERENCES)
+    edges.write.parquet(str(tmp_path / "p"))
+    edges.write.json(str(tmp_path / "j"))
+    for path, fmt in (("p", "parquet"), ("j", "json")):
+        got = load_cross_references(spark, str(tmp_path / path), fmt)
+        assert got.schema == CROSS_REFERENCES and got.collect() == edges.collect()
+
+
 def test_get_by_id(spark, frame):
     talks = frame([(7, 2020, "04", "s", "t", "c", "f")],
                   "id bigint, year int, month string, speaker string, title string, content string, file_path string")
