@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.stem import stem
+
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
 # The English stop words of the text search configuration.
@@ -33,8 +35,6 @@ ENGLISH_STOP_WORDS = (
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _stemmed(tokens: pa.Array) -> pa.Array:
     """Stem the distinct tokens of a batch and put the stems back in place."""
-    from quire.functions.stem import stem
-
     flat = tokens.flatten().dictionary_encode()
     stems = pa.array([stem(t) for t in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
     sizes = np.nan_to_num(pc.list_value_length(tokens).to_numpy(zero_copy_only=False)).astype(np.int32)
@@ -48,12 +48,12 @@ def _stemmed(tokens: pa.Array) -> pa.Array:
 class Analyzer:
     """How documents and queries are cut into terms; both sides must use the same one.
 
-    Stemming runs in place, Arrow-batched and with a cache per worker, so it
+    Stemming runs in place, on the distinct tokens of each Arrow batch, so it
     needs no shuffle of the vocabulary.
     """
 
     stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS
-    stem: bool = False
+    stemmed: bool = False
 
     def tokens(self, text: Column) -> Column:
         stop_words = self.stop_words
@@ -62,7 +62,7 @@ class Analyzer:
             F.split(F.lower(text), TOKEN_BREAK),
             lambda t: ~t.isin("", *stop_words),
         )
-        return _stemmed(kept) if self.stem else kept
+        return _stemmed(kept) if self.stemmed else kept
 
     def distinct_terms(self, text: Column) -> Column:
         """Sorted distinct terms: what a query asks for."""
@@ -70,4 +70,4 @@ class Analyzer:
 
 
 PLAIN = Analyzer()
-ENGLISH = Analyzer(stem=True)
+ENGLISH = Analyzer(stemmed=True)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 _VOWELS = frozenset("aeiouy")
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -56,7 +55,6 @@ def _longest(word: str, suffixes) -> str:
     return max((s for s in suffixes if word.endswith(s)), key=len, default="")
 
 
-@lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
     """Stem of a lower-case word; words of one or two letters stay as they are."""
     if len(word) <= 2 or word in _WHOLE:

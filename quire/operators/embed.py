@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +34,6 @@ _EMBEDDED = T.StructType(
 _WORD = re.compile(r"[^\W_]+")
 
 
-@lru_cache(maxsize=1 << 18)
 def _slot(token: str, dim: int) -> tuple[int, int]:
     digest = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
     return int(digest[:7], 16) % dim, 1 if int(digest[7], 16) < 8 else -1

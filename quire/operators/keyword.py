@@ -226,7 +226,8 @@ def keyword_search(
     if ranker not in RANKERS:
         raise ValueError(f"unknown ranker {ranker!r}; choose from {RANKERS}")
     wanted = check_sources(sources)
-    asked = query_terms(queries, analyzer).withColumn("driver", _driver_term())
+    # stored, so that the queries are analysed once and Spark knows their true size
+    asked = materialise(query_terms(queries, analyzer).withColumn("driver", _driver_term()), "asked")
     searched = index if len(wanted) == 5 else index.filter(F.col("source_type").isin(*wanted))
     vocabulary = _vocabulary(asked, in_row_terms)
     if vocabulary is not None:
@@ -253,9 +254,12 @@ def _match_in_row(
 ) -> DataFrame:
     """One pass over the index; nothing but matches leaves the row.
 
-    Both lists are bounded, and Spark broadcasts the queries only if their size allows.
+    Both lists are bounded, and Spark broadcasts the stored queries only if their size allows.
     """
-    asked = _rank_weights(asked, index, _in_list(vocabulary), ranker)
+    if ranker != "log_tf":
+        asked = materialise(_rank_weights(asked, index, _in_list(vocabulary), ranker), "weighted")
+    else:
+        asked = _rank_weights(asked, index, None, ranker)
     narrowed = searched.select(
         *KEYS,
         "doc_len",
@@ -329,7 +333,8 @@ def search_postings(
     the other terms' postings are cut down to them before anything is grouped.
     """
     wanted = check_sources(sources)
-    asked = query_terms(queries, analyzer).withColumn("driver", _driver_term())
+    # stored, so that the queries are analysed once and Spark knows their true size
+    asked = materialise(query_terms(queries, analyzer).withColumn("driver", _driver_term()), "asked")
     vocabulary = _vocabulary(asked, max_terms)
     if vocabulary is None:
         raise ValueError(f"more than {max_terms} distinct terms: search the term index instead")

@@ -108,11 +108,6 @@ def _vector_rows(embeddings: DataFrame, sources: list[str]) -> DataFrame:
     )
 
 
-def _block(ids, vectors: list, limits, wanted) -> QueryBlock:
-    unit = matrix(pa.array(vectors, type=pa.list_(pa.float32())))
-    return QueryBlock(ids, unit, limits, np.asarray(wanted, dtype=bool).reshape(len(unit), -1))
-
-
 def _as_rows(pool: pa.Table | None, queries: QueryBlock) -> Iterator[pa.RecordBatch]:
     """Result rows in the column order of ``_BEST``."""
     if pool is None:
@@ -138,15 +133,16 @@ def _shared_queries(asked: DataFrame) -> list | None:
 
 
 def _nearest_shared(rows: DataFrame, asked: list) -> DataFrame:
-    block = _block(
-        [q.query_id for q in asked], [q.vector for q in asked],
-        [q.limit for q in asked], [q.wanted for q in asked],
-    )
-    shared = rows.sparkSession.sparkContext.broadcast(block)
+    vectors = matrix(pa.array([q.vector for q in asked], type=pa.list_(pa.float32())))
+    wanted = np.array([q.wanted for q in asked], dtype=bool)
+    # plain arrays: what is broadcast must be readable without this package
+    parts = ([q.query_id for q in asked], vectors, [q.limit for q in asked], wanted)
+    shared = rows.sparkSession.sparkContext.broadcast(parts)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = QueryBlock(*shared.value)
         tables = (pa.Table.from_batches([b]) for b in batches)
-        yield from _as_rows(best_of_stream(tables, shared.value), shared.value)
+        yield from _as_rows(best_of_stream(tables, queries), queries)
 
     return rows.mapInArrow(best, _BEST)
 

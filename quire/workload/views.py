@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -321,7 +319,9 @@ def write_tree(files: DataFrame, root: str) -> str:
     """Write (rel_path, content) as files below ``root``, each task its own share."""
 
     def write(frames):
-        system, base = pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        from pyarrow.fs import FileSystem
+
+        system, base = FileSystem.from_uri(root if "://" in root else f"file://{root}")
         for frame in frames:
             for path, content in zip(frame["rel_path"], frame["content"], strict=True):
                 system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
