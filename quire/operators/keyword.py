@@ -50,15 +50,17 @@ def build_term_index(corpus: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame
     """(source_type, source_id, doc_len, terms[{term, tf}], card columns) per document.
 
     Terms are counted by sorting the document's tokens and measuring the runs.
-    Store the result before searching it: a filter placed straight on top would
-    be pushed through and repeat the counting.
+    Store the result and search the stored table.
     """
     text = searchable_text(F.col("source_type"), F.col("title"), F.col("content"))
     cards = [
         hit_text(F.col("source_type"), F.col("content")).alias("snippet") if c == "snippet" else F.col(c)
         for c in CARD_COLUMNS
     ]
-    tokenised = corpus.select(*KEYS, *cards, F.sort_array(analyzer.tokens(text)).alias("_tokens"))
+    # always true, but Spark does not push filters through it: pushed further down they
+    # would repeat the tokenising for every token
+    sorted_tokens = F.when(F.rand() >= 0.0, F.sort_array(analyzer.tokens(text)))
+    tokenised = corpus.select(*KEYS, *cards, sorted_tokens.alias("_tokens"))
     runs = tokenised.withColumn("doc_len", F.size("_tokens")).withColumn(
         "_starts",
         F.filter(
@@ -81,7 +83,7 @@ def build_term_index(corpus: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame
 
 def build_postings(corpus: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame:
     """The index turned sideways: (source_type, source_id, term, tf, doc_len)."""
-    # the outer form, because the inner one makes Spark filter on size(terms) below the counting
+    # the outer form, because the inner one makes Spark count twice, once to test for emptiness
     return (
         build_term_index(corpus, analyzer)
         .select(*KEYS, "doc_len", F.inline_outer("terms"))

@@ -44,8 +44,9 @@ MAX_PIVOTS = 1024
 # Rows and queries that meet in one group of the cell join.
 CELL_ROWS = 50_000
 CELL_QUERIES = 2_000
-# Nearest cells visited first, or only.
-PROBES = 4
+# Nearest cells visited first by the exact form, and the only ones visited by the approximate form.
+FIRST_PROBES = 4
+PROBES = 16
 # Scores and angles are rounded, so cells this close to the bound are still visited.
 SCORE_SLACK = 1e-5
 ANGLE_SLACK = 1e-4
@@ -330,7 +331,7 @@ def _join_cells(stored: DataFrame, routes: DataFrame, sizes: DataFrame) -> DataF
 
 
 def _nearest_by_cell(
-    rows: DataFrame, asked: DataFrame, exact: bool, cells: int | None = None, probes: int = PROBES
+    rows: DataFrame, asked: DataFrame, exact: bool, cells: int | None = None, probes: int = FIRST_PROBES
 ) -> DataFrame:
     pivots = _pivots(rows, cells)
     if not len(pivots):

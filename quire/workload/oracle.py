@@ -126,7 +126,7 @@ placed AS (SELECT source_type, source_id, cell FROM vectors, pivots
     ORDER BY round(list_cosine_similarity(v, p), 9) DESC, cell) = 1),
 probed AS (SELECT query_id, cell FROM asking, pivots
   QUALIFY row_number() OVER (PARTITION BY query_id
-    ORDER BY round(list_cosine_similarity(q, p), 9) DESC, cell) <= 4),
+    ORDER BY round(list_cosine_similarity(q, p), 9) DESC, cell) <= 16),
 visited AS (SELECT query_id, source_type, source_id FROM placed JOIN probed USING (cell))"""
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.operators import catalog, lookup
 from quire.plans.search import resolve
 from quire.schemas import BOOK_NAMES, CHAPTERS, CROSS_REFERENCES, SCRIPTURES
@@ -107,3 +108,11 @@ def test_listings(spark, frame):
     with pytest.raises(ValueError):
         catalog.listing(tables, "songs")
     assert spark.createDataFrame([], SCRIPTURES).agg(F.count("*")).first()[0] == 0
+
+
+def test_cut_points_and_spreading(spark, monkeypatch):
+    rows = session.materialise(spark.range(10), "ten")
+    assert rows.count() == 10 and rows.columns == ["id"]
+    assert session.spread(rows, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SPREAD_BYTES", 0)
+    assert session.spread(rows, "id") is rows

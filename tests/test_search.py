@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -74,6 +75,15 @@ def test_shuffled_form_equals_in_row_form(frame, index, ranker):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_long_documents_can_be_searched_before_the_index_is_stored(frame):
+    words = " ".join(f"w{i % 5000}" for i in range(60_000))
+    rows = frame([doc("talks", 1, words), doc("books", 2, words + " rare")], CORPUS)
+    start = time.time()
+    hits = keyword.keyword_search(frame([(1, "w17 rare w4999")], QUERIES), keyword.build_term_index(rows))
+    assert found(hits) == [(1, 1, "books", 2)]
+    assert time.time() - start < 60
+
+
 def test_postings_form_equals_index_form(spark, frame, corpus, index, tmp_path):
     queries = frame([(1, "faith hope"), (2, "hope"), (3, "charity faith hope"), (4, "nothing here")], QUERIES)
     stored = keyword.write_postings(keyword.build_postings(corpus), str(tmp_path / "postings"), parts=8)
@@ -199,7 +209,7 @@ def test_approximate_recall(spark):
         [(i, [float(x) for x in data[i * 9]], 10) for i in range(60)], "query_id bigint, vector array<float>, limit int")
     cards = spark.createDataFrame([], CORPUS)
     exact = semantic.nearest(queries, rows).select("query_id", "source_id")
-    close = semantic.semantic_search_approx(queries, rows, cards).select("query_id", "source_id")
+    close = semantic.semantic_search_approx(queries, rows, cards, probes=4).select("query_id", "source_id")
     assert exact.join(close, ["query_id", "source_id"]).count() / exact.count() > 0.8
 
 
