@@ -18,14 +18,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.common import Store
 
 _ROLL, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _FALSE_MATCH_COST = 100
 STAR_ROUNDS = 6
+FEW = 24
+#: A class settles under a signature when it differs from the hub by at most so many times what similar sets can.
+REACH = 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,7 +71,7 @@ class Plan:
         if not differ:
             return Band(number, low, high, 0, 0, False)
         size = (low * high) ** 0.5
-        spare = max(1, (differ + 1) // 8)
+        spare = max(1, (differ + 1) // 3)
         exact, halved = differ + 1 + spare, -(-(differ + 1) // 2)
         exact_cost = exact * (1 + _FALSE_MATCH_COST * np.exp(-size / exact))
         halved_cost = halved + size + _FALSE_MATCH_COST * halved * np.exp(-size / halved) * (1 + size / halved)
@@ -200,15 +204,21 @@ def components(edges: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
     return labels
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets share at least ``percent`` of their union."""
-    one = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
-    two = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    every = F.size("x") + F.size("y") - both
-    least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    joined = pairs.join(one, "a").join(two, "b").filter(100 * least >= percent * most)
-    return joined.filter(100 * both >= percent * every).select("a", "b")
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, cls) with ``differ``, the size of their symmetric difference, ``linked``, the difference
+    ``most`` that a set similar to cls can have, and the difference itself (``diff``) where it may matter."""
+    one = sets.select(F.col("cls").alias("hub"), F.col("items").alias("x"))
+    two = sets.select("cls", F.col("items").alias("y"))
+    joined = pairs.join(one, "hub").join(two, "cls")
+    joined = joined.withColumn("both", F.size(F.array_intersect("x", "y")))
+    union = F.size("x") + F.size("y") - F.col("both")
+    joined = joined.withColumns({
+        "differ": union - F.col("both"), "linked": 100 * F.col("both") >= percent * union,
+        "most": F.floor((100 - percent) * F.size("y") / percent).cast("int"),
+    })
+    diff = F.array_union(F.array_except("x", "y"), F.array_except("y", "x"))
+    near = F.col("differ") <= -(-100 * (REACH + 1) // percent) * F.col("most")
+    return joined.select("hub", "cls", "differ", "linked", "most", F.when(near, diff).alias("diff"))
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None = None) -> DataFrame:
@@ -221,11 +231,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None
 
     Documents with equal sets are one class from the start (named by 128 bits; the
     64-bit class ids are checked for collisions and drawn anew if there are
-    any). Of the classes that share a signature, the one with most shared
-    signatures is compared with the others; it then retires, and what is not yet in one
-    component goes on with the next. After ``STAR_ROUNDS`` such rounds the pairs that are
-    left are compared directly. So a large group of near copies costs rounds that
-    are linear in it, and no link is lost.
+    any). Pairs of classes that share a signature are settled by ``_connect``
+    in rounds that are linear in the size of a group, and no link is lost.
     """
     spark = docs.sparkSession
     store = store or Store(spark, "jaccard")
@@ -236,6 +243,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None
         if classes.filter("low <> high").isEmpty():
             break
     shared = _shared_signatures(rows, percent, store)
+    plain = store.save(rows.select("doc_id", F.col("n").alias("n_shingles"), "cls"), "sizes")
+    store.drop(rows)
     labels = shared.select("cls").distinct().select("cls", F.col("cls").alias("comp"))
     firsts = labels.join(classes, "cls").select(F.col("first").alias("doc_id"))
     sets = _sets(docs.join(firsts, docs["doc_id"] == firsts["doc_id"], "left_semi"), width, seed).dropDuplicates(["cls"])
@@ -244,7 +253,6 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None
     named = classes.join(labels, "cls").groupBy("comp").agg(F.min("first").alias("component_id"))
     found = classes.select("cls", "first").join(labels, "cls", "left").join(named, "comp", "left")
     found = store.save(found.select("cls", F.coalesce("component_id", "first").alias("component_id")), "components")
-    plain = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls")
     alone = plain.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return plain.filter("cls is not null").join(found, "cls").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
@@ -255,12 +263,10 @@ def _shared_signatures(rows: DataFrame, percent: int, store: Store) -> DataFrame
     Of a set's signatures in a band the ``spare`` most frequent ones are not probed; they
     are still found by others' probes. ``weight`` counts the classes met by a class.
     """
-    from pyspark.sql.window import Window
-
     each = rows.filter("cls is not null").select(F.explode("sigs").alias("sig"), "cls")
     here = Window.partitionBy("sig")
     met = each.withColumns({"low": F.min("cls").over(here), "high": F.max("cls").over(here)}).filter("low <> high")
-    met = store.save(met.select("sig", "cls").distinct(), "met")
+    all_met = met = store.save(met.select("sig", "cls").distinct(), "met")
     sizes = met.groupBy("sig").agg(F.count("*").alias("times"))
     met = met.join(sizes, "sig")
     plan = Plan(percent)
@@ -272,40 +278,87 @@ def _shared_signatures(rows: DataFrame, percent: int, store: Store) -> DataFrame
     met = met.withColumn("weight", F.sum("times").over(Window.partitionBy("cls")))
     met = store.save(met, "probes")
     probed = met.filter("probe").select("sig").distinct()
-    return store.save(met.join(probed, "sig", "left_semi").select("sig", "cls", "weight", "probe"), "shared")
+    kept = store.save(met.join(probed, "sig", "left_semi").select("sig", "cls", "weight", "probe"), "shared")
+    store.drop(all_met, met)
+    return kept
 
 
 def _connect(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, store: Store) -> DataFrame:
-    """Final labels (cls, comp) of the classes in ``shared``."""
+    """Final labels (cls, comp) of the classes in ``shared``.
+
+    In a round the classes of every signature that still joins different
+    components are compared with one of them, the hub. A class whose difference d
+    from the hub is small (``REACH`` times what two similar sets can differ) needs
+    no comparison with the others under this signature: a similar one lies in
+    the hub's neighbourhood too, and their differences from the hub then share
+    elements. Those elements, the rarest first and as many as the prefix filter asks
+    for, become signatures of the next round. Classes far from the hub stay under
+    their signature. So thousands of variants of one text cost one comparison
+    each, not one a pair. What ``STAR_ROUNDS`` leave is compared pair by pair.
+    """
     live = shared
     for turn in range(STAR_ROUNDS + 1):
         live = store.save(_unsettled(live.join(labels, "cls")), f"live{turn}")
         if live.isEmpty():
             break
-        if turn < STAR_ROUNDS:
-            hub = F.max(F.struct("weight", "cls", "comp", "probe")).alias("hub")
-            starred = live.join(live.groupBy("sig").agg(hub), "sig")
-            met = starred.filter("comp <> hub.comp and (probe or hub.probe)").select(
-                F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")
-            )
-            live = starred.filter("cls <> hub.cls").select("sig", "cls", "weight", "probe")
-        else:
-            other = live.select("sig", F.col("cls").alias("b"), F.col("comp").alias("b_comp"), F.col("probe").alias("b_probe"))
-            met = live.withColumnRenamed("cls", "a").join(other, "sig")
-            met = met.filter("a < b and comp <> b_comp and (probe or b_probe)").select("a", "b")
-            live = None
-        edges = _similar(met.distinct(), sets, percent)
-        edges = edges.join(labels.select(F.col("cls").alias("a"), F.col("comp").alias("u")), "a")
-        edges = edges.join(labels.select(F.col("cls").alias("b"), F.col("comp").alias("v")), "b")
-        edges = store.save(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), f"links{turn}")
-        labels = components(edges, labels, store)
+        if turn:
+            few = live if turn == STAR_ROUNDS else live.filter(F.col("members") <= FEW)
+            other = few.select("sig", F.col("cls").alias("hub"), F.col("comp").alias("hub_comp"), F.col("probe").alias("hub_probe"))
+            pairs = few.join(other, "sig").filter("cls < hub and comp <> hub_comp and (probe or hub_probe)")
+            met = _compare(pairs.select("hub", "cls").distinct(), sets, percent)
+            labels = components(_links(met, labels, store), labels, store)
+            if turn == STAR_ROUNDS:
+                break
+            live = live.filter(F.col("members") > FEW)
+        hub = F.max(F.struct("probe", "weight", "cls")).alias("hub")
+        starred = live.join(live.groupBy("sig").agg(hub), "sig").select("sig", "cls", "weight", "probe", F.col("hub.cls").alias("hub"))
+        starred = store.save(starred.filter("cls <> hub"), f"starred{turn}")
+        met = store.save(_compare(starred.select("hub", "cls").distinct(), sets, percent), f"met{turn}")
+        labels = components(_links(met, labels, store), labels, store)
+        if turn == 0:
+            live = starred.select("sig", "cls", "weight", "probe")
+            continue
+        far = met.filter(F.col("differ") > REACH * F.col("most")).select("hub", "cls")
+        far = starred.join(far, ["hub", "cls"], "left_semi").select("sig", "cls", "weight", "probe")
+        live = far.unionByName(_differences(met, labels, percent, store))
     return labels
 
 
+def _links(met: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
+    """Edges (a, b) between the components of linked pairs."""
+    edges = met.filter("linked").select("hub", "cls")
+    edges = edges.join(labels.select(F.col("cls").alias("hub"), F.col("comp").alias("a")), "hub")
+    edges = edges.join(labels.select("cls", F.col("comp").alias("b")), "cls")
+    return store.save(edges.filter("a <> b").select("a", "b").distinct(), "links")
+
+
+def _differences(met: DataFrame, labels: DataFrame, percent: int, store: Store) -> DataFrame:
+    """Signatures (hub, element) of classes near a hub: elements of the prefix of their difference from it.
+
+    Let x and y be similar, in different components, with differences dx and
+    dy from the hub. One of them is not linked to the hub, say y, and then dx
+    and dy share more than |dx| p / (100 + p) elements, and at least
+    |dy| less what similar sets can differ. Either set's prefix follows.
+    """
+    near = met.filter("diff is not null").join(labels, "cls")
+    mixed = near.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    near = near.join(mixed.select("hub"), "hub", "left_semi")
+    rows = store.save(near.select("hub", "cls", "differ", "linked", "most", F.explode("diff").alias("e")), "differences")
+    times = rows.groupBy("hub", "e").agg(F.count("*").alias("times"))
+    rows = rows.join(times, ["hub", "e"])
+    rank = F.row_number().over(Window.partitionBy("hub", "cls").orderBy("times", "e"))
+    prefix = F.when(F.col("linked"), F.col("differ") - F.floor(F.col("differ") * percent / (100 + percent)))
+    prefix = prefix.otherwise(F.least("differ", F.col("most") + 1))
+    chosen = rows.withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("times") > 1))
+    return chosen.select(F.xxhash64("hub", "e").alias("sig"), "cls", (-F.col("differ")).cast("long").alias("weight"), F.lit(True).alias("probe"))
+
+
 def _unsettled(rows: DataFrame) -> DataFrame:
-    """Rows of signatures that still join different components, with a probe among them."""
-    open_sigs = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("probe").alias("any"))
-    return rows.join(open_sigs.filter("low <> high and any").select("sig"), "sig", "left_semi")
+    """Rows of signatures that still join different components, with a probe among them; ``members`` counts them."""
+    open_sigs = rows.groupBy("sig").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("probe").alias("any"), F.count("*").alias("members")
+    )
+    return rows.join(open_sigs.filter("low <> high and any").select("sig", "members"), "sig")
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None = None) -> DataFrame:
