@@ -238,18 +238,19 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None
     store = store or Store(spark, "jaccard")
     for seed in range(8):
         rows = store.save(profile(docs, width, percent, seed), "profiles")
-        classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("name").alias("low"), F.max("name").alias("high"))
+        classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
         classes = store.save(classes, "classes")
         if classes.filter("low <> high").isEmpty():
             break
     shared = _shared_signatures(rows, percent, store)
     plain = store.save(rows.select("doc_id", F.col("n").alias("n_shingles"), "cls"), "sizes")
     store.drop(rows)
-    labels = shared.select("cls").distinct().select("cls", F.col("cls").alias("comp"))
-    firsts = labels.join(classes, "cls").select(F.col("first").alias("doc_id"))
+    labels = classes.join(shared.select("cls").distinct(), "cls").select("cls", "n", F.col("cls").alias("comp"))
+    firsts = labels.select("cls").join(classes, "cls").select(F.col("first").alias("doc_id"))
     sets = _sets(docs.join(firsts, docs["doc_id"] == firsts["doc_id"], "left_semi"), width, seed).dropDuplicates(["cls"])
     sets = store.save(sets.join(labels.select("cls"), "cls", "left_semi"), "sets")
     labels = _connect(shared, store.save(labels, "labels"), sets, percent, store)
+    labels = labels.select("cls", "comp")
     named = classes.join(labels, "cls").groupBy("comp").agg(F.min("first").alias("component_id"))
     found = classes.select("cls", "first").join(labels, "cls", "left").join(named, "comp", "left")
     found = store.save(found.select("cls", F.coalesce("component_id", "first").alias("component_id")), "components")
@@ -284,37 +285,44 @@ def _shared_signatures(rows: DataFrame, percent: int, store: Store) -> DataFrame
 
 
 def _connect(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, store: Store) -> DataFrame:
-    """Final labels (cls, comp) of the classes in ``shared``.
-
-    In a round the classes of every signature that still joins different
-    components are compared with one of them, the hub. A class whose difference d
-    from the hub is small (``REACH`` times what two similar sets can differ) needs
-    no comparison with the others under this signature: a similar one lies in
-    the hub's neighbourhood too, and their differences from the hub then share
-    elements. Those elements, the rarest first and as many as the prefix filter asks
-    for, become signatures of the next round. Classes far from the hub stay under
-    their signature. So thousands of variants of one text cost one comparison
-    each, not one a pair. What ``STAR_ROUNDS`` leave is compared pair by pair.
+    """Final labels (cls, n, comp) of the classes in ``shared``.
+
+    In a round, signatures that still join different components of at most ``FEW``
+    classes are settled pair by pair; pairs that were compared before, or whose sizes rule a
+    link out, are left away. Of larger signatures all classes are compared with one
+    of them, the hub. A class whose difference from the hub is small (``REACH``
+    times what two similar sets can differ) needs no comparison with the
+    others: a similar one lies in the hub's neighbourhood too, and their
+    differences from the hub then share elements. Those elements, the rarest
+    first and as many as the prefix filter asks for, become signatures of the
+    next round; classes far from the hub stay under their signature. So thousands of
+    variants of one text do not cost a comparison a pair. What ``STAR_ROUNDS``
+    leave is compared pair by pair. The first round compares with hubs only.
     """
-    live = shared
+    live, tested = shared, None
     for turn in range(STAR_ROUNDS + 1):
         live = store.save(_unsettled(live.join(labels, "cls")), f"live{turn}")
         if live.isEmpty():
             break
         if turn:
             few = live if turn == STAR_ROUNDS else live.filter(F.col("members") <= FEW)
-            other = few.select("sig", F.col("cls").alias("hub"), F.col("comp").alias("hub_comp"), F.col("probe").alias("hub_probe"))
-            pairs = few.join(other, "sig").filter("cls < hub and comp <> hub_comp and (probe or hub_probe)")
-            met = _compare(pairs.select("hub", "cls").distinct(), sets, percent)
+            other = few.select("sig", *[F.col(c).alias(f"other_{c}") for c in ("cls", "comp", "probe", "n")])
+            alike = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
+            pairs = few.join(other, "sig").filter(alike & F.expr("cls < other_cls and comp <> other_comp and (probe or other_probe)"))
+            pairs = pairs.select("cls", F.col("other_cls").alias("hub")).distinct().join(tested, ["cls", "hub"], "left_anti")
+            met = store.save(_compare(pairs, sets, percent).select("hub", "cls", "linked"), f"direct{turn}")
             labels = components(_links(met, labels, store), labels, store)
             if turn == STAR_ROUNDS:
                 break
+            tested = tested.unionByName(met.select("cls", "hub"))
             live = live.filter(F.col("members") > FEW)
         hub = F.max(F.struct("probe", "weight", "cls")).alias("hub")
         starred = live.join(live.groupBy("sig").agg(hub), "sig").select("sig", "cls", "weight", "probe", F.col("hub.cls").alias("hub"))
         starred = store.save(starred.filter("cls <> hub"), f"starred{turn}")
         met = store.save(_compare(starred.select("hub", "cls").distinct(), sets, percent), f"met{turn}")
         labels = components(_links(met, labels, store), labels, store)
+        seen = met.select(F.least("hub", "cls").alias("cls"), F.greatest("hub", "cls").alias("hub"))
+        tested = seen if tested is None else tested.unionByName(seen)
         if turn == 0:
             live = starred.select("sig", "cls", "weight", "probe")
             continue
@@ -340,7 +348,7 @@ def _differences(met: DataFrame, labels: DataFrame, percent: int, store: Store)
     and dy share more than |dx| p / (100 + p) elements, and at least
     |dy| less what similar sets can differ. Either set's prefix follows.
     """
-    near = met.filter("diff is not null").join(labels, "cls")
+    near = met.filter("diff is not null").join(labels.select("cls", "comp"), "cls")
     mixed = near.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     near = near.join(mixed.select("hub"), "hub", "left_semi")
     rows = store.save(near.select("hub", "cls", "differ", "linked", "most", F.explode("diff").alias("e")), "differences")
