@@ -177,20 +177,24 @@ def resample(
 
     ``good`` says of a row of ``labels`` (doc_id, ...) whether its document is
     target text. k is the sample's size; by default it is the number of
-    documents whose key reaches that of the share ``keep_target`` of the labelled
-    target documents. Documents without words (null, empty, blank) are never
+    documents whose key reaches that of the share ``keep_target`` of those labelled
+    target documents that were held out of the fit. Documents without words (null, empty, blank) are never
     selected. Rows that repeat an id share its draw; keys that tie at the cut
     are all kept. Without labelled target documents nothing is known: every
     ratio is even and all documents with words stay.
     """
     store = Store(docs.sparkSession, "importance")
     ids, is_good = labelled_sample(labels, good, settings.most_labels)
-    ratios = fit(docs, ids[is_good], settings) if is_good.any() else np.zeros(1 << BITS, np.float32)
+    # A quarter of the target sample is not fitted on: it shows what unseen target text scores.
+    held = (ids.astype(np.uint64) * _MIX >> np.uint64(62)) == 0
+    fitted = is_good & ~held if (is_good & ~held).any() else is_good
+    held = is_good & held if (is_good & held).any() else is_good
+    ratios = fit(docs, ids[fitted], settings) if is_good.any() else np.zeros(1 << BITS, np.float32)
     scored = score(docs.select("doc_id", "text"), ratios, settings).select("doc_id", "log_weight")
     scored = store.save(scored.withColumn("key", F.col("log_weight") + gumbel(seed)), "keys")
     cut: float | None = None
     if k is None and is_good.any():
-        wanted = docs.sparkSession.createDataFrame([(int(i),) for i in ids[is_good]], "doc_id bigint")
+        wanted = docs.sparkSession.createDataFrame([(int(i),) for i in ids[held]], "doc_id bigint")
         known = scored.filter("key is not null").join(wanted, "doc_id", "left_semi")
         least = known.agg(F.percentile("key", 1 - settings.keep_target)).first()[0]
         k = scored.filter(F.col("key") >= least).count() if least is not None else None

@@ -319,7 +319,12 @@ def _connect(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
         hub = F.max(F.struct("probe", "weight", "cls")).alias("hub")
         starred = live.join(live.groupBy("sig").agg(hub), "sig").select("sig", "cls", "weight", "probe", F.col("hub.cls").alias("hub"))
         starred = store.save(starred.filter("cls <> hub"), f"starred{turn}")
-        met = store.save(_compare(starred.select("hub", "cls").distinct(), sets, percent), f"met{turn}")
+        pairs = starred.select("hub", "cls").distinct()
+        if turn == 0:  # only links count here, and sizes rule some out
+            ns = labels.select("cls", "n")
+            pairs = pairs.join(ns, "cls").join(ns.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n")), "hub")
+            pairs = pairs.filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "cls")
+        met = store.save(_compare(pairs, sets, percent), f"met{turn}")
         labels = components(_links(met, labels, store), labels, store)
         seen = met.select(F.least("hub", "cls").alias("cls"), F.greatest("hub", "cls").alias("hub"))
         tested = seen if tested is None else tested.unionByName(seen)
