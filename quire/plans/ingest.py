@@ -24,9 +24,6 @@ from quire.session import materialise
 from quire.sources import corpus
 from quire.sources.tables import StateTables
 
-# Up to this many changed files are opened by name; beyond it the tree is read whole.
-FILES_BY_NAME = 10_000
-
 CONTENT_TABLES = ("chapters", "scriptures", "talks", "manuals", "books", "study_aids")
 _SUMMARY = "content_type string, outcome string, n bigint"
 
@@ -36,32 +33,11 @@ def _changed_content(
 ) -> DataFrame:
     """Routed files of one tree that changed, with content.
 
-    A small batch is read by name, so that an incremental run opens only what
-    changed; the list sent to the driver is bounded. When everything changed the
-    tree is read without any join, otherwise the smaller of the two lists is
-    joined, which Spark broadcasts if its size allows.
+    The tree is always read as a whole and joined with the list of changed files,
+    so file names are never taken for patterns and no list passes the driver.
     """
-    counts = diff.agg(
-        F.count_if(F.col("outcome") != "unchanged").alias("changed"),
-        F.count_if(F.col("outcome") == "unchanged").alias("unchanged"),
-    ).first()
-    changed = corpus.changed_files(diff).select("path")
-    if counts.changed == 0:
-        return route(corpus.scan_corpus(spark, root)).limit(0)
-    if counts.changed <= FILES_BY_NAME:
-        raw = (
-            spark.read.format("binaryFile")
-            .option("ignoreMissingFiles", True)
-            .option("ignoreCorruptFiles", True)
-            .load([r.path for r in changed.collect()])
-        )
-        return route(corpus.file_columns(raw, root))
     files = route(corpus.scan_corpus(spark, root))
-    if counts.unchanged == 0:
-        return files
-    if counts.unchanged < counts.changed:
-        return files.join(diff.filter(F.col("outcome") == "unchanged").select("path"), "path", "left_anti")
-    return files.join(changed, "path", "left_semi")
+    return files.join(corpus.changed_files(diff).select("path"), "path", "left_semi")
 
 
 def apply_files(state: StateTables, files: DataFrame, now: Column | None = None) -> DataFrame:
@@ -81,17 +57,17 @@ def apply_files(state: StateTables, files: DataFrame, now: Column | None = None)
     verses = talks = None
     if "scriptures" in present:
         verses = materialise(extract.extract_verses(of("scriptures")), "verses")
-        batches["chapters"] = extract.extract_chapters(of("scriptures"))
+        batches["chapters"] = materialise(extract.extract_chapters(of("scriptures")), "chapters")
         # across files the later path wins, within a file the later line
         batches["scriptures"] = verses.withColumn("_order", F.struct("file_path", "line_no"))
     if "talks" in present:
         talks = batches["talks"] = materialise(extract.extract_talks(of("talks")), "talks")
     if "manuals" in present:
-        batches["manuals"] = extract.extract_manuals(of("manuals"))
+        batches["manuals"] = materialise(extract.extract_manuals(of("manuals")), "manuals")
     if "books" in present:
-        batches["books"] = extract.extract_books(of("books"))
+        batches["books"] = materialise(extract.extract_books(of("books")), "books")
     if "study_aids" in present:
-        batches["study_aids"] = extract.extract_study_aids(of("study_aids"))
+        batches["study_aids"] = materialise(extract.extract_study_aids(of("study_aids")), "study_aids")
     summary = spark.createDataFrame([], _SUMMARY)
     for name, batch in batches.items():
         state.merge(name, batch, "_order" if name == "scriptures" else "file_path")
@@ -119,12 +95,17 @@ def ingest(
     force: bool = False,
     prune: bool = False,
     now: Column | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Bring the state tables up to date with the trees; returns (content_type, outcome, n).
 
-    Rows of vanished files stay unless ``prune`` is set.
+    Rows of vanished files stay unless ``prune`` is set. It removes only rows of
+    files below the given roots, and nothing when a root lists no file at all.
+    Files that were listed but could not be read are counted as ``error`` and
+    stay out of the manifest, so the next run tries them again. ``parts`` is the
+    number of hash partitions of a new state.
     """
-    state = StateTables(spark, state_root)
+    state = StateTables(spark, state_root, parts)
     known = state.read("index_metadata")
     listings, diffs, files = [], [], []
     for root, route in ((library_root, corpus.route_files), (books_root, corpus.route_books)):
@@ -139,13 +120,22 @@ def ingest(
         files.append(_changed_content(spark, diff, root, route))
     if not listings:
         raise ValueError("give a library root, a books root or both")
-    rows = apply_files(state, reduce(DataFrame.unionByName, files), now)
+    rows_read = apply_files(state, reduce(DataFrame.unionByName, files), now)
     listing = reduce(DataFrame.unionByName, listings)
     if prune:
+        roots = [corpus.qualified(spark, root) for root in (library_root, books_root) if root]
+        for root, listed in zip(roots, listings, strict=True):
+            if listed.isEmpty():
+                raise ValueError(f"{root} lists no file; nothing was pruned")
         for name in (*CONTENT_TABLES, "index_metadata"):
             if state.exists(name):
-                state.replace(name, prune_vanished(state.read(name), listing))
-    return corpus.index_run_summary(listing, reduce(DataFrame.unionByName, diffs)).unionByName(rows)
+                rows = state.read(name)
+                below = reduce(Column.__or__, [F.startswith(F.col("file_path"), F.lit(f"{root}/")) for root in roots])
+                below = F.coalesce(below, F.lit(False))
+                state.replace(name, prune_vanished(rows.filter(below), listing).unionByName(rows.filter(~below)))
+    again = corpus.manifest_diff(listing.filter(F.col("outcome") == "routed"), state.read("index_metadata"))
+    lost = materialise(corpus.changed_files(again).select("path"), "unread")
+    return corpus.index_run_summary(listing, reduce(DataFrame.unionByName, diffs), lost).unionByName(rows_read)
 
 
 def backfill_stored_speakers(

@@ -156,16 +156,25 @@ def manifest_rows(indexed: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def index_run_summary(routed: DataFrame, diff: DataFrame) -> DataFrame:
-    """Files per content type and outcome: indexed, unchanged, ignored or skipped."""
+def qualified(spark: SparkSession, root: str) -> str:
+    """A root as the paths below it begin in a listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def index_run_summary(routed: DataFrame, diff: DataFrame, unread: DataFrame | None = None) -> DataFrame:
+    """Files per content type and outcome: indexed, error (in ``unread``), unchanged, ignored or skipped."""
     compared = diff.select("path", F.col("outcome").alias("change"))
+    if unread is not None:
+        lost = unread.select("path", F.lit("error").alias("lost"))
+        compared = compared.join(lost, "path", "left").withColumn("change", F.coalesce("lost", "change")).drop("lost")
     return (
         routed.select("path", "content_type", "outcome")
         .join(compared, "path", "left")
         .select(
             F.coalesce("content_type", F.lit("none")).alias("content_type"),
             F.when(F.col("outcome") != "routed", F.col("outcome"))
-            .when(F.col("change") == "unchanged", "unchanged")
+            .when(F.col("change").isin("unchanged", "error"), F.col("change"))
             .otherwise("indexed")
             .alias("outcome"),
         )

@@ -22,13 +22,27 @@ PARTS = 64
 class StateTables:
     """Read, merge into and append to the tables of one corpus.
 
-    ``parts`` is fixed when a corpus is first built; large ones want thousands.
+    ``parts`` is fixed when a corpus is first built and stored beside its tables;
+    large ones want thousands. Another number for a stored corpus is an error.
     """
 
-    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
+    def __init__(self, spark: SparkSession, root: str, parts: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.parts = parts
+        stored = self._stored_parts()
+        if stored is not None and parts not in (None, stored):
+            raise ValueError(f"{self.root} has {stored} parts, not {parts}")
+        self.parts = stored or parts or PARTS
+
+    def _stored_parts(self) -> int | None:
+        if self.exists("_parts"):
+            return self.spark.read.schema("parts int").json(f"{self.root}/_parts/data").first().parts
+        return PARTS if any(self.exists(name) for name in UPSERTS) else None  # stored before the number was
+
+    def _keep_parts(self) -> None:
+        if not self.exists("_parts"):
+            one = self.spark.createDataFrame([(self.parts,)], "parts int").coalesce(1)
+            one.write.mode("overwrite").json(f"{self.root}/_parts/data")
 
     def exists(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -49,6 +63,7 @@ class StateTables:
         return F.pmod(F.xxhash64(*UPSERTS[name][0]), F.lit(self.parts)).cast("int")
 
     def _write(self, name: str, rows: DataFrame, overwrite: str) -> None:
+        self._keep_parts()
         # rebalancing splits large partitions and merges small ones by their real size
         (
             rows.hint("rebalance", "part")

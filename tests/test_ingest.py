@@ -101,9 +101,8 @@ def test_ingest_then_nothing_then_changes(spark, trees):
     assert state.read("books").count() == 1
 
 
-def test_large_batches_are_joined_instead_of_named(spark, trees, monkeypatch):
+def test_a_changed_file_is_read_again(spark, trees):
     library, books, root = trees
-    monkeypatch.setattr(plan, "FILES_BY_NAME", 0)
     ingest(spark, root, library, books)
     state = StateTables(spark, root)
     assert state.read("scriptures").count() == 3 and state.read("books").count() == 2
@@ -194,3 +193,37 @@ def test_manifest_diff_of_itself_is_empty(spark, trees):
     manifest = corpus.manifest_rows(listing.withColumn("record_count", F.lit(1)))
     assert corpus.changed_files(corpus.manifest_diff(listing, manifest)).count() == 0
     assert corpus.changed_files(corpus.manifest_diff(listing, manifest, force=True)).count() == listing.count()
+
+
+def test_odd_file_names_are_indexed_once_each(spark, tmp_path):
+    names = ["talk[1]", "talk1", "a{b,c}", "ab", "star*", "what?", "k=v", "with space"]
+    talk = "# T\n\nBy Elder A\n\nBody of {}."
+    write_tree(tmp_path / "l", {f"eng/general-conference/2020/04/{n}.md": talk.format(n) for n in names})
+    root = str(tmp_path / "s")
+    got = outcome(ingest(spark, root, str(tmp_path / "l")))
+    assert got["talks", "indexed"] == got["talks", "rows"] == len(names)
+    bodies = {r.content for r in StateTables(spark, root).read("talks").collect()}
+    assert all(any(f"Body of {n}." in b for b in bodies) for n in names)
+    assert outcome(ingest(spark, root, str(tmp_path / "l")))["talks", "unchanged"] == len(names)
+
+
+def test_prune_touches_only_the_given_roots(spark, trees, tmp_path):
+    library, books, root = trees
+    ingest(spark, root, library, books)
+    before = content(StateTables(spark, root), "books", "file_path")
+    os.remove(f"{library}/eng/manual/cfm/x/1.md")
+    ingest(spark, root, library, prune=True)
+    state = StateTables(spark, root)
+    assert content(state, "books", "file_path") == before and content(state, "manuals", "file_path") == []
+    assert state.read("index_metadata").filter("content_type = 'books'").count() == len(before)
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError, match="lists no file"):
+        ingest(spark, root, books_root=str(tmp_path / "empty"), prune=True)
+
+
+def test_parts_are_stored_with_the_state(spark, trees):
+    library, books, root = trees
+    ingest(spark, root, library, books, parts=7)
+    assert StateTables(spark, root).parts == 7
+    with pytest.raises(ValueError, match="has 7 parts"):
+        StateTables(spark, root, 8)
