@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +41,11 @@ class Store:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
+    def release(self) -> None:
+        """Let Spark remove shuffle files of finished steps now: its cleaner waits for the driver's garbage collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     @classmethod
     def drop_owned(cls, owner: str) -> None:
         for store in cls.opened.pop(owner, []):

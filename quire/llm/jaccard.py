@@ -245,10 +245,12 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None
     shared = _shared_signatures(rows, percent, store)
     plain = store.save(rows.select("doc_id", F.col("n").alias("n_shingles"), "cls"), "sizes")
     store.drop(rows)
+    store.release()
     labels = classes.join(shared.select("cls").distinct(), "cls").select("cls", "n", F.col("cls").alias("comp"))
     firsts = labels.select("cls").join(classes, "cls").select(F.col("first").alias("doc_id"))
     sets = _sets(docs.join(firsts, docs["doc_id"] == firsts["doc_id"], "left_semi"), width, seed).dropDuplicates(["cls"])
     sets = store.save(sets.join(labels.select("cls"), "cls", "left_semi"), "sets")
+    store.release()
     labels = _connect(shared, store.save(labels, "labels"), sets, percent, store)
     labels = labels.select("cls", "comp")
     named = classes.join(labels, "cls").groupBy("comp").agg(F.min("first").alias("component_id"))
@@ -268,6 +270,7 @@ def _shared_signatures(rows: DataFrame, percent: int, store: Store) -> DataFrame
     here = Window.partitionBy("sig")
     met = each.withColumns({"low": F.min("cls").over(here), "high": F.max("cls").over(here)}).filter("low <> high")
     all_met = met = store.save(met.select("sig", "cls").distinct(), "met")
+    store.release()
     sizes = met.groupBy("sig").agg(F.count("*").alias("times"))
     met = met.join(sizes, "sig")
     plan = Plan(percent)
@@ -302,6 +305,7 @@ def _connect(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     live, tested = shared, None
     for turn in range(STAR_ROUNDS + 1):
         live = store.save(_unsettled(live.join(labels, "cls")), f"live{turn}")
+        store.release()
         if live.isEmpty():
             break
         if turn:
