@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,6 +28,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, label: str, owner: str | None = None):
         self.spark, self.path, self.count = spark, scratch_path(spark, label), 0
+        self.buckets: list[tuple[str, str]] = []
         if owner is not None:
             Store.opened.setdefault(owner, []).append(self)
 
@@ -36,10 +38,28 @@ class Store:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_buckets(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A stored table in buckets of ``key``, which joins on it read without a shuffle."""
+        self.count += 1
+        path, label = f"{self.path}/{self.count}-{name}", f"quire_{name}_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(label)
+        self.buckets.append((label, path))
+        return self.spark.table(label)
+
+    def drop_buckets(self) -> None:
+        while self.buckets:
+            label, path = self.buckets.pop()
+            self.spark.sql(f"DROP TABLE IF EXISTS {label}")
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
     def drop(self, *tables: DataFrame) -> None:
         for path in [f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()[:1]] or [self.path] * (not tables):
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            self._delete(path)
 
     def release(self) -> None:
         """Let Spark remove shuffle files of finished steps now: its cleaner waits for the driver's garbage collection."""

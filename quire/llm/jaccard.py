@@ -55,9 +55,13 @@ class Plan:
     """Bands for a similarity of ``percent`` / 100, made as sizes come up."""
 
     percent: int
-    growth: float = 1.5
     bands: list[Band] = field(default_factory=list)
 
+    @property
+    def growth(self) -> float:
+        """High over low end of a band: similar sets then lie in the same band or in neighbouring ones."""
+        return max(1.25, 100 / self.percent)
+
     def band(self, size: int) -> Band:
         while not self.bands or self.bands[-1].high <= size:
             low = self.bands[-1].high if self.bands else 1
@@ -71,13 +75,19 @@ class Plan:
         if not differ:
             return Band(number, low, high, 0, 0, False)
         size = (low * high) ** 0.5
-        spare = max(1, (differ + 1) // 3)
-        exact, halved = differ + 1 + spare, -(-(differ + 1) // 2)
-        exact_cost = exact * (1 + _FALSE_MATCH_COST * np.exp(-size / exact))
+        spare = np.unique(np.geomspace(1, differ + 1, 64).astype(np.int64))
+        exact = differ + 1 + spare
+        # empty segments, and about as many with one common element, agree by chance: a set skips
+        # ``spare`` of them, and what is left over is bounded by the tail of a Poisson count
+        chance = 2 * exact * np.exp(-size / exact)
+        over = np.where(chance < spare, np.exp(spare - chance + spare * np.log(chance / spare)), 1.0)
+        exact_cost = exact + _FALSE_MATCH_COST * chance * over
+        best = int(np.argmin(exact_cost))
+        halved = -(-(differ + 1) // 2)
         halved_cost = halved + size + _FALSE_MATCH_COST * halved * np.exp(-size / halved) * (1 + size / halved)
-        if halved_cost < exact_cost:
+        if halved_cost < exact_cost[best]:
             return Band(number, low, high, halved, 0, True)
-        return Band(number, low, high, exact, spare, False)
+        return Band(number, low, high, int(exact[best]), int(spare[best]), False)
 
     def uses(self, size: int) -> list[Band]:
         """The set's own band, and the next one if a similar set can lie there."""
@@ -167,20 +177,36 @@ def _names(items: np.ndarray, seed: int) -> tuple[bytes, int]:
     return digest[:16], int.from_bytes(digest[16:], "little", signed=True)
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements in 4 to 8 places an element, as 64-bit words."""
+    places = max(256, 1 << (4 * len(items) - 1).bit_length())
+    odd = np.bincount((_mix(items) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets: each of its elements turns one parity."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+
+
 def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """(cls, items) of documents."""
+    """(cls, size, bits, items) of documents: ``bits`` is the set's sketch."""
+    words = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.int32(), words, words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
             values = [items for items in map(shingle, _texts(batch.column(0))) if len(items)]
             for i in range(0, len(values), 256):
-                some = values[i : i + 256]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([_names(x, seed)[1] for x in some], pa.int64()), pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64())),
-                ], ["cls", "items"])
+                some = [(_names(x, seed)[1], len(x), sketch(x), x.view(np.int64)) for x in values[i : i + 256]]
+                columns = [pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["cls", "size", "bits", "items"])
 
-    return docs.select("text").mapInArrow(run, "cls bigint, items array<bigint>")
+    return docs.select("text").mapInArrow(run, "cls bigint, size int, bits array<bigint>, items array<bigint>")
 
 
 def components(edges: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
@@ -204,21 +230,57 @@ def components(edges: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
     return labels
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, cls) with ``differ``, the size of their symmetric difference, ``linked``, the difference
-    ``most`` that a set similar to cls can have, and the difference itself (``diff``) where it may matter."""
-    one = sets.select(F.col("cls").alias("hub"), F.col("items").alias("x"))
-    two = sets.select("cls", F.col("items").alias("y"))
-    joined = pairs.join(one, "hub").join(two, "cls")
+def _with_sets(pairs: DataFrame, sets: DataFrame, column: str, store: Store) -> tuple[DataFrame, DataFrame]:
+    """Stored ``pairs`` with ``column`` of hub and class as x and y, and the hubs' rows, for dropping.
+
+    ``sets`` lies in buckets of its key and is not shuffled. The hubs' rows are stored
+    apart, once each, so that adaptive execution can split the pairs of a hot hub.
+    """
+    one = sets.select(F.col("cls").alias("hub"), F.col("size").alias("hub_size"), F.col(column).alias("x"))
+    hubs = store.save(pairs.select("hub").distinct().join(one, "hub"), "hubs")
+    return pairs.select("hub", "cls").join(sets.select("cls", "size", F.col(column).alias("y")), "cls").join(hubs, "hub"), hubs
+
+
+def _outline(pairs: DataFrame) -> DataFrame:
+    """Pairs (hub, cls, hub_size, size) with ``least``, what they differ by at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([v.values.to_numpy() for v in batch.column(name)] for name in ("x", "y"))
+            least = pa.array([least_difference(a, b) for a, b in zip(x, y, strict=True)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("hub", "cls", "hub_size", "size")], least], ["hub", "cls", "hub_size", "size", "least"])
+
+    rows = pairs.select("hub", "cls", "hub_size", "size", "x", "y")
+    return rows.mapInArrow(run, "hub bigint, cls bigint, hub_size int, size int, least int")
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int, store: Store, name: str, reach: int = 0) -> DataFrame:
+    """Pairs (hub, cls) with ``differ``, the size of their symmetric difference, ``linked`` and the difference
+    ``most`` that a set similar to cls can have; with ``reach``, ``diff`` is the difference where it may matter.
+
+    Sketches come first: pairs that they tell apart keep ``differ`` as a lower bound, and their sets are not read.
+    """
+    most = F.floor((100 - percent) * F.col("size") / percent).cast("int")
+    far = (100 + percent) * F.col("least") > (100 - percent) * (F.col("hub_size") + F.col("size"))
+    limit = -(-100 * (reach + 1) // percent) * most
+    if reach:
+        far &= F.col("least") > limit
+    pairs = store.save(pairs, f"pairs-{name}")
+    sketched, hubs = _with_sets(pairs, sets, "bits", store)
+    outlined = store.save(_outline(sketched).withColumn("far", far), f"outlined-{name}")
+    store.drop(hubs)
+    joined, hubs = _with_sets(outlined.filter(~F.col("far")), sets, "items", store)
     joined = joined.withColumn("both", F.size(F.array_intersect("x", "y")))
-    union = F.size("x") + F.size("y") - F.col("both")
-    joined = joined.withColumns({
-        "differ": union - F.col("both"), "linked": 100 * F.col("both") >= percent * union,
-        "most": F.floor((100 - percent) * F.size("y") / percent).cast("int"),
-    })
-    diff = F.array_union(F.array_except("x", "y"), F.array_except("y", "x"))
-    near = F.col("differ") <= -(-100 * (REACH + 1) // percent) * F.col("most")
-    return joined.select("hub", "cls", "differ", "linked", "most", F.when(near, diff).alias("diff"))
+    union = F.col("hub_size") + F.col("size") - F.col("both")
+    joined = joined.withColumns({"differ": union - F.col("both"), "linked": 100 * F.col("both") >= percent * union, "most": most})
+    none = F.lit(None).cast("array<bigint>")
+    diff = F.when(F.col("differ") <= limit, F.array_union(F.array_except("x", "y"), F.array_except("y", "x"))) if reach else none
+    near = joined.select("hub", "cls", "differ", "linked", "most", diff.alias("diff"))
+    apart = outlined.filter("far").select("hub", "cls", F.col("least").alias("differ"), F.lit(False).alias("linked"), most.alias("most"), none.alias("diff"))
+    met = store.save(near.unionByName(apart), name)
+    store.drop(pairs, outlined, hubs)
+    store.release()
+    return met
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None = None) -> DataFrame:
@@ -249,9 +311,10 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None
     labels = classes.join(shared.select("cls").distinct(), "cls").select("cls", "n", F.col("cls").alias("comp"))
     firsts = labels.select("cls").join(classes, "cls").select(F.col("first").alias("doc_id"))
     sets = _sets(docs.join(firsts, docs["doc_id"] == firsts["doc_id"], "left_semi"), width, seed).dropDuplicates(["cls"])
-    sets = store.save(sets.join(labels.select("cls"), "cls", "left_semi"), "sets")
+    sets = store.save_buckets(sets.join(labels.select("cls"), "cls", "left_semi"), "sets", "cls")
     store.release()
     labels = _connect(shared, store.save(labels, "labels"), sets, percent, store)
+    store.drop_buckets()
     labels = labels.select("cls", "comp")
     named = classes.join(labels, "cls").groupBy("comp").agg(F.min("first").alias("component_id"))
     found = classes.select("cls", "first").join(labels, "cls", "left").join(named, "comp", "left")
@@ -314,7 +377,7 @@ def _connect(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
             alike = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
             pairs = few.join(other, "sig").filter(alike & F.expr("cls < other_cls and comp <> other_comp and (probe or other_probe)"))
             pairs = pairs.select("cls", F.col("other_cls").alias("hub")).distinct().join(tested, ["cls", "hub"], "left_anti")
-            met = store.save(_compare(pairs, sets, percent).select("hub", "cls", "linked"), f"direct{turn}")
+            met = _compare(pairs, sets, percent, store, f"direct{turn}")
             labels = components(_links(met, labels, store), labels, store)
             if turn == STAR_ROUNDS:
                 break
@@ -328,7 +391,7 @@ def _connect(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
             ns = labels.select("cls", "n")
             pairs = pairs.join(ns, "cls").join(ns.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n")), "hub")
             pairs = pairs.filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "cls")
-        met = store.save(_compare(pairs, sets, percent), f"met{turn}")
+        met = _compare(pairs, sets, percent, store, f"met{turn}", REACH if turn else 0)
         labels = components(_links(met, labels, store), labels, store)
         seen = met.select(F.least("hub", "cls").alias("cls"), F.greatest("hub", "cls").alias("hub"))
         tested = seen if tested is None else tested.unionByName(seen)

@@ -51,6 +51,16 @@ def test_jaccard_links(frame, width, percent):
     assert got == brute.jaccard_components(rows, width, percent)
 
 
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(3)
+    for n, extra in ((1, 0), (30, 5), (100, 40), (900, 300), (900, 1200)):
+        pool = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+        x = np.sort(rng.choice(pool, n, replace=False))
+        y = np.sort(np.union1d(x[extra // 8 :], rng.choice(pool, extra, replace=False)))
+        least, true = jaccard.least_difference(jaccard.sketch(x), jaccard.sketch(y)), len(np.setxor1d(x, y))
+        assert 0.6 * true <= least <= true and (true - least) % 2 == 0
+
+
 def test_jaccard_variants_of_one_text(frame):
     """A star of variants that link through some of each other only."""
     r = random.Random(5)
