@@ -207,21 +207,23 @@ def backfill_summary(backfill: DataFrame) -> DataFrame:
 
 
 def chunk_paragraphs(rows: DataFrame) -> DataFrame:
-    """Blank-line separated paragraphs of (source_type, source_id, content), cleaned and capped.
+    """Blank-line separated paragraphs of (source_type, source_id, content), cleaned.
 
-    ``layer`` is ``paragraph`` for the first survivor, ``paragraph_N`` for later ones.
+    ``layer`` is ``paragraph`` for the first survivor, ``paragraph_N`` for later ones. A paragraph of
+    more than ``CHUNK_CHARS`` code points goes on in further chunks, with ``+1``, ``+2`` after its layer.
     """
     cleaned = F.transform(F.split("content", "\n\n"), clean_inline)
     kept = F.filter(cleaned, lambda p: p != "")
     # the outer form keeps Spark from cleaning twice, once to test for emptiness
     cut = rows.select("source_type", "source_id", F.posexplode_outer(kept).alias("_at", "_text"))
-    return cut.filter(F.col("_at").isNotNull()).select(
+    last = F.floor((F.length("_text") - 1) / CHUNK_CHARS).cast("int")
+    pieces = cut.filter(F.col("_at").isNotNull()).withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
+    first = F.when(F.col("_at") == 0, PARAGRAPH_LAYER).otherwise(F.concat(F.lit(PARAGRAPH_LAYER + "_"), F.col("_at")))
+    return pieces.select(
         "source_type",
         "source_id",
-        F.when(F.col("_at") == 0, PARAGRAPH_LAYER)
-        .otherwise(F.concat(F.lit(PARAGRAPH_LAYER + "_"), F.col("_at")))
-        .alias("layer"),
-        F.substring("_text", 1, CHUNK_CHARS).alias("content"),
+        F.when(F.col("_piece") == 0, first).otherwise(F.concat(first, F.lit("+"), F.col("_piece"))).alias("layer"),
+        F.col("_text").substr(F.col("_piece") * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)).alias("content"),
     )
 
 

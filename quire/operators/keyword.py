@@ -330,22 +330,25 @@ def search_postings(
 ) -> DataFrame:
     """The log-tf ranking of :func:`keyword_search` from a stored postings table, without card columns.
 
-    Only partitions with a query term are read. The postings of each query's
-    rare term give the candidates; they are stored, so their size is known, and
-    the other terms' postings are cut down to them before anything is grouped.
+    Only partitions with a query term are read; a batch of more than ``max_terms`` distinct
+    terms finds its postings by a join instead of lists in the filter. The postings of each query's
+    rare term give the candidates. These are stored, so their size is known, and joined
+    with the query's terms first; postings then meet them by document and term, so a hot
+    term is spread over its documents.
     """
     wanted = check_sources(sources)
     # stored, so that the queries are analysed once and Spark knows their true size
     asked = materialise(query_terms(queries, analyzer).withColumn("driver", _driver_term()), "asked")
-    vocabulary = _vocabulary(asked, max_terms)
-    if vocabulary is None:
-        raise ValueError(f"more than {max_terms} distinct terms: search the term index instead")
-    terms, drivers = vocabulary
+    each = asked.select("query_id", "limit", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    terms, drivers = _vocabulary(asked, max_terms) or (None, None)
     searched = postings if len(wanted) == 5 else postings.filter(F.col("source_type").isin(*wanted))
 
     spark = postings.sparkSession
 
-    def lists(of: list[str]) -> DataFrame:
+    def lists(of: list[str] | None, named: DataFrame) -> DataFrame:
+        if of is None:
+            there = named.distinct().withColumn("term_part", _term_part(F.col("term"), parts))
+            return searched.join(there, ["term_part", "term"], "left_semi")
         places = spark.createDataFrame([(t,) for t in of], "term string").select(
             _term_part(F.col("term"), parts).alias("part")
         )
@@ -353,17 +356,15 @@ def search_postings(
         return searched.filter(F.col("term_part").isin(*numbers)).filter(F.expr(f"term IN ({_in_list(of)})"))
 
     candidates = materialise(
-        lists(drivers)
+        lists(drivers, asked.select(F.col("driver").alias("term")))
         .join(asked.withColumnRenamed("driver", "term"), "term")
         .filter(_source_wanted())
         .select("query_id", *KEYS),
         "candidates",
     )
-    each = asked.select("query_id", "limit", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     scored = (
-        lists(terms)
-        .join(each, "term")
-        .join(candidates, ["query_id", *KEYS])
+        candidates.join(each, "query_id")
+        .join(lists(terms, each.select("term")), [*KEYS, "term"])
         .groupBy("query_id", "limit", "n", *KEYS)
         .agg(F.count("*").alias("found"), F.sum(F.lit(1.0) + F.ln("tf")).alias("score"))
         .filter(F.col("found") == F.col("n"))

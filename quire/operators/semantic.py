@@ -70,8 +70,12 @@ _BEST = T.StructType(
 
 
 def check_model(embeddings: DataFrame, model: str | None) -> DataFrame:
-    """Only vectors of one model are comparable: keep those of ``model`` when it is named."""
-    return embeddings if model is None else embeddings.filter(F.col("model") == model)
+    """Only vectors of one model are comparable: keep those of ``model``, which may be left out if there is one only."""
+    if model is not None:
+        return embeddings.filter(F.col("model") == model)
+    if embeddings.select("model").distinct().limit(2).count() > 1:
+        raise ValueError("vectors of several models are stored; name the one to search")
+    return embeddings
 
 
 def model_census(embeddings: DataFrame) -> DataFrame:
@@ -178,14 +182,23 @@ def nearest(
     one-pass form (True) or the cell form (False); by default the size decides.
     """
     wanted = check_sources(sources)
-    asked = _asked(queries, wanted, factor)
-    rows = _vector_rows(check_model(embeddings, model), wanted)
+    asked = materialise(_asked(queries, wanted, factor), "queries")
+    rows = _of_dimension(_vector_rows(check_model(embeddings, model), wanted), asked)
     few = None if shared is False else _shared_queries(asked)
     if few is not None:
         return _rank(_nearest_shared(rows, few)) if few else _rank(_nothing(rows))
     return _rank(_nearest_by_cell(rows, asked, exact=True))
 
 
+def _of_dimension(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Vectors of the queries' dimension, others match nothing; queries of several dimensions are an error."""
+    size = F.size("vector")
+    widths = asked.agg(F.min(size).alias("low"), F.max(size).alias("high")).first()
+    if widths.low != widths.high:
+        raise ValueError(f"query vectors have {widths.low} to {widths.high} dimensions; they must come from one model")
+    return rows if widths.low is None else rows.filter(F.size("embedding") == widths.low)
+
+
 def _nothing(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame([], _BEST)
 
@@ -337,7 +350,6 @@ def _nearest_by_cell(
     if not len(pivots):
         return _nothing(rows)
     stored = materialise(_with_cell(rows, pivots), "cells")
-    asked = materialise(asked, "queries")
     sizes = materialise(
         stored.groupBy("cell").agg(F.count("*").alias("n_rows"), F.max("angle").alias("radius")), "sizes"
     )
@@ -428,6 +440,7 @@ def semantic_search_approx(
 ) -> DataFrame:
     """Search only the ``probes`` cells whose pivots are nearest to the query."""
     wanted = check_sources(sources)
-    rows = _vector_rows(check_model(embeddings, model), wanted)
-    found = _nearest_by_cell(rows, _asked(queries, wanted), exact=False, cells=cells, probes=probes)
+    asked = materialise(_asked(queries, wanted), "queries")
+    rows = _of_dimension(_vector_rows(check_model(embeddings, model), wanted), asked)
+    found = _nearest_by_cell(rows, asked, exact=False, cells=cells, probes=probes)
     return enrich(_rank(found), cards)

@@ -2,9 +2,9 @@
 
 Plain Parquet tables have no MERGE. The batch is first reduced to one row per
 key, with a partial top-1 before the shuffle, so one key repeated by a third
-of the batch costs nothing extra. The old snapshot, usually the far larger
-side, is only joined from the left: when the batch is small Spark broadcasts
-it and the snapshot streams through without a shuffle.
+of the batch costs nothing extra. One full outer join on the key then gives
+updated, kept and new rows, reading batch and snapshot once each; stored tables
+bring in only the partitions that the batch touches.
 """
 
 from __future__ import annotations
@@ -48,23 +48,20 @@ def upsert(
     """
     ties = [F.col(c).desc_nulls_last() for c in update_cols]
     batch = latest_per_key(incoming, keys, [F.col(order_col).desc_nulls_last(), *ties])
-    marked = batch.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        *[F.col(c).alias(f"_new_{c}") for c in update_cols],
-        F.lit(True).alias("_hit"),
-    )
+    fresh = _as_schema(batch, existing.schema, keys)
+    marked = fresh.select(*[F.col(c).alias(f"_new_{c}") for c in fresh.columns], F.lit(True).alias("_hit"))
     on = F.lit(True)
     for key in keys:
-        on = on & (F.col(key) == F.col(f"_key_{key}"))
-    merged = existing.join(marked, on, "left").select(
+        on = on & (F.col(key) == F.col(f"_new_{key}"))
+    joined = existing.withColumn("_kept", F.lit(True)).join(marked, on, "full_outer")
+    return joined.select(
         *[
-            F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-            if c in update_cols
-            else F.col(c)
+            F.when(F.col("_hit") if c in update_cols else F.col("_kept").isNull(), F.col(f"_new_{c}"))
+            .otherwise(F.col(c))
+            .alias(c)
             for c in existing.columns
         ]
     )
-    return merged.unionByName(_as_schema(absent_rows(batch, existing, keys), existing.schema, keys))
 
 
 def _as_schema(rows: DataFrame, schema: StructType, keys: list[str]) -> DataFrame:

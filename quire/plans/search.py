@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from quire.operators.keyword import build_term_index, keyword_search
 from quire.operators.lookup import cross_references, get_passages, resolve_citations
 from quire.operators.semantic import semantic_search
 from quire.schemas import CARD_COLUMNS, HIT_COLUMNS, SOURCE_TYPES
+from quire.session import materialise
 
 MODES = ("keyword", "semantic", "hybrid")
 
@@ -72,15 +74,21 @@ def search(
     mode: str = "hybrid",
     sources: list[str] | None = None,
     link_mode: str = "both",
+    limit: int | None = None,
 ) -> DataFrame:
     """Answer (query_id, query[, vector, sources, limit]) and return hits in rank order per query.
 
-    Hybrid search without vectors is keyword search; so is each query that has none.
+    ``limit`` holds for queries without one of their own. Hybrid search without vectors is keyword
+    search; so is each query that has none, and, with a warning, the whole batch when its vectors
+    cannot be searched.
     """
     mode = (mode or "hybrid").lower()
     if mode not in MODES:
         raise ValueError(f"unknown search mode {mode!r}; choose from {MODES}")
     asked = queries.filter(F.trim("query") != "")
+    if limit is not None:
+        own = F.col("limit") if "limit" in queries.columns else F.lit(None)
+        asked = asked.withColumn("limit", F.coalesce(own, F.lit(limit)))
     vectors = corpus.embeddings is not None and "vector" in queries.columns
     if mode == "semantic":
         if not vectors:
@@ -89,24 +97,29 @@ def search(
     else:
         hits = keyword_search(asked, corpus.index, sources, corpus.analyzer)
         if mode == "hybrid" and vectors:
-            near = semantic_search(asked, corpus.embeddings, corpus.cards, sources, corpus.model)
-            hits = hybrid_merge(asked, hits, near)
+            try:
+                near = semantic_search(asked, corpus.embeddings, corpus.cards, sources, corpus.model)
+            except ValueError as problem:
+                warnings.warn(f"keyword hits only: {problem}", stacklevel=2)
+            else:
+                hits = hybrid_merge(asked, hits, near)
     return decorate_links(hits, link_mode).select(*HIT_COLUMNS)
 
 
 def resolve(
-    citations: DataFrame, tables: dict[str, DataFrame], cross_refs: bool = False, aliases: DataFrame | None = None
+    citations: DataFrame, tables: dict[str, DataFrame], cross_refs: bool = False, aliases: DataFrame | None = None,
+    ordered: bool = False,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Passages of (request_id, citation), and on demand the cross-references of their verses."""
-    passages = get_passages(
-        resolve_citations(citations, aliases), tables["scriptures"], tables["chapters"]
-    )
+    """Passages of (request_id, citation), and on demand the cross-references of their verses, ``ordered`` or not."""
+    parsed = materialise(resolve_citations(citations, aliases), "resolved")
+    passages = get_passages(parsed, tables["scriptures"], tables["chapters"])
     if not cross_refs:
         return passages, None
     return passages, cross_references(
         passages.filter((F.col("status") == "ok") & F.col("shape").isin("verse", "range")),
         tables["cross_references"],
         tables["scriptures"],
+        ordered,
     )
 
 

@@ -136,10 +136,8 @@ def text_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and vector for every passage; passages of several lines have no vector."""
-    asked = embed.embed_queries(v.passages(spark, sf_dir), embed.hashing_embedder())
-    one_line = F.when(~F.col("query").contains("\n"), F.col("vector"))
-    queries = materialise(asked.withColumn("vector", one_line), "queries")
+    """Text and vector for every passage."""
+    queries = materialise(embed.embed_queries(v.passages(spark, sf_dir), embed.hashing_embedder()), "queries")
     found = keyword.keyword_search(queries, term_index(spark, sf_dir))
     near = semantic.semantic_search(
         queries, text_embeddings(spark, sf_dir), v.library(spark, sf_dir), model="hash-64"
@@ -256,7 +254,7 @@ def get_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def get_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.get_passages(resolved(spark, sf_dir), v.verses(spark, sf_dir), v.chapters(spark, sf_dir))
+    return lookup.get_passages(materialise(resolved(spark, sf_dir), "resolved"), v.verses(spark, sf_dir), v.chapters(spark, sf_dir))
 
 
 @job
@@ -489,12 +487,10 @@ def stored_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def embeddings_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All first paragraphs, each twice, against the stored vectors: the first copy of new ones is added."""
-    docs = v.library(spark, sf_dir).select(
-        "source_type", "source_id", F.lit("paragraph").alias("layer"),
-        F.explode(F.array(F.lit("b"), F.lit("a"))).alias("content"),
-    )
-    return embed.new_embeddings(stored_embeddings(spark, sf_dir), docs)
+    """All first paragraphs, each in two copies, against the stored vectors: the lower copy of new ones is added."""
+    chunks = extract.chunk_paragraphs(v.paragraphs(spark, sf_dir)).filter(F.col("layer") == "paragraph")
+    copies = F.explode(F.array(F.concat("content", F.lit(" ")), F.col("content")))
+    return embed.new_embeddings(stored_embeddings(spark, sf_dir), chunks.withColumn("content", copies))
 
 
 @job

@@ -182,9 +182,11 @@ cut AS (
       lambda p: {clean('p')}), lambda p: p <> '') AS parts
   FROM library),
 chunks AS (
-  SELECT source_type, source_id, CASE WHEN pos = 1 THEN 'paragraph' ELSE 'paragraph_' || (pos - 1) END AS layer,
-    substr(part, 1, 2000) AS content
-  FROM (SELECT source_type, source_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut))"""
+  SELECT source_type, source_id,
+    CASE WHEN pos = 1 THEN 'paragraph' ELSE 'paragraph_' || (pos - 1) END || CASE WHEN piece = 0 THEN '' ELSE '+' || piece END AS layer,
+    substr(part, piece * 2000 + 1, 2000) AS content
+  FROM (SELECT *, unnest(range((length(part) - 1) // 2000 + 1)) AS piece
+    FROM (SELECT source_type, source_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut)))"""
 
 
 def hashed(name: str, keys: str, rows: str) -> str:
@@ -200,7 +202,7 @@ def hashed(name: str, keys: str, rows: str) -> str:
 
 HYBRID = (
     hashed("chunk_vec", "source_type, source_id, layer", "(SELECT * FROM chunks WHERE source_type <> 'study_aids')")
-    + hashed("query_vec", "item_id", "(SELECT item_id, text AS content FROM benchmark WHERE NOT contains(text, chr(10)))")
+    + hashed("query_vec", "item_id", "(SELECT item_id, text AS content FROM benchmark)")
     + f""",
 chunk_len AS (SELECT source_type, source_id, layer, sqrt(sum(x::DOUBLE * x)) AS len FROM chunk_vec GROUP BY ALL),
 query_len AS (SELECT item_id, sqrt(sum(x::DOUBLE * x)) AS qlen FROM query_vec GROUP BY ALL),
@@ -218,9 +220,9 @@ sem_cards AS (
     library.* EXCLUDE (source_type, source_id, content), {snippet('chunks.content')} AS snippet
   FROM sem JOIN chunks USING (source_type, source_id, layer) JOIN library USING (source_type, source_id)),
 kw_cards AS (
-  SELECT query_id, rank, kw.source_type, kw.source_id, score, NOT contains(text, chr(10)) AS fuse,
+  SELECT query_id, rank, kw.source_type, kw.source_id, score, query_id IN (SELECT item_id FROM query_len) AS fuse,
     cards.* EXCLUDE (source_type, source_id)
-  FROM kw JOIN cards USING (source_type, source_id) JOIN benchmark ON item_id = query_id)"""
+  FROM kw JOIN cards USING (source_type, source_id))"""
 )
 RRF = "".join(
     f""",
@@ -565,9 +567,8 @@ FROM documents LEFT JOIN labels USING (doc_id)""",
     ),
     "upsert_books": upserted("source AS collection, lang AS section, 'T ' || doc_id AS title, text AS content"),
     "upsert_study_aids": upserted("'tg' AS aid_type, source AS slug, 'T ' || doc_id AS title, text AS content"),
-    "embeddings_insert_if_absent": "WITH " + LIBRARY + VECTORS + """
-SELECT source_type, source_id, 'paragraph' AS layer, 'a' AS content FROM library
-WHERE (source_type, source_id) NOT IN (SELECT (source_type, source_id) FROM vectors)""",
+    "embeddings_insert_if_absent": "WITH " + LIBRARY + CHUNKS + VECTORS + """
+SELECT * FROM chunks ANTI JOIN vectors USING (source_type, source_id, layer) WHERE layer = 'paragraph'""",
     "pending_embeddings": "WITH " + LIBRARY + CHUNKS + VECTORS + """
 SELECT * FROM chunks ANTI JOIN vectors USING (source_type, source_id, layer)""",
     "pending_verses": "WITH " + VERSES + """

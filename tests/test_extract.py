@@ -97,13 +97,13 @@ def test_extract_verses(frame):
     ]
 
 
-def test_chunks_skip_blanks_and_cap_code_points(frame):
+def test_chunks_skip_blanks_and_go_on_after_2000_code_points(frame):
     text = "a\n\n \n\n<sup>x</sup>\n\n" + "é" * 2001 + "\n\n\nlast"
     got = extract.chunk_paragraphs(
         frame([("talks", 1, text)], "source_type string, source_id bigint, content string")
     ).collect()
     assert [(r.layer, r.content) for r in got] == [
-        ("paragraph", "a"), ("paragraph_1", "é" * 2000), ("paragraph_2", "last"),
+        ("paragraph", "a"), ("paragraph_1", "é" * 2000), ("paragraph_1+1", "é"), ("paragraph_2", "last"),
     ]
 
 

@@ -68,7 +68,7 @@ def test_cross_references(spark, frame):
     cited = frame([(1, "Alma 5:1-2"), (2, "Alma 5:1"), (3, "Alma 5")], "request_id bigint, citation string")
     tables = {"scriptures": scriptures(frame).filter("volume = 'bofm'"), "chapters": spark.createDataFrame([], CHAPTERS),
               "cross_references": edges}
-    passages, refs = resolve(cited, tables, cross_refs=True)
+    passages, refs = resolve(cited, tables, cross_refs=True, ordered=True)
     got = [(r.request_id, r.reference, r.target_verse, r.reference_type) for r in refs.collect()]
     assert got == [
         (1, "Alma 5:3", 3, "a"), (1, "heb 7", None, "tg"), (1, "heb 7", None, None), (1, "heb 7:11", 11, None),

@@ -90,8 +90,8 @@ def test_postings_form_equals_index_form(spark, frame, corpus, index, tmp_path):
     a = keyword.search_postings(queries, stored, parts=8)
     b = keyword.keyword_search(queries, index).select(*a.columns)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    with pytest.raises(ValueError):
-        keyword.search_postings(queries, stored, parts=8, max_terms=2)
+    joined = keyword.search_postings(queries, stored, parts=8, max_terms=2)  # terms beyond the bound are joined
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, a.collect()))
 
 
 def test_limits_and_sources_per_query(frame, index):
@@ -188,14 +188,16 @@ def test_zero_and_missing_vectors_never_match(spark):
         assert [(r.query_id, r.source_id) for r in semantic.nearest(queries, rows, shared=shared).collect()] == [(1, 2)]
 
 
-def test_mixed_dimensions_are_an_error(spark):
+def test_vectors_of_another_dimension_match_nothing_and_are_counted(spark):
     schema = "source_type string, source_id bigint, layer string, content string, embedding array<float>, model string"
     rows = spark.createDataFrame([("talks", 1, "p", "a", [1.0, 0.0, 0.0], "other")], schema)
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, vector array<float>")
-    with pytest.raises(Exception, match="dimension"):
-        semantic.nearest(queries, rows).collect()
+    assert semantic.nearest(queries, rows).count() == 0
     assert semantic.nearest(queries, rows, model="m").count() == 0
-    assert semantic.model_census(rows).collect()[0].dim == 3
+    assert [tuple(r) for r in semantic.model_census(rows).collect()] == [("other", 3, 1)]
+    mixed = queries.union(spark.createDataFrame([(2, [1.0, 0.0, 0.0])], queries.schema))
+    with pytest.raises(ValueError, match="dimension"):
+        semantic.nearest(mixed, rows)
 
 
 def test_approximate_recall(spark):
@@ -265,7 +267,30 @@ def test_search_modes_and_links(spark, frame):
     web = search(queries, corpus, "keyword", link_mode="web")
     assert {r.file_path for r in web.collect()} == {""}
     assert {r.web_url for r in search(queries, corpus, "semantic", link_mode="fs").collect()} == {""}
+    assert found(search(queries, corpus, limit=1)) == [(1, 1, "scriptures", 1)]
+    own = queries.withColumn("limit", F.lit(2))
+    assert len(found(search(own, corpus, limit=1))) == 2
     with pytest.raises(ValueError):
         search(queries, corpus, "fuzzy")
     with pytest.raises(ValueError):
         search(queries.drop("vector"), corpus, "semantic")
+
+
+def test_vectors_that_cannot_be_compared(frame):
+    rows = frame([doc("books", 1, "faith"), doc("books", 2, "faith")], CORPUS)
+    schema = "source_type string, source_id bigint, layer string, content string, embedding array<float>, model string"
+    vecs = frame([("books", 1, "paragraph", "faith", [1.0, 0.0], "m"), ("books", 2, "paragraph", "faith", [1.0], "m")], schema)
+    asked = "query_id bigint, query string, vector array<float>"
+    one = frame([(1, "faith", [1.0, 0.0])], asked)
+    assert found(semantic.semantic_search(one, vecs, rows)) == [(1, 1, "books", 1)]  # the other has one dimension
+    mixed = frame([(1, "faith", [1.0, 0.0]), (2, "faith", [1.0])], asked)
+    with pytest.raises(ValueError):
+        semantic.semantic_search(mixed, vecs, rows)
+    corpus = Corpus(rows, materialise(keyword.build_term_index(rows), "i"), vecs, PLAIN, "m")
+    with pytest.warns(UserWarning):
+        hits = search(mixed, corpus)
+    assert len(found(hits)) == 4
+    two = vecs.withColumn("model", F.concat("model", "source_id"))
+    with pytest.raises(ValueError):
+        semantic.semantic_search(one, two, rows)
+    assert found(semantic.semantic_search(one, two, rows, model="m1")) == [(1, 1, "books", 1)]
