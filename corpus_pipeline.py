@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, importance, jaccard, line_dedup, packing
+from quire.llm import decontaminate, importance, jaccard, line_dedup, packing, passages
 from quire.llm.common import Store, table
 from quire.llm.jobs import good_document, vocabulary
 
@@ -40,8 +40,14 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    return jaccard.representatives(docs, WIDTH, PERCENT, _store(spark, "jaccard"))
+    """One document of each group of near copies, that with the smallest id, without passages of 50 words and more
+    that an earlier one of them holds, across line ends too; those that lose every word go."""
+    store = _store(spark, "jaccard")
+    kept = store.save(jaccard.representatives(docs, WIDTH, PERCENT, store), "representatives")
+    cut = passages.dedup_passages(kept, store=store)
+    cut = cut.filter((F.col("n_words_cut") == 0) | F.col("text").rlike(r"\S"))
+    counted = F.when(F.col("n_words_cut") == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long")
+    return cut.withColumn("n_chars", counted).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

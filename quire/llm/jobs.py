@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, fingerprint, importance, jaccard, line_dedup, packing, sharding, url_trust, warc
+from quire.llm import chat, decontaminate, fingerprint, importance, jaccard, packing, passages, sharding, url_trust, warc
 from quire.llm.common import table
 
 #: (verdict, host, path)
@@ -43,7 +43,7 @@ def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return passages.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
