@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.llm.common import Store
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -14,6 +16,31 @@ def _name(speaker: Column) -> Column:
     return F.regexp_replace(speaker, r"[^\p{L}\p{N}._-]", "_")
 
 
+def _slices(said: DataFrame, slice_rows: int, store: Store) -> DataFrame:
+    """(conv_id, part, slice, messages): each part in order of turn, speaker and text, ``slice_rows`` messages a slice.
+
+    Equal messages are one row with their number, which is cut where a slice ends. Rows
+    are numbered within blocks, ranges of the order, and the blocks' sizes give each its start.
+    """
+    part, order = ["conv_id", "part"], ["turn", "speaker", "text"]
+    counted = store.save(said.groupBy(*part, *order).agg(F.count("*").alias("times")), "messages")
+    blocked = store.save(counted.repartitionByRange(*part, *order).withColumn("block", F.spark_partition_id()), "blocks")
+    sizes = blocked.groupBy(*part, "block").agg(F.sum("times").alias("size"))
+    ahead = lambda w, by: w.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("start", F.coalesce(F.sum("size").over(ahead(Window.partitionBy(*part), ["block"])), F.lit(0)))
+    starts = store.save(sizes.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("block").alias("b"), "start"), "starts")
+    here = F.coalesce(F.sum("times").over(ahead(Window.partitionBy(*part, "block"), order)), F.lit(0))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("block") == F.col("b"))
+    placed = blocked.withColumn("here", here).join(starts, same).withColumn("at", F.col("start") + F.col("here"))
+    end = F.col("at") + F.col("times")
+    number = lambda x: F.floor(x / slice_rows)
+    cut = placed.select(*part, *order, "at", end.alias("end"), F.explode(F.sequence(number(F.col("at")), number(end - 1))).alias("slice"))
+    held = F.least("end", (F.col("slice") + 1) * slice_rows) - F.greatest("at", F.col("slice") * slice_rows)
+    rows = cut.groupBy(*part, "slice").agg(F.array_sort(F.collect_list(F.struct(*order, held.cast("int").alias("held")))).alias("rows"))
+    one = lambda m: F.struct(*[m[c].alias(c) for c in order])
+    return rows.select(*part, "slice", F.flatten(F.transform("rows", lambda m: F.array_repeat(one(m), m["held"]))).alias("messages"))
+
+
 def rotate(
     turns: DataFrame,
     conversation: str = "conv_id",
@@ -38,8 +65,9 @@ def rotate(
     null turn comes first (part -1), a null speaker is ``unknown``, a null text is
     empty, a null conversation is one of its own. Markers inside a text are
     broken with an underscore. More than ``slice_rows`` messages under the turn
-    numbers of one part (many repeats) are spread over slices by a hash. A
-    conversation of system messages only has no participant and gives no row.
+    numbers of one part (many repeats) are cut into slices of so many, in their
+    order. A conversation of system messages only has no participant and gives
+    no row.
     """
     said = turns.select(
         F.col(conversation).alias("conv_id"),
@@ -49,12 +77,13 @@ def rotate(
         F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|im_"), F.lit("<|_im_")).alias("text"),
     )
     crowded = said.groupBy("conv_id", "part").agg(F.count("*").alias("rows")).filter(F.col("rows") > slice_rows)
-    crowded = crowded.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.col("rows") / slice_rows).alias("slices"))
-    said = said.join(crowded, said["conv_id"].eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
-    said = said.withColumn("slice", F.coalesce(F.pmod(F.xxhash64("turn", "speaker", "text"), "slices"), F.lit(0)).cast("long"))
-    parts = said.groupBy("conv_id", "part", "slice").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "speaker", "text"))).alias("messages")
-    )
+    store = Store(turns.sparkSession, "chat")
+    crowded = store.save(crowded.select(F.col("conv_id").alias("c"), F.col("part").alias("p")), "crowded")
+    full = said["conv_id"].eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
+    message = F.struct("turn", "speaker", "text")
+    calm = said.join(crowded, full, "left_anti").groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    calm = calm.select("conv_id", "part", F.lit(0).cast("long").alias("slice"), "messages")
+    parts = calm.unionByName(_slices(said.join(crowded, full, "left_semi"), slice_rows, store))
     people = said.filter(F.col("speaker") != system).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     seen = parts.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
 
