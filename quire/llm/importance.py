@@ -3,8 +3,10 @@
 Two generative models over hashed n-grams (words, word beginnings, word
 pairs), one of the target text and one of all raw text, give every document
 a log importance weight: how much likelier its n-grams are as target text. A
-Gumbel draw is added and the top k are kept, which samples without
-replacement in proportion to the weights.
+third model, of labelled toxic documents, takes from the weight what the worst
+passage of a document, of fixed length, says for toxic text. A Gumbel draw is
+added and the top k are kept. Its scale is small against the weights: it
+settles the order of documents near the cut and little else.
 """
 
 from __future__ import annotations
@@ -32,13 +34,20 @@ class Settings:
     """``prior``: pseudo-count of either model for a bucket. ``dead_zone``: log ratios above minus
     this are no evidence against a document. ``sharpness``: log weight for one unit
     of evidence; the Gumbel draw has unit scale. ``keep_target``: share of the labelled target
-    documents that the default k keeps. ``most_labels``: bound of the labelled sample."""
+    documents that the default k keeps, down to ``least_target`` where more than ``most_toxic`` of the toxic ones would pass. ``most_labels``: bound of the labelled sample. ``passage``: words
+    of a passage that is held against the toxic model. ``harm_zone``: log ratios below this do not speak for toxic
+    text. ``harm``: evidence against a document for one unit of its worst passage's sum."""
 
     prior: float = 3.0
     dead_zone: float = 0.7
     sharpness: float = 100.0
     keep_target: float = 0.985
     most_labels: int = 40_000
+    least_target: float = 0.975
+    most_toxic: float = 0.03
+    passage: int = 30
+    harm_zone: float = 0.5
+    harm: float = 0.15
 
 
 def ngrams(text: bytes | None, known: dict[bytes, tuple[int, int]], most: int = 1 << 18) -> np.ndarray:
@@ -65,50 +74,74 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def labelled_sample(labels: DataFrame, good: Column, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of at most ``most`` labelled documents (lowest hashes first) and whether each is target text."""
-    rows = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"))
+def labelled_sample(labels: DataFrame, good: Column, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of at most ``most`` labelled documents (lowest hashes first), whether each is target text, and whether toxic."""
+    toxic = F.col("toxic") == 1 if "toxic" in labels.columns else F.lit(False)
+    rows = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"), F.max(toxic.cast("int")).alias("toxic"))
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas().sort_values("doc_id")
-    return picked["doc_id"].to_numpy(np.int64), picked["good"].fillna(0).to_numpy(bool)
+    return picked["doc_id"].to_numpy(np.int64), picked["good"].fillna(0).to_numpy(bool), picked["toxic"].fillna(0).to_numpy(bool)
 
 
-def fit(docs: DataFrame, target_ids: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
-    """Log ratio of the target to the raw model for every bucket.
+def fit(docs: DataFrame, target_ids: np.ndarray, toxic_ids: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
+    """Two rows: log ratio of the target to the raw model for every bucket, and of the toxic to the raw one.
 
     One pass over all documents: each task adds up its documents' n-grams, and
-    the buckets are summed in Spark, so what reaches the driver is one number
-    a bucket. Raw counts cover the whole corpus.
+    the buckets are summed in Spark, so what reaches the driver is three numbers
+    a bucket and the count of documents. Raw counts cover the whole corpus. The toxic model
+    counts documents, not n-grams: a word that one of them repeats is no sign.
     """
     size = 1 << BITS
-    sent = docs.sparkSession.sparkContext.broadcast(target_ids)
+    sent = docs.sparkSession.sparkContext.broadcast((target_ids, toxic_ids))
+    names = ["bucket", "raw", "target", "docs", "toxic"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, raw, target = {}, np.zeros(size, np.int64), np.zeros(size, np.int64)
-        wanted = set(sent.value.tolist())
+        # The last place holds the number of documents.
+        known, sums = {}, np.zeros((4, size + 1), np.int64)
+        wanted, harmful = (set(x.tolist()) for x in sent.value)
+
+        def add(kind: tuple[bool, bool], found: list[np.ndarray]) -> None:
+            every = np.bincount(np.concatenate([np.empty(0, np.int64), *found]), minlength=size + 1)
+            once = np.bincount(np.concatenate([np.empty(0, np.int64), *map(np.unique, found)]), minlength=size + 1)
+            once[size] = len(found)
+            sums[0] += every
+            sums[1] += every * kind[0]
+            sums[2] += once
+            sums[3] += once * kind[1]
+
+        held: dict[tuple[bool, bool], list[np.ndarray]] = {}
         for batch in batches:
-            held: dict[bool, list[np.ndarray]] = {True: [], False: []}
             for doc_id, text in zip(batch.column(0).to_pylist(), _texts(batch, "text"), strict=True):
-                kind = doc_id in wanted
-                held[kind].append(ngrams(text, known))
-                if len(held[kind]) == 500:
-                    added = np.bincount(np.concatenate(held[kind]), minlength=size)
-                    raw += added
-                    target += added * kind
-                    held[kind] = []
-            for kind, found in held.items():
-                added = np.bincount(np.concatenate([np.empty(0, np.int64), *found]), minlength=size)
-                raw += added
-                target += added * kind
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
-
-    counts = docs.select("doc_id", "text").mapInArrow(count, "bucket bigint, raw bigint, target bigint")
-    counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(size), np.zeros(size)
-    raw[counts["bucket"]] = counts["raw"]
-    target[counts["bucket"]] = counts["target"]
+                found = ngrams(text, known)
+                if len(found):
+                    kind = (doc_id in wanted, doc_id in harmful)
+                    held.setdefault(kind, []).append(found)
+                    if len(held[kind]) == 500:
+                        add(kind, held.pop(kind))
+        for kind, found in held.items():
+            add(kind, found)
+        used = np.flatnonzero(sums[2])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(x[used]) for x in sums]], names)
+
+    counts = docs.select("doc_id", "text").mapInArrow(count, ", ".join(f"{n} bigint" for n in names))
+    counts = counts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names[1:]]).toPandas()
+    sums = np.zeros((4, size + 1))
+    for row, n in zip(sums, names[1:], strict=True):
+        row[counts["bucket"]] = counts[n]
+    raw, target, seen, toxic = sums[:, :size]
     expected = raw * (target.sum() / max(1.0, raw.sum()))
-    return np.log((target + settings.prior) / (expected + settings.prior)).astype(np.float32)
+    usual = seen * (sums[3, size] / max(1.0, sums[2, size]))
+    prior = settings.prior
+    return np.log(np.stack([(target + prior) / (expected + prior), (toxic + prior) / (usual + prior)])).astype(np.float32)
+
+
+def worst_passage(ratios: np.ndarray, words: int) -> float:
+    """Greatest sum of ``ratios`` (laid out as by ``ngrams``) over a passage of ``words`` words; a shorter text is one passage."""
+    n = (len(ratios) + 1) // 3
+    each = ratios[:n] + ratios[n : 2 * n]
+    each[:-1] += ratios[2 * n :]
+    sums = np.concatenate([np.zeros(1), np.cumsum(each)])
+    size = min(words, n)
+    return float((sums[size:] - sums[:-size]).max())
 
 
 def score(docs: DataFrame, ratios: np.ndarray, settings: Settings = Settings(), name: str = "log_weight") -> DataFrame:
@@ -116,7 +149,9 @@ def score(docs: DataFrame, ratios: np.ndarray, settings: Settings = Settings(),
 
     The log ratios of a document's n-grams, cut at the dead zone, are summed
     and divided by the root of their number, so that long documents are not
-    rejected for their length; the mean ratio, where negative, is added.
+    rejected for their length; the mean ratio, where negative, is added. The
+    worst passage's evidence for toxic text is taken off: its length is fixed, so a
+    long document does not dilute it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
@@ -129,9 +164,10 @@ def score(docs: DataFrame, ratios: np.ndarray, settings: Settings = Settings(),
                 if not len(found):
                     weights.append(None)
                     continue
-                r = table[found].astype(np.float64)
+                r, toxic = table[:, found].astype(np.float64)
+                harm = worst_passage(np.maximum(toxic - settings.harm_zone, 0), settings.passage)
                 bad = np.minimum(r + settings.dead_zone, 0).sum() / np.sqrt(len(r))
-                weights.append(round(float(settings.sharpness * (bad + 5 * min(r.mean(), 0.0))), 6))
+                weights.append(round(float(settings.sharpness * (bad + 5 * min(r.mean(), 0.0) - settings.harm * harm)), 6))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.float64())], [*batch.schema.names, name])
 
     return add_columns(docs, [T.StructField(name, T.DoubleType())], run)
@@ -170,6 +206,18 @@ def kth_largest(keys: DataFrame, key: str, k: int, buckets: int = 4096, most: in
     return inside.limit(rest).agg(F.min(key)).first()[0]
 
 
+def joint_cut(good: np.ndarray, toxic: np.ndarray, settings: Settings = Settings()) -> float | None:
+    """The cut that keeps the share ``keep_target`` of the ``good`` keys, raised until at most ``most_toxic`` of the
+    ``toxic`` ones pass, as far as ``least_target`` of the good ones stay."""
+    if not len(good):
+        return None
+    cut, highest = (float(np.quantile(good, 1 - share)) for share in (settings.keep_target, settings.least_target))
+    allowed = int(settings.most_toxic * len(toxic))
+    if len(toxic) > allowed:
+        cut = max(cut, min(highest, float(np.nextafter(np.sort(toxic)[-1 - allowed], np.inf))))
+    return cut
+
+
 def resample(
     docs: DataFrame, labels: DataFrame, good: Column, k: int | None = None, seed: int = 7, settings: Settings = Settings()
 ) -> tuple[DataFrame, np.ndarray, float | None]:
@@ -177,26 +225,30 @@ def resample(
 
     ``good`` says of a row of ``labels`` (doc_id, ...) whether its document is
     target text. k is the sample's size; by default it is the number of
-    documents whose key reaches that of the share ``keep_target`` of those labelled
-    target documents that were held out of the fit. Documents without words (null, empty, blank) are never
+    documents whose key reaches the cut that the labelled target and the labelled toxic documents that were
+    held out of the fit set together (``joint_cut``). A ``labels``
+    column ``toxic`` (1) names the toxic ones; without it there is no toxic model. Documents without words (null, empty, blank) are never
     selected. Rows that repeat an id share its draw; keys that tie at the cut
     are all kept. Without labelled target documents nothing is known: every
     ratio is even and all documents with words stay.
     """
     store = Store(docs.sparkSession, "importance")
-    ids, is_good = labelled_sample(labels, good, settings.most_labels)
-    # A quarter of the target sample is not fitted on: it shows what unseen target text scores.
-    held = (ids.astype(np.uint64) * _MIX >> np.uint64(62)) == 0
-    fitted = is_good & ~held if (is_good & ~held).any() else is_good
-    held = is_good & held if (is_good & held).any() else is_good
-    ratios = fit(docs, ids[fitted], settings) if is_good.any() else np.zeros(1 << BITS, np.float32)
+    ids, is_good, is_toxic = labelled_sample(labels, good, settings.most_labels)
+    # A quarter of the sample is not fitted on: it shows what unseen target and toxic text scores.
+    apart = (ids.astype(np.uint64) * _MIX >> np.uint64(62)) == 0
+    part = lambda kind, side: kind & side if (kind & side).any() else kind
+    fitted, held = part(is_good, ~apart), part(is_good, apart)
+    harmful, unseen = part(is_toxic, ~apart), part(is_toxic, apart)
+    ratios = fit(docs, ids[fitted], ids[harmful], settings) if is_good.any() else np.zeros((2, 1 << BITS), np.float32)
     scored = score(docs.select("doc_id", "text"), ratios, settings).select("doc_id", "log_weight")
     scored = store.save(scored.withColumn("key", F.col("log_weight") + gumbel(seed)), "keys")
     cut: float | None = None
     if k is None and is_good.any():
-        wanted = docs.sparkSession.createDataFrame([(int(i),) for i in ids[held]], "doc_id bigint")
-        known = scored.filter("key is not null").join(wanted, "doc_id", "left_semi")
-        least = known.agg(F.percentile("key", 1 - settings.keep_target)).first()[0]
+        rows = [(int(i), bool(g)) for i, g, h in zip(ids, held, held | unseen, strict=True) if h]
+        wanted = docs.sparkSession.createDataFrame(rows, "doc_id bigint, good boolean")
+        known = scored.filter("key is not null").join(wanted, "doc_id").groupBy("doc_id", "good").agg(F.min("key").alias("key")).toPandas()
+        is_held = known["good"].to_numpy(bool)
+        least = joint_cut(known["key"].to_numpy()[is_held], known["key"].to_numpy()[~is_held], settings)
         k = scored.filter(F.col("key") >= least).count() if least is not None else None
     if k:
         cut = kth_largest(scored, "key", k)
