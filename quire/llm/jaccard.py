@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -254,15 +254,25 @@ def _outline(pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "hub bigint, cls bigint, hub_size int, size int, least int")
 
 
+def _most(size: Column, percent: int) -> Column:
+    """What a set of so many elements can differ by from a similar one."""
+    return F.floor((100 - percent) * size / percent).cast("int")
+
+
+def _limit(size: Column, percent: int, reach: int) -> Column:
+    """Greatest difference from a hub of a set whose similar set, of any size, lies within ``reach`` times its own ``_most``."""
+    return reach * _most(F.floor(100 * size / percent), percent) + _most(size, percent)
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, store: Store, name: str, reach: int = 0) -> DataFrame:
     """Pairs (hub, cls) with ``differ``, the size of their symmetric difference, ``linked`` and the difference
     ``most`` that a set similar to cls can have; with ``reach``, ``diff`` is the difference where it may matter.
 
     Sketches come first: pairs that they tell apart keep ``differ`` as a lower bound, and their sets are not read.
     """
-    most = F.floor((100 - percent) * F.col("size") / percent).cast("int")
+    most = _most(F.col("size"), percent)
     far = (100 + percent) * F.col("least") > (100 - percent) * (F.col("hub_size") + F.col("size"))
-    limit = -(-100 * (reach + 1) // percent) * most
+    limit = _limit(F.col("size"), percent, reach)
     if reach:
         far &= F.col("least") > limit
     pairs = store.save(pairs, f"pairs-{name}")
