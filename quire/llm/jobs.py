@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, fingerprint, importance, jaccard, packing, passages, sharding, url_trust, warc
+from quire.llm import (
+    alignment, chat, decontaminate, fingerprint, importance, jaccard, multi_index, packing, passages, sharding, spelling, url_trust, warc,
+)
 from quire.llm.common import table
 
 #: (verdict, host, path)
@@ -24,6 +26,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def pieces() -> str:
+    """Place of the piece vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def good_document() -> Column:
     return (F.col("quality") == 1) & (F.col("toxic") == 0)
 
@@ -72,10 +81,23 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), vocabulary(), pieces())
+
+
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_chat_rotation, op2_vector_packing, op3_suffix_automaton, op4_line_winnowing, op5_label_propagation,
         op6_importance_resampling, op7_url_trust, op8_jaccard_join, op9_multiset_hash, op10_warc_index,
+        op11_multi_index, op12_reduced_alphabet, op13_token_alignment,
     )
 }
