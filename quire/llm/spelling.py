@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Store, ascii_lower
@@ -105,6 +105,23 @@ def _by_length(words: list[str], symbols: int) -> Iterator[tuple[list[int], np.n
             yield some, np.stack([symbols_of(words[i], symbols) for i in some])
 
 
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether two different strings differ by one inserted, deleted or replaced code point.
+
+    Long strings are compared behind their common prefix, which is found by halving: the
+    edit distance takes time quadratic in their length.
+    """
+    size_a, size_b = F.char_length(a), F.char_length(b)
+    steps = F.lit([1 << i for i in reversed(range(30))])
+    same = lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n)
+    shorter = F.least(size_a, size_b)
+    prefix = F.aggregate(steps, F.lit(0), lambda p, step: F.when((p + step <= shorter) & same(p + step), p + step).otherwise(p))
+    rest = lambda c, n, other, p: F.substring(c, p + 1 + (n >= other).cast("int"), n)
+    behind = F.transform(F.array(prefix), lambda p: rest(a, size_a, size_b, p) == rest(b, size_b, size_a, p))[0]
+    close = F.abs(size_a - size_b) <= 1
+    return close & F.when(shorter <= 64, F.levenshtein(a, b, 1) == 1).otherwise(behind)
+
+
 def near_pairs(words: DataFrame, store: Store, symbols: int = SYMBOLS) -> DataFrame:
     """(a, a_n, b, b_n): the pairs of ``words`` (word, n), once each, that one edit of a code point turns into each other.
 
@@ -136,8 +153,7 @@ def near_pairs(words: DataFrame, store: Store, symbols: int = SYMBOLS) -> DataFr
     right = coded.select(F.col("r").alias("other"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     mine = close.join(left, "r")
     once = (F.col("r") != F.col("s")) | (F.col("a") < F.col("b"))
-    edits = F.levenshtein("a", "b", 1) == 1
-    return mine.join(right, (F.col("s") == F.col("other")) & once & edits).select("a", "a_n", "b", "b_n")
+    return mine.join(right, (F.col("s") == F.col("other")) & once & one_edit(F.col("a"), F.col("b"))).select("a", "a_n", "b", "b_n")
 
 
 def variants(

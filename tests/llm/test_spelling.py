@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.llm import spelling
 from quire.llm.common import Store, table
@@ -91,6 +92,11 @@ def test_neighbourhood(spark):
         want = {x for x in full(word, "0123") if (len(x), x) <= (len(word), word)}
         assert len(names) == len(set(names.tolist())) == len(want)
         assert set(names.tolist()) == {spelling.names_of(coded(x))[0] for x in want}
+    base, pairs = "x" * 70 + "é" + "y" * 70, []
+    for a, b, near in ((base, base[:-1], 1), (base, "a" + base, 1), (base, base[:70] + "e" + base[71:], 1), (base, base[:70] + base[71:], 1), (base, base[:70] + base[72:], 0), (base, base[:69] + "ee" + base[71:], 0), (base, base[1:] + "z", 0), (base, base + "zz", 0), ("ab", "ba", 0)):
+        pairs += [(a, b, bool(near)), (b, a, bool(near))]
+    told = spark.createDataFrame(pairs, "a string, b string, near boolean")
+    assert told.filter(spelling.one_edit(F.col("a"), F.col("b")) != F.col("near")).isEmpty()
     store = Store(spark, "spelling-test")
     pairs = spelling.near_pairs(spark.createDataFrame([("ab", 1), ("ac", 1), ("abc", 2), ("xyz", 3)], "word string, n bigint"), store)
     assert {frozenset((r["a"], r["b"])) for r in pairs.collect()} == {frozenset(x) for x in (("ab", "ac"), ("ab", "abc"), ("ac", "abc"))}
