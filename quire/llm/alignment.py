@@ -19,10 +19,10 @@ from quire.llm.common import Store
 from quire.llm.packing import encode_whole, encoder
 
 #: UTF-8 bytes of text, and links between tokens, that are worked on at once (one document may hold more bytes).
-SLICE_BYTES, SLICE_LINKS = 1 << 22, 1 << 22
+SLICE_BYTES, SLICE_LINKS = 1 << 19, 1 << 21
 #: Most id pairs whose counts are sent to every task, 13 bytes each; rarer pairs are joined.
 SENT_PAIRS = 1 << 20
-_STRIDE = 64
+_STRIDE = 16
 
 
 def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -143,10 +143,10 @@ def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, doc: np
     ub, cb = np.unique(np.repeat(group, nb) * base + b, return_counts=True)
     first = np.searchsorted(ub, group * base)
     size = np.searchsorted(ub, (group + 1) * base) - first
-    order = np.lexsort((ua % base, doc[ua // base]))
-    ua, ca = ua[order], ca[order]
     g = ua // base
     name = doc[g] * base + ua % base
+    order = np.argsort(name, kind="stable")
+    ua, ca, g, name = ua[order], ca[order], g[order], name[order]
     edge = np.nonzero(np.concatenate([name[1:] != name[:-1], [True]]))[0] + 1  # ends of the rows of one (document, id)
     held = np.cumsum(size[g])[edge - 1]
     lo = 0
@@ -158,7 +158,7 @@ def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, doc: np
         key = np.repeat(ua[lo:hi] % base, reps) * n_b + ub[inner] % base
         docs = np.repeat(doc[g[lo:hi]], reps)
         times = np.repeat(ca[lo:hi], reps) * cb[inner]
-        way = np.lexsort((key, docs))
+        way = np.argsort((docs - docs[0]) * (base * n_b) + key, kind="stable")  # documents are a slice's: few enough
         docs, key, times = docs[way], key[way], times[way]
         new = np.nonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (key[1:] != key[:-1])]))[0]
         yield docs[new], key[new], np.add.reduceat(times, new)
