@@ -87,6 +87,17 @@ def row_key(*columns: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x01", *parts).cast("binary")))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as no column of ``df`` (nor an earlier one) has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def add_columns(
     df: DataFrame, fields: list[T.StructField], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import add_columns
+from quire.llm.common import add_columns, fresh
 
 #: In lower-cased bytes: digits, a-z and everything beyond ASCII.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -161,8 +161,11 @@ def find_passages(
     builds from the block's own rows, and the documents stream through one
     Arrow pass per block. So whatever the size of the benchmark, the driver and
     a task hold blocks, never the whole of it. Nulls have no words; repeated
-    items and items without words change nothing; an item without id is ``""``.
+    items and items without words change nothing; an item without id is ``""``. A column of ``docs`` that has
+    the name of an appended one is renamed, with underscores behind it.
     """
+    taken = [c for c in docs.columns if c.lower() in {f.name for f in FOUND}]
+    docs = docs.withColumnsRenamed(dict(zip(taken, fresh(docs, *taken), strict=True)))
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
@@ -234,10 +237,8 @@ def clean(
     of the text; a document with a greater share of hit words than
     ``max_coverage`` goes altogether. With 0 every hit document goes.
     """
-    names = {c.lower() for c in docs.columns}
-    clash = names & {"n_words", "spans", "items"}
-    plain = docs.withColumnsRenamed({c: f"_kept_{c}" for c in docs.columns if c.lower() in clash})
-    marked = find_passages(plain, items, text, window)
+    marked = find_passages(docs, items, text, window)
+    plain = marked.columns[: len(docs.columns)]  # the columns of ``docs``, renamed where they clash
     kept = marked.filter((n_hit() == 0) | (n_hit() <= F.col("n_words") * max_coverage))
     if max_coverage > 0:
         shortest = items.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"([0-9a-z\x{80}-\x{10FFFF}]+)"), F.lit(1))).alias("n"))
@@ -256,4 +257,4 @@ def clean(
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
         kept = kept.mapInArrow(run, fields)
-    return kept.drop("n_words", "spans", "items").withColumnsRenamed({f"_kept_{c}": c for c in docs.columns if c.lower() in clash})
+    return kept.select([F.col(f"`{c}`").alias(own) for c, own in zip(plain, docs.columns, strict=True)])

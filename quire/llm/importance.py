@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import Store, add_columns
+from quire.llm.common import Store, add_columns, fresh
 
 BITS = 18
 BEGINNING = 5
@@ -257,10 +257,11 @@ def resample(
 
 
 def keep(docs: DataFrame, labels: DataFrame, good: Column, seed: int = 7, settings: Settings = Settings()) -> DataFrame:
-    """The selected rows of ``docs``, in its own columns."""
+    """The selected rows of ``docs``, in its own columns, whatever their names."""
     _, ratios, cut = resample(docs, labels, good, None, seed, settings)
-    scored = score(docs, ratios, settings, "_log_weight")
-    chosen = F.col("_log_weight").isNotNull()
+    (weight,) = fresh(docs, "log_weight")
+    scored = score(docs, ratios, settings, weight)
+    chosen = F.col(weight).isNotNull()
     if cut is not None:
-        chosen &= F.col("_log_weight") + gumbel(seed) >= cut
-    return scored.filter(chosen).drop("_log_weight")
+        chosen &= F.col(weight) + gumbel(seed) >= cut
+    return scored.filter(chosen).select([F.col(f"`{c}`") for c in docs.columns])

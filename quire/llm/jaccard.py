@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import Store
+from quire.llm.common import Store, fresh, row_key
 
 _ROLL, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _FALSE_MATCH_COST = 100
@@ -150,26 +150,39 @@ def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def _some(texts: list[bytes | None], most: int = 1 << 23) -> Iterator[list[bytes | None]]:
+    """``texts`` in turn, at most about ``most`` bytes of them at once."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or b"")
+        if held >= most or i + 1 == len(texts):
+            yield texts[start : i + 1]
+            start, held = i + 1, 0
+
+
 def profile(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """(doc_id, n, name, cls, sigs): size, 128-bit name and 64-bit class of each document's set, and its signatures."""
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-    names = ["doc_id", "n", "name", "cls", "sigs"]
+    """(k, doc_id, n, name, cls, sigs): row key, size, 128-bit name and 64-bit class of each document's set, and its signatures."""
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+    names = ["k", "doc_id", "n", "name", "cls", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, plan = Shingler(width), Plan(percent)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
-                items = shingle(text)
-                if not len(items):
-                    rows.append((doc_id, 0, None, None, []))
-                    continue
-                name, cls = _names(items, seed)
-                rows.append((doc_id, len(items), name, cls, signatures(items, plan).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, name binary, cls bigint, sigs array<bigint>")
+            at = 0
+            for texts in _some(_texts(batch.column(2))):
+                rows = []
+                for key, doc_id, text in zip(batch.column(0)[at:].to_pylist(), batch.column(1)[at:].to_pylist(), texts, strict=False):
+                    items = shingle(text)
+                    if not len(items):
+                        rows.append((key, doc_id, 0, None, None, []))
+                        continue
+                    name, cls = _names(items, seed)
+                    rows.append((key, doc_id, len(items), name, cls, signatures(items, plan).view(np.int64)))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "k binary, doc_id bigint, n bigint, name binary, cls bigint, sigs array<bigint>")
 
 
 def _names(items: np.ndarray, seed: int) -> tuple[bytes, int]:
@@ -200,11 +213,11 @@ def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
-            values = [items for items in map(shingle, _texts(batch.column(0))) if len(items)]
-            for i in range(0, len(values), 256):
-                some = [(_names(x, seed)[1], len(x), sketch(x), x.view(np.int64)) for x in values[i : i + 256]]
-                columns = [pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["cls", "size", "bits", "items"])
+            for texts in _some(_texts(batch.column(0)), 1 << 21):
+                some = [(_names(x, seed)[1], len(x), sketch(x), x.view(np.int64)) for x in map(shingle, texts) if len(x)]
+                if some:
+                    columns = [pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["cls", "size", "bits", "items"])
 
     return docs.select("text").mapInArrow(run, "cls bigint, size int, bits array<bigint>, items array<bigint>")
 
@@ -300,52 +313,67 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None
     words than ``width`` is one shingle; without words, or null, a document has
     none and stands alone. Documents link when their shingle sets share at least
     ``percent`` of their union; component_id is the smallest doc_id within reach.
+    Every row is a document, also those that share an id; null ids are passed over by
+    the smallest, so it is null only where all ids within reach are. Columns besides doc_id and
+    text are not read; an empty table has no rows.
+    """
+    labelled = _labelled(docs, width, percent, store or Store(docs.sparkSession, "jaccard"))
+    return labelled.select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, store: Store) -> DataFrame:
+    """(k, doc_id, n_shingles, comp, component_id): a row per document; ``comp`` is null where it has no words.
 
     Documents with equal sets are one class from the start (named by 128 bits; the
     64-bit class ids are checked for collisions and drawn anew if there are
     any). Pairs of classes that share a signature are settled by ``_connect``
     in rounds that are linear in the size of a group, and no link is lost.
     """
-    spark = docs.sparkSession
-    store = store or Store(spark, "jaccard")
+    docs = docs.select("doc_id", "text")
+    head = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("head")
     for seed in range(8):
         rows = store.save(profile(docs, width, percent, seed), "profiles")
-        classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
-        classes = store.save(classes, "classes")
+        classes = rows.filter("n > 0").groupBy("cls").agg(
+            F.min("doc_id").alias("first"), F.first("n").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"), head
+        )
+        classes = store.save(classes.withColumn("k", F.col("head.k")).drop("head"), "classes")
         if classes.filter("low <> high").isEmpty():
             break
-    shared = _shared_signatures(rows, percent, store)
-    plain = store.save(rows.select("doc_id", F.col("n").alias("n_shingles"), "cls"), "sizes")
+    shared = _shared_signatures(rows, classes, percent, store)
+    plain = store.save(rows.select("k", "doc_id", F.col("n").alias("n_shingles"), "cls"), "sizes")
     store.drop(rows)
     store.release()
     labels = classes.join(shared.select("cls").distinct(), "cls").select("cls", "n", F.col("cls").alias("comp"))
-    firsts = labels.select("cls").join(classes, "cls").select(F.col("first").alias("doc_id"))
-    sets = _sets(docs.join(firsts, docs["doc_id"] == firsts["doc_id"], "left_semi"), width, seed).dropDuplicates(["cls"])
-    sets = store.save_buckets(sets.join(labels.select("cls"), "cls", "left_semi"), "sets", "cls")
+    heads = labels.select("cls").join(classes, "cls").select(F.col("k").alias("head"))
+    keyed = docs.withColumn("head", row_key(F.col("doc_id"), F.col("text")))
+    sets = _sets(keyed.join(heads, "head", "left_semi"), width, seed).dropDuplicates(["cls"])
+    sets = store.save_buckets(sets, "sets", "cls")
     store.release()
     labels = _connect(shared, store.save(labels, "labels"), sets, percent, store)
     store.drop_buckets()
     labels = labels.select("cls", "comp")
     named = classes.join(labels, "cls").groupBy("comp").agg(F.min("first").alias("component_id"))
     found = classes.select("cls", "first").join(labels, "cls", "left").join(named, "comp", "left")
-    found = store.save(found.select("cls", F.coalesce("component_id", "first").alias("component_id")), "components")
-    alone = plain.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return plain.filter("cls is not null").join(found, "cls").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = F.col("comp").isNull()
+    found = found.select("cls", F.coalesce("comp", "cls").alias("comp"), F.when(alone, F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    found = store.save(found, "components")
+    empty = plain.filter("cls is null").select("k", "doc_id", "n_shingles", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
+    return plain.filter("cls is not null").join(found, "cls").select("k", "doc_id", "n_shingles", "comp", "component_id").unionByName(empty)
 
 
-def _shared_signatures(rows: DataFrame, percent: int, store: Store) -> DataFrame:
+def _shared_signatures(rows: DataFrame, classes: DataFrame, percent: int, store: Store) -> DataFrame:
     """(sig, cls, weight, probe): signatures that different classes share, where at least one of them probes.
 
     Of a set's signatures in a band the ``spare`` most frequent ones are not probed; they
     are still found by others' probes. ``weight`` counts the classes met by a class.
     """
-    each = rows.filter("cls is not null").select(F.explode("sigs").alias("sig"), "cls")
-    here = Window.partitionBy("sig")
-    met = each.withColumns({"low": F.min("cls").over(here), "high": F.max("cls").over(here)}).filter("low <> high")
-    all_met = met = store.save(met.select("sig", "cls").distinct(), "met")
+    heads = classes.select("k", "cls")
+    each = rows.select("k", "cls", "sigs").join(heads, ["k", "cls"], "left_semi").dropDuplicates(["cls"])
+    each = store.save(each.select(F.explode("sigs").alias("sig"), "cls"), "signatures")
+    sizes = each.groupBy("sig").agg(F.count("*").alias("times")).filter("times > 1")
+    all_met = met = store.save(each.join(sizes, "sig"), "met")
+    store.drop(each)
     store.release()
-    sizes = met.groupBy("sig").agg(F.count("*").alias("times"))
-    met = met.join(sizes, "sig")
     plan = Plan(percent)
     plan.band(1 << 30)
     spare = F.lit([b.spare for b in plan.bands[:64]])
@@ -452,7 +480,23 @@ def _unsettled(rows: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, store: Store | None = None) -> DataFrame:
-    """``docs`` without all but one document of each group: the one with the smallest id stays."""
-    linked = link(docs, width, percent, store)
-    gone = linked.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without all but one row of each group of linked documents.
+
+    The row with the smallest doc_id stays (nulls last), of several the one with the smallest row
+    key; of rows that repeat id and text one stays, chosen by a hash of all columns. Rows
+    without words stay all. Rows are told apart by id and text, not by id alone.
+    """
+    store = store or Store(docs.sparkSession, "representatives")
+    linked = store.save(_labelled(docs, width, percent, store).filter("comp is not null").select("k", "doc_id", "comp"), "labelled")
+    head = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("head")
+    heads = linked.groupBy("comp").agg(head).select("comp", F.col("head.k").alias("head"))
+    marked = linked.groupBy("k", "comp").agg(F.count("*").alias("times")).join(heads, "comp")
+    marked = store.save(marked.filter("k <> head or times > 1").select("k", (F.col("k") != F.col("head")).alias("gone")), "marked")
+    key, gone, place, mix = fresh(docs, "k", "gone", "place", "mix")
+    keyed = docs.withColumn(key, row_key(docs["doc_id"], docs["text"]))
+    marked = marked.withColumnsRenamed({"k": key, "gone": gone})
+    single = keyed.join(marked.select(key), key, "left_anti").select(docs.columns)
+    repeated = keyed.join(marked.filter(~F.col(gone)).select(key), key, "left_semi")
+    repeated = repeated.withColumn(mix, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    one = repeated.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(mix)))
+    return single.unionByName(one.filter(F.col(place) == 1).select(docs.columns))

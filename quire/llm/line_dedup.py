@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import Store, row_key
+from quire.llm.common import Store, fresh, row_key
 
 LEAST = 50
 
@@ -115,19 +115,22 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, store: Store | None = No
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, store: Store | None = None) -> DataFrame:
-    """``docs`` with the text cut and ``n_lines``, ``n_removed`` appended.
+    """``docs`` with the text cut and ``n_lines``, ``n_removed`` appended, as the last two columns.
 
     A null text stays null with no lines; blank lines are never deleted; rows
-    that repeat an id and a text are one document and lose the same lines.
+    that repeat an id and a text are one document and lose the same lines. Where ``docs`` has a
+    column of an appended name, it stays, and underscores are added to the appended one. An empty table stays empty.
     """
-    gone = repeated_lines(docs, least, store)
-    keyed = docs.withColumn("_k", row_key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(gone.withColumnsRenamed({"k": "_k", "removed": "_removed"}), "_k", "left").drop("_k")
+    gone = repeated_lines(docs.select("doc_id", "text"), least, store)
+    key, removed = fresh(docs, "k", "removed")
+    n_lines, n_removed = fresh(docs, "n_lines", "n_removed")
+    keyed = docs.withColumn(key, row_key(docs["doc_id"], docs["text"]))
+    joined = keyed.join(gone.withColumnsRenamed({"k": key, "removed": removed}), key, "left")
     lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
-    cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(removed))
+    cut = F.transform(F.array(lines), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))[0]
     return joined.select(
-        *[F.when(F.col("_removed").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.when(F.col(removed).isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines),
+        F.coalesce(F.size(removed), F.lit(0)).cast("long").alias(n_removed),
     )

@@ -12,8 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quire.llm.common import Store, range_blocks, ranked, row_key
+from quire.llm.common import Store, fresh, range_blocks, ranked, row_key
 
 LEAST = 50
 _PLACE = (1 << 31) - 1
@@ -175,43 +176,80 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, store: Store | None = Non
     store.release()
     more = _grow(again, names, words, least)
     every = found.unionByName(more).select("k", "start", "stop").unionByName(copies)
-    gone = store.save(every.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("runs")), "gone")
+    gone = store.save(_merged(every.distinct()), "gone")
     store.drop_buckets()
     store.release()
     return gone
 
 
 def _cut(text: Column, runs: Column) -> Column:
-    """``text`` without the words of ``runs``: lines left without words go, blank lines and the ends of cut lines stay."""
-    mark = F.concat(F.lit("\x01"), F.md5(text), F.lit("\x01"))  # a line end after a deleted word; stands in no text
+    """``text`` without the words of ``runs`` (ascending, apart): lines left without words go, blank lines and the ends of cut lines stay.
+
+    The result is put together from the spans of words that are kept and what each gap leaves:
+    where lines end in a gap, the blanks before it go, one line end stays for them unless a line begins there,
+    and so do blank lines inside and the blanks before the next word.
+    """
     lead = F.regexp_extract(text, r"^\s*", 0)
     words = F.split(F.substring(text, F.length(lead) + 1, F.length(text)), r"(?<=\s)(?=\S)")
-    gone = lambda i: F.exists(runs, lambda r: (r["start"] <= i) & (i < r["stop"]))
-    ends = lambda w: F.when(w.contains("\n"), F.concat(mark, F.regexp_extract(w, r"\n([\s\S]*)$", 1))).otherwise("")
-    left = F.concat(lead, F.array_join(F.transform(words, lambda w, i: F.when(gone(i), ends(w)).otherwise(w)), ""))
-    marks = F.concat(F.lit("(?:[^\\S\\n]*"), mark, F.lit(")+"))
-    left = F.regexp_replace(left, F.concat(F.lit("(?m)(?<![^\\n])"), marks), F.lit(""))
-    left = F.regexp_replace(left, marks, F.lit("\n"))
-    last = gone(F.size(words) - 1) & ~F.element_at(words, -1).contains("\n")
-    return F.when(last, F.regexp_replace(left, r"\n?[^\S\n]*\z", "")).otherwise(left)
+    strip = lambda c: F.regexp_replace(c, r"[^\S\n]+\z", "")
+    span = lambda w, start, stop: F.slice(w, start + 1, F.greatest(stop - start, F.lit(0)))
+
+    def gap(w: Column, r: Column) -> Column:
+        ends = F.filter(span(w, r["start"], r["stop"]), lambda x: x.contains("\n"))
+        return F.transform(ends, lambda x: F.regexp_extract(x, r"\n[\s\S]*\z", 0))
+
+    def piece(w: Column, start: Column, r: Column, first: Column) -> Column:
+        """What stays of the words from ``start`` to the end of the gap ``r``."""
+        before, ends = span(w, start, r["start"] - 1), gap(w, r)
+        last = F.when(r["start"] > start, F.get(w, r["start"] - 1)).otherwise(first)
+        head = F.array_join(before, "")
+        blank = F.array_join(F.transform(ends, lambda x: F.regexp_extract(x, r"\A\n([\s\S]*\n)", 1)), "")
+        begins = (strip(last) == "") | strip(last).endswith("\n")
+        left = F.concat(strip(last), F.when(begins, "").otherwise("\n"), blank, F.regexp_extract(F.element_at(ends, -1), r"([^\n]*)\z", 1))
+        return F.concat(head, F.when(F.size(ends) == 0, last).otherwise(left))
+
+    def whole(w: Column) -> Column:
+        start = lambda i: F.coalesce(F.get(runs, i - 1)["stop"], F.lit(0))
+        opening = F.get(runs, F.lit(0))["start"] == 0
+        first = lambda i: F.when((i == 0) & opening, lead).otherwise("")
+        pieces = F.array_join(F.transform(runs, lambda r, i: piece(w, start(i), r, first(i))), "")
+        ended = F.element_at(runs, -1)["stop"]
+        left = F.concat(F.when(opening, "").otherwise(lead), pieces, F.array_join(span(w, ended, F.size(w)), ""))
+        last = (ended >= F.size(w)) & ~F.element_at(w, -1).contains("\n")
+        return F.when(last, F.regexp_replace(left, r"\n?[^\S\n]*\z", "")).otherwise(left)
+
+    return F.transform(F.array(words), whole)[0]
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """(k, runs) of rows (k, start, stop): overlapping and adjoining spans made one, in order."""
+    before = Window.partitionBy("k").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("k").orderBy("start", "stop")
+    new = F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True))
+    islands = runs.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = islands.groupBy("k", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return spans.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
 
 
 def dedup_passages(docs: DataFrame, least: int = LEAST, store: Store | None = None) -> DataFrame:
-    """``docs`` with the text cut and ``n_lines``, ``n_removed`` (lines that went), ``n_words_cut`` appended.
+    """``docs`` with the text cut and ``n_lines``, ``n_removed`` (lines that went), ``n_words_cut`` appended, as the last three columns.
 
     A null text stays null with no lines; rows that repeat an id and a text are one
-    document and lose the same words.
+    document and lose the same words. Where ``docs`` has a column of an appended name, it stays, and
+    underscores are added to the appended one. An empty table stays empty.
     """
-    gone = repeated_runs(docs, least, store)
-    keyed = docs.withColumn("_k", row_key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(gone.withColumnsRenamed({"k": "_k", "runs": "_runs"}), "_k", "left").drop("_k")
-    joined = joined.withColumn("_cut", F.when(F.col("_runs").isNotNull(), _cut(F.col("text"), F.col("_runs"))))
+    gone = repeated_runs(docs.select("doc_id", "text"), least, store)
+    key, runs, cut = fresh(docs, "k", "runs", "cut")
+    n_lines, n_removed, n_cut = fresh(docs, "n_lines", "n_removed", "n_words_cut")
+    keyed = docs.withColumn(key, row_key(docs["doc_id"], docs["text"]))
+    joined = keyed.join(gone.withColumnsRenamed({"k": key, "runs": runs}), key, "left")
+    joined = joined.withColumn(cut, F.when(F.col(runs).isNotNull(), _cut(F.col("text"), F.col(runs))))
     count = lambda c: F.coalesce(F.size(F.split(c, "\n")), F.lit(0)).cast("long")
-    kept = F.when(F.col("_cut") == "", F.lit(0)).otherwise(count("_cut"))
-    lost = F.regexp_count("text", F.lit(r"\S+")) - F.regexp_count("_cut", F.lit(r"\S+"))
+    kept = F.when(F.col(cut) == "", F.lit(0)).otherwise(count(cut))
+    lost = F.aggregate(runs, F.lit(0), lambda s, r: s + r["stop"] - r["start"])
     return joined.select(
-        *[F.coalesce("_cut", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        count("text").alias("n_lines"),
-        F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(count("text") - kept).cast("long").alias("n_removed"),
-        F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(lost).cast("long").alias("n_words_cut"),
+        *[F.coalesce(cut, "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        count("text").alias(n_lines),
+        F.when(F.col(cut).isNull(), F.lit(0)).otherwise(count("text") - kept).cast("long").alias(n_removed),
+        F.when(F.col(cut).isNull(), F.lit(0)).otherwise(lost).cast("long").alias(n_cut),
     )

@@ -6,10 +6,11 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from quire.llm import importance, packing
+from quire.llm import importance, line_dedup, packing
 from quire.llm.common import table
 from quire.llm.jobs import good_document
 from tests.llm import brute
+from tests.llm.test_passages import plain as plain_passages
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -33,8 +34,12 @@ def test_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in quality) == sorted(r["doc_id"] for r in picked.filter("selected").collect())
 
     was = {r["doc_id"]: r["text"] or "" for r in quality}
+    whole = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(spark.read.parquet(f"{tmp_path}/0")).collect()]
+    assert {x for _, t in whole for x in t.split("\n") if x.strip()} == {x for t in was.values() for x in t.split("\n") if x.strip()}
+    gone = plain_passages(whole, 50)
+    left = {d: [w for i, w in enumerate((t or "").split()) if i not in gone[d]] for d, t in whole}
+    assert {r["doc_id"]: r["text"].split() for r in lines} == {d: w for d, w in left.items() if w or not (was[d].split())}
     assert not brute.repeated_runs([(r["doc_id"], r["text"]) for r in lines], 50)
-    assert {x for r in lines for x in r["text"].split("\n") if x.strip()} == {x for t in was.values() for x in t.split("\n") if x.strip()}
     assert all(r["n_chars"] == len(r["text"]) for r in lines if r["text"] != was[r["doc_id"]])
 
     linked = brute.jaccard_components([(r["doc_id"], r["text"]) for r in lines], 5, 80)
