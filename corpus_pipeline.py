@@ -30,24 +30,28 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return importance.keep(docs, table(spark, sf_dir, "labels"), good_document())
 
 
+def _counted(cut: DataFrame, docs: DataFrame, n_cut: str) -> DataFrame:
+    """Rows of ``cut`` that lost nothing or have words left, in the columns of ``docs``, with their lengths."""
+    cut = cut.filter((F.col(n_cut) == 0) | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        counted = F.when(F.col(n_cut) == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long")
+        cut = cut.withColumn("n_chars", counted)
+    return cut.select(docs.columns)
+
+
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeats of runs of 50 words and more; those that lose every word go."""
+    """Documents without later repeats of 50 words and more: runs of whole lines go first, then passages that
+    begin or end inside lines. Documents that lose every word go."""
     store = _store(spark, "lines")
-    cut = line_dedup.dedup_lines(docs, store=store)
-    cut = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    counted = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long")
-    return cut.withColumn("n_chars", counted).select(docs.columns)
+    lines = line_dedup.dedup_lines(docs, store=store)
+    kept = store.save(_counted(lines, docs, lines.columns[-1]), "lines")
+    cut = passages.dedup_passages(kept, store=store)
+    return _counted(cut, docs, cut.columns[-1])
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id, without passages of 50 words and more
-    that an earlier one of them holds, across line ends too; those that lose every word go."""
-    store = _store(spark, "jaccard")
-    kept = store.save(jaccard.representatives(docs, WIDTH, PERCENT, store), "representatives")
-    cut = passages.dedup_passages(kept, store=store)
-    cut = cut.filter((F.col("n_words_cut") == 0) | F.col("text").rlike(r"\S"))
-    counted = F.when(F.col("n_words_cut") == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long")
-    return cut.withColumn("n_chars", counted).select(docs.columns)
+    """One document of each group of near copies, that with the smallest id."""
+    return jaccard.representatives(docs, WIDTH, PERCENT, _store(spark, "jaccard"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
