@@ -5,30 +5,30 @@ from __future__ import annotations
 import re
 
 _VOWELS = frozenset("aeiouy")
-_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 
 # Fixed values of the published algorithm: whole-word exceptions and suffix tables.
-_WHOLE = {
+WHOLE = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
     "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli",
     "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas",
     "cosmos": "cosmos", "bias": "bias", "andes": "andes",
 }
-_AFTER_PLURAL = frozenset(
+AFTER_PLURAL = frozenset(
     ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
 )
-_STEP2 = {
+STEP2 = {
     "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent",
     "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate",
     "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous",
     "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble",
     "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
 }
-_STEP3 = {
+STEP3 = {
     "tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic",
     "ical": "ic", "ful": "", "ness": "", "ative": "",
 }
-_STEP4 = (
+STEP4 = (
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism",
     "ate", "iti", "ous", "ive", "ize", "ion",
 )
@@ -57,8 +57,8 @@ def _longest(word: str, suffixes) -> str:
 
 def stem(word: str) -> str:
     """Stem of a lower-case word; words of one or two letters stay as they are."""
-    if len(word) <= 2 or word in _WHOLE:
-        return _WHOLE.get(word, word)
+    if len(word) <= 2 or word in WHOLE:
+        return WHOLE.get(word, word)
     # y acts as a consonant at the start and after a vowel
     word = re.sub(r"^y|(?<=[aeiouy])y", "Y", word)
     r1, r2 = _regions(word)
@@ -71,7 +71,7 @@ def stem(word: str) -> str:
         word = word[:-2] if len(word) > 4 else word[:-1]
     elif end == "s" and _HAS_VOWEL.search(word[:-2]):
         word = word[:-1]
-    if word in _AFTER_PLURAL:
+    if word in AFTER_PLURAL:
         return word
 
     # past and progressive forms
@@ -83,7 +83,7 @@ def stem(word: str) -> str:
         word = word[: -len(end)]
         if word.endswith(("at", "bl", "iz")):
             word += "e"
-        elif word.endswith(_DOUBLES):
+        elif word.endswith(DOUBLES):
             word = word[:-1]
         elif r1 >= len(word) and _SHORT_END.search(word):
             word += "e"
@@ -92,7 +92,7 @@ def stem(word: str) -> str:
         word = word[:-1] + "i"
 
     # derivational endings
-    end = _longest(word, _STEP2)
+    end = _longest(word, STEP2)
     at = len(word) - len(end)
     if end and at >= r1:
         allowed = (
@@ -101,12 +101,12 @@ def stem(word: str) -> str:
             else True
         )
         if allowed:
-            word = word[:at] + _STEP2[end]
-    end = _longest(word, _STEP3)
+            word = word[:at] + STEP2[end]
+    end = _longest(word, STEP3)
     at = len(word) - len(end)
     if end and at >= r1 and (end != "ative" or at >= r2):
-        word = word[:at] + _STEP3[end]
-    end = _longest(word, _STEP4)
+        word = word[:at] + STEP3[end]
+    end = _longest(word, STEP4)
     at = len(word) - len(end)
     if end and at >= r2 and (end != "ion" or word[:at].endswith(("s", "t"))):
         word = word[:at]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.analysis import PLAIN, Analyzer
+from quire.functions.stem_steps import stems
 from quire.functions.text import snippet
 from quire.schemas import CARD_COLUMNS, MAX_LIMIT, check_sources, normalised_limit, source_ordinal
 from quire.session import materialise
@@ -92,6 +93,19 @@ def build_postings(corpus: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame:
     )
 
 
+def stemmed_postings(postings: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Plain postings under the stems of their terms: frequencies of terms with one stem are added up.
+
+    ``vocabulary`` is (term, stem), for instance a stored one; by default the distinct terms of
+    the postings are stemmed in one table. Spark sees the table's size and sends it to every
+    task only if that is small; a hot term is counted per document, so it does not pile up.
+    """
+    if vocabulary is None:
+        vocabulary = materialise(stems(postings.select("term").distinct()), "stems")
+    named = postings.join(vocabulary, "term").select(*KEYS, F.col("stem").alias("term"), "tf", "doc_len")
+    return named.groupBy(*KEYS, "doc_len", "term").agg(F.sum("tf").cast("int").alias("tf")).select(*KEYS, "term", "tf", "doc_len")
+
+
 def query_terms(queries: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame:
     """(query_id, sources, limit, terms): distinct sorted terms; queries without any drop out."""
     optional = {

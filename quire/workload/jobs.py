@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.analysis import ENGLISH, PLAIN, Analyzer
+from quire.functions.stem_steps import stems
 from quire.functions.text import first_heading, path_stem
 from quire.operators import catalog, embed, extract, fusion, keyword, lookup, semantic, upsert
 from quire.schemas import BOOK_NAMES, STUDY_AID_TYPES
@@ -74,6 +75,26 @@ def keyword_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job
+def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct term of the library with its stem."""
+    return stems(keyword.build_postings(v.library(spark, sf_dir)).select("term").distinct())
+
+
+@job
+def build_postings_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain postings joined with the stemmed vocabulary."""
+    return keyword.stemmed_postings(materialise(keyword.build_postings(v.library(spark, sf_dir)), "postings"))
+
+
+@job
+def search_postings_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stemmed search from postings that were stemmed through the vocabulary and stored by term."""
+    postings = materialise(keyword.build_postings(v.library(spark, sf_dir)), "postings")
+    stored = keyword.write_postings(keyword.stemmed_postings(postings), scratch_path(spark, "postings"))
+    return keyword.search_postings(v.passages(spark, sf_dir), stored, analyzer=ENGLISH)
+
+
 # --- semantic search -----------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quire.functions.analysis import ENGLISH_STOP_WORDS
 from quire.schemas import BOOK_ALIASES, BOOK_NAMES
+from quire.workload.stem_sql import STEMS
 from quire.workload.views import CITATION_FORMS, MTIME, PATH_SHAPES
 
 _STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
@@ -66,6 +67,19 @@ asked AS (
   WHERE term <> '' AND term NOT IN ({_STOP})),
 needed AS (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id)"""
 
+# The same postings and questions under the stems of their terms.
+STEMMED = (
+    TERMS.replace("postings AS (", "plain_postings AS (", 1).replace("asked AS (", "plain_asked AS (", 1).split("needed AS (")[0].rstrip().rstrip(",")
+    + """,
+words AS (SELECT term FROM plain_postings UNION SELECT term FROM plain_asked)"""
+    + STEMS
+    + """,
+postings AS (SELECT source_type, source_id, stem AS term, sum(tf)::INT AS tf, doc_len
+  FROM plain_postings JOIN stems USING (term) GROUP BY source_type, source_id, stem, doc_len),
+asked AS (SELECT DISTINCT query_id, stem AS term FROM plain_asked JOIN stems USING (term)),
+needed AS (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id)"""
+)
+
 LOG_TF = "1 + ln(tf)"
 BM25 = "idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean_len))"
 BM25_STATS = """,
@@ -440,6 +454,12 @@ UNION ALL SELECT CASE content_type WHEN 'scriptures' THEN 'chapters' ELSE conten
 UNION ALL SELECT 'scriptures', 'rows', count(*) FROM tree_verses""",
     "ingest_stream": "WITH " + TREE + TREE_VERSES + "\nSELECT * FROM tree_verses",
     "build_postings": "WITH " + LIBRARY + TERMS + "\nSELECT source_type, source_id, term, tf, doc_len FROM postings",
+    "stem_vocabulary": "WITH " + LIBRARY + STEMMED + "\nSELECT term, stem FROM stems WHERE term IN (SELECT term FROM plain_postings)",
+    "build_postings_stemmed": "WITH " + LIBRARY + STEMMED + "\nSELECT source_type, source_id, term, tf, doc_len FROM postings",
+    "search_postings_stemmed": "WITH " + LIBRARY + STEMMED + keyword_hits("kw", "log_tf")
+    + "\nSELECT query_id, rank, source_type, source_id, score FROM kw",
+    "keyword_search_stemmed": "WITH " + LIBRARY + STEMMED + keyword_hits("kw", "log_tf")
+    + f"\nSELECT query_id, rank, source_type, source_id, score, {CARDS} FROM kw JOIN cards USING (source_type, source_id)",
     "keyword_search": keyword_search("log_tf"),
     "keyword_search_bm25": keyword_search("bm25"),
     "keyword_search_sources": (
