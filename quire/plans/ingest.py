@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,24 +22,13 @@ from quire.operators.upsert import prune_vanished
 from quire.schemas import EMBEDDED_SOURCES
 from quire.session import materialise
 from quire.sources import corpus
+from quire.sources.changed import contents_of
 from quire.sources.tables import StateTables
 
 CONTENT_TABLES = ("chapters", "scriptures", "talks", "manuals", "books", "study_aids")
 _SUMMARY = "content_type string, outcome string, n bigint"
 
 
-def _changed_content(
-    spark: SparkSession, diff: DataFrame, root: str, route: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """Routed files of one tree that changed, with content.
-
-    The tree is always read as a whole and joined with the list of changed files,
-    so file names are never taken for patterns and no list passes the driver.
-    """
-    files = route(corpus.scan_corpus(spark, root))
-    return files.join(corpus.changed_files(diff).select("path"), "path", "left_semi")
-
-
 def apply_files(state: StateTables, files: DataFrame, now: Column | None = None) -> DataFrame:
     """Extract and upsert routed files that carry content; returns (content_type, outcome, n).
 
@@ -96,6 +85,7 @@ def ingest(
     prune: bool = False,
     now: Column | None = None,
     parts: int | None = None,
+    opened: Accumulator | None = None,
 ) -> DataFrame:
     """Bring the state tables up to date with the trees; returns (content_type, outcome, n).
 
@@ -103,7 +93,8 @@ def ingest(
     files below the given roots, and nothing when a root lists no file at all.
     Files that were listed but could not be read are counted as ``error`` and
     stay out of the manifest, so the next run tries them again. ``parts`` is the
-    number of hash partitions of a new state.
+    number of hash partitions of a new state. The trees are listed as a whole, but only changed files
+    are opened, as many as ``opened`` counts in the end.
     """
     state = StateTables(spark, state_root, parts)
     known = state.read("index_metadata")
@@ -117,7 +108,9 @@ def ingest(
         )
         listings.append(listing)
         diffs.append(diff)
-        files.append(_changed_content(spark, diff, root, route))
+        changed = corpus.changed_files(diff).select("path")
+        changed = materialise(listing.join(changed, "path", "left_semi"), "changed")
+        files.append(contents_of(spark, changed, root, opened))
     if not listings:
         raise ValueError("give a library root, a books root or both")
     rows_read = apply_files(state, reduce(DataFrame.unionByName, files), now)
@@ -139,14 +132,18 @@ def ingest(
 
 
 def backfill_stored_speakers(
-    spark: SparkSession, state_root: str, library_root: str, now: Column | None = None
+    spark: SparkSession, state_root: str, library_root: str, now: Column | None = None, opened: Accumulator | None = None
 ) -> DataFrame:
-    """Parse the headers of all stored talks again and correct changed speakers; returns (status, n)."""
+    """Parse the headers of all stored talks again and correct changed speakers; returns (status, n).
+
+    Of the library only the talks' own files are opened; a talk whose file is not listed any more is ``missing``.
+    """
     state = StateTables(spark, state_root)
     stored = state.read("talks")
-    checked = materialise(
-        extract.backfill_speakers(stored, corpus.scan_corpus(spark, library_root)), "backfill"
-    )
+    listing = corpus.scan_corpus(spark, library_root, with_content=False)
+    own = stored.select(F.col("file_path").alias("path")).distinct()
+    files = materialise(listing.join(own, "path", "left_semi"), "talk-files")
+    checked = materialise(extract.backfill_speakers(stored, contents_of(spark, files, library_root, opened)), "backfill")
     updates = extract.backfill_updates(checked)
     if not updates.isEmpty():
         state.merge("talks", updates.drop("id"), "speaker", ["speaker"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from quire.plans.ingest import apply_files
+from quire.plans.ingest import apply_files, ingest
 from quire.sources import corpus
 from quire.sources.tables import StateTables
 
@@ -34,9 +34,8 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Run the batch extraction and upserts on every micro-batch until the tree is read.
 
-    A file whose time moved backwards does not appear in the stream; the batch
-    ingest with its manifest stays the authority. A repeated micro-batch changes
-    nothing, because all upserts are idempotent.
+    A file whose time moved backwards does not appear in this stream; ``ingest_watch`` sees it. A repeated
+    micro-batch changes nothing, because all upserts are idempotent.
     """
     route = corpus.route_books if books else corpus.route_files
 
@@ -56,3 +55,28 @@ def ingest_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def ingest_watch(
+    spark: SparkSession,
+    state_root: str,
+    checkpoint: str,
+    library_root: str | None = None,
+    books_root: str | None = None,
+    every: str = "1 minute",
+    prune: bool = False,
+    once: bool = False,
+) -> StreamingQuery:
+    """Keep the state up to date with the trees: an incremental ingest at every tick of the stream's clock.
+
+    The manifest, not the files' times, says what is new: files that came back from a backup with an
+    older time, files of another size, and with ``prune`` vanished ones, are all seen, and only changed files
+    are opened. With ``once`` a single tick runs. A tick that is repeated after a failure changes nothing.
+    """
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+
+    def tick(_: DataFrame, batch_id: int) -> None:
+        ingest(spark, state_root, library_root, books_root, prune=prune)
+
+    writer = clock.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

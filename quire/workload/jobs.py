@@ -12,7 +12,7 @@ from quire.functions.stem_steps import stems
 from quire.functions.text import first_heading, path_stem
 from quire.operators import catalog, embed, extract, fusion, keyword, lookup, semantic, upsert
 from quire.schemas import BOOK_NAMES, STUDY_AID_TYPES
-from quire.plans.ingest import ingest
+from quire.plans.ingest import backfill_stored_speakers, ingest
 from quire.session import materialise, scratch_path
 from quire.sources import corpus
 from quire.sources.tables import StateTables
@@ -337,6 +337,34 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job
+def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of a second ingest, after files were added to the tree and others changed, and the verses stored then."""
+    state, root = scratch_path(spark, "state"), scratch_path(spark, "tree")
+    ingest(spark, state, v.write_tree(v.first_tree_files(spark, sf_dir), root))
+    summary = ingest(spark, state, v.write_tree(v.later_tree_files(spark, sf_dir), root))
+    stored = StateTables(spark, state).read("scriptures")
+    sizes = stored.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).select(
+        F.lit("scriptures").alias("content_type"), F.explode(F.create_map(F.lit("stored"), "n", F.lit("characters"), "size")).alias("outcome", "n")
+    )
+    return summary.unionByName(sizes)
+
+
+@job
+def backfill_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored talks, some under a wrong name, after their speakers were read again from their own files."""
+    state, root = scratch_path(spark, "state"), tree(spark, sf_dir)
+    ingest(spark, state, root)
+    tables = StateTables(spark, state)
+    poor = v.table(spark, sf_dir, "labels").filter("quality = 0").select(F.concat("doc_id", F.lit(".md")).alias("name"))
+    talks = tables.read("talks").withColumn("name", F.element_at(F.split("file_path", "/"), -1))
+    wrong = talks.join(poor, "name", "left_semi").drop("name").withColumn("speaker", F.lit("nobody"))
+    tables.merge("talks", materialise(wrong.drop("id"), "wrong"), "file_path", ["speaker"])
+    counts = backfill_stored_speakers(spark, state, root).select(F.col("status").alias("name"), F.col("n"))
+    after = tables.read("talks").groupBy(F.col("speaker").alias("name")).agg(F.count("*").alias("n"))
+    return counts.unionByName(after)
+
+
 @job
 def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.route_files(v.mixed_files(spark, sf_dir)).drop("content", "mtime", "path")

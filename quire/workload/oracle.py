@@ -442,7 +442,34 @@ tree_verses AS (
     {clean("regexp_extract(line, '^\\*\\*(\\d+)\\.\\*\\*\\s*(.+)', 2)")} AS text FROM marked)
   WHERE verse IS NOT NULL AND text <> '')"""
 
+# The verses of the tree after the second ingest: a line more where a poor document was changed.
+LATER_VERSES = TREE_VERSES.replace(
+    "FROM routed JOIN files USING (doc_id) WHERE content_type = 'scriptures'",
+    "FROM routed JOIN files USING (doc_id) WHERE content_type = 'scriptures' "
+    "UNION ALL SELECT doc_id, volume, book, chapter, '**9999.** More' FROM changes JOIN routed USING (doc_id) WHERE content_type = 'scriptures' AND kind = 'changed'",
+)
+CHANGES = """,
+changes AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'new' WHEN quality = 0 THEN 'changed' ELSE 'unchanged' END AS kind
+  FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id))"""
 SQL: dict[str, str] = {
+    "ingest_incremental": "WITH " + TREE + CHANGES + LATER_VERSES + """
+SELECT coalesce(content_type, 'none') AS content_type,
+  CASE WHEN outcome <> 'routed' THEN outcome WHEN kind = 'unchanged' THEN kind ELSE 'indexed' END AS outcome, count(*) AS n
+  FROM routed JOIN changes USING (doc_id) GROUP BY 1, 2
+UNION ALL SELECT CASE content_type WHEN 'scriptures' THEN 'chapters' ELSE content_type END, 'rows', count(*)
+  FROM routed JOIN changes USING (doc_id) WHERE content_type IS NOT NULL AND kind <> 'unchanged' GROUP BY 1
+UNION ALL SELECT 'scriptures', 'rows', count(*) FROM tree_verses v
+  WHERE chapter IN (SELECT doc_id FROM changes WHERE kind <> 'unchanged')
+UNION ALL SELECT 'scriptures', 'stored', count(*) FROM tree_verses
+UNION ALL SELECT 'scriptures', 'characters', sum(length(text))::BIGINT FROM tree_verses""",
+    "backfill_stored": "WITH " + TALKS + f""",
+stored AS (SELECT t.*, coalesce(poor, false) AS poor FROM talks t JOIN docs USING (doc_id)
+  LEFT JOIN (SELECT doc_id, true AS poor FROM labels WHERE quality = 0 GROUP BY doc_id) USING (doc_id)
+  WHERE no % {len(PATH_SHAPES)} = 1),
+checked AS (SELECT CASE WHEN suspicious THEN 'failed' WHEN poor THEN 'changed' ELSE 'unchanged' END AS status FROM stored)
+SELECT status AS name, count(*) AS n FROM checked GROUP BY status
+UNION ALL SELECT 'total', count(*) FROM checked
+UNION ALL SELECT CASE WHEN suspicious AND poor THEN 'nobody' ELSE speaker END, count(*) FROM stored GROUP BY 1""",
     "search_postings": "WITH " + LIBRARY + TERMS + keyword_hits("kw", "log_tf")
     + "\nSELECT query_id, rank, source_type, source_id, score FROM kw",
     "scan_corpus": "WITH " + TREE + "\nSELECT rel_path, size, content FROM files",

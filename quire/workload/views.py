@@ -299,7 +299,7 @@ def old_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- a tree on disk --------------------------------------------------------------
 
 
-def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tree_files(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
     """The mixed tree with contents that fit the paths: chapters hold verses, the rest reads like talks."""
     chapter = scripture_files(spark, sf_dir).select("doc_id", F.col("content").alias("verses"))
     talk = talk_files(spark, sf_dir).select("doc_id", F.col("content").alias("talk"))
@@ -309,12 +309,29 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(chapter, "doc_id")
         .join(talk, "doc_id")
         .select(
+            *["doc_id"] * with_id,
             "rel_path",
             F.when(F.col("rel_path").contains("/scriptures/"), F.col("verses")).otherwise(F.col("talk")).alias("content"),
         )
     )
 
 
+def first_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree as it was before: without the documents of one language."""
+    files = tree_files(spark, sf_dir, with_id=True)
+    early = table(spark, sf_dir, "documents").filter("lang <> 'de'").select("doc_id")
+    return files.join(early, "doc_id", "left_semi").select("rel_path", "content")
+
+
+def later_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came to the tree since: the documents of that language, and the poor ones of the others with a line more."""
+    files = tree_files(spark, sf_dir, with_id=True).join(
+        table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"
+    ).join(table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id", F.lit(True).alias("poor")), "doc_id", "left")
+    more = F.when(F.col("lang") == "de", F.col("content")).when(F.col("poor"), F.concat("content", F.lit("\n**9999.** More")))
+    return files.select("rel_path", more.alias("content")).filter("content is not null")
+
+
 def write_tree(files: DataFrame, root: str) -> str:
     """Write (rel_path, content) as files below ``root``, each task its own share."""
 
