@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.analysis import ENGLISH, PLAIN, Analyzer
 from quire.functions.stem_steps import stems
 from quire.functions.text import first_heading, path_stem
-from quire.operators import catalog, embed, extract, fusion, keyword, lookup, semantic, upsert
+from quire.operators import catalog, embed, extract, fusion, keyword, lookup, semantic, trained, upsert
 from quire.schemas import BOOK_NAMES, STUDY_AID_TYPES
 from quire.plans.ingest import backfill_stored_speakers, ingest
 from quire.session import materialise, scratch_path
@@ -132,6 +132,15 @@ def semantic_search_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job
+def semantic_search_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a query, through fitted cells and codes, with exact scores for a tenth of the rows at most."""
+    index = trained.build(v.vectors(spark, sf_dir))
+    return trained.search(
+        v.every_vector(spark, sf_dir), index, v.library(spark, sf_dir), most=max(10, min(trained.CANDIDATES, index.n // 10))
+    )
+
+
 @job
 def model_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.model_census(v.vectors(spark, sf_dir))
