@@ -26,6 +26,7 @@ from quire.llm.common import Store, fresh, row_key
 
 _ROLL, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _FALSE_MATCH_COST = 100
+_KNOWN = 1 << 19
 STAR_ROUNDS = 6
 FEW = 24
 #: A class settles under a signature when it differs from the hub by at most so many times what similar sets can.
@@ -161,12 +162,16 @@ def _some(texts: list[bytes | None], most: int = 1 << 23) -> Iterator[list[bytes
 
 
 def profile(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """(k, doc_id, n, name, cls, sigs): row key, size, 128-bit name and 64-bit class of each document's set, and its signatures."""
+    """(k, doc_id, n, name, cls, sigs): row key, size, 128-bit name and 64-bit class of each document's set, and its signatures.
+
+    A task gives the signatures of a class once, not again for its copies (it knows the last ``_KNOWN`` classes), so
+    a crowd of copies counts under its signatures as often as there are tasks.
+    """
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
     names = ["k", "doc_id", "n", "name", "cls", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, plan = Shingler(width), Plan(percent)
+        shingle, plan, seen = Shingler(width), Plan(percent), set()
         for batch in batches:
             at = 0
             for texts in _some(_texts(batch.column(2))):
@@ -177,7 +182,10 @@ def profile(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
                         rows.append((key, doc_id, 0, None, None, []))
                         continue
                     name, cls = _names(items, seed)
-                    rows.append((key, doc_id, len(items), name, cls, signatures(items, plan).view(np.int64)))
+                    rows.append((key, doc_id, len(items), name, cls, [] if cls in seen else signatures(items, plan).view(np.int64)))
+                    if len(seen) >= _KNOWN:
+                        seen.clear()
+                    seen.add(cls)
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -339,7 +347,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, store: Store) -> DataFr
         classes = store.save(classes.withColumn("k", F.col("head.k")).drop("head"), "classes")
         if classes.filter("low <> high").isEmpty():
             break
-    shared = _shared_signatures(rows, classes, percent, store)
+    shared = _shared_signatures(rows, percent, store)
     plain = store.save(rows.select("k", "doc_id", F.col("n").alias("n_shingles"), "cls"), "sizes")
     store.drop(rows)
     store.release()
@@ -361,19 +369,19 @@ def _labelled(docs: DataFrame, width: int, percent: int, store: Store) -> DataFr
     return plain.filter("cls is not null").join(found, "cls").select("k", "doc_id", "n_shingles", "comp", "component_id").unionByName(empty)
 
 
-def _shared_signatures(rows: DataFrame, classes: DataFrame, percent: int, store: Store) -> DataFrame:
+def _shared_signatures(rows: DataFrame, percent: int, store: Store) -> DataFrame:
     """(sig, cls, weight, probe): signatures that different classes share, where at least one of them probes.
 
     Of a set's signatures in a band the ``spare`` most frequent ones are not probed; they
     are still found by others' probes. ``weight`` counts the classes met by a class.
     """
-    heads = classes.select("k", "cls")
-    each = rows.select("k", "cls", "sigs").join(heads, ["k", "cls"], "left_semi").dropDuplicates(["cls"])
-    each = store.save(each.select(F.explode("sigs").alias("sig"), "cls"), "signatures")
-    sizes = each.groupBy("sig").agg(F.count("*").alias("times")).filter("times > 1")
-    all_met = met = store.save(each.join(sizes, "sig"), "met")
-    store.drop(each)
+    each = rows.filter("cls is not null").select(F.explode("sigs").alias("sig"), "cls")
+    here = Window.partitionBy("sig")
+    met = each.withColumns({"low": F.min("cls").over(here), "high": F.max("cls").over(here)}).filter("low <> high")
+    all_met = met = store.save(met.select("sig", "cls").distinct(), "met")
     store.release()
+    sizes = met.groupBy("sig").agg(F.count("*").alias("times"))
+    met = met.join(sizes, "sig")
     plan = Plan(percent)
     plan.band(1 << 30)
     spare = F.lit([b.spare for b in plan.bands[:64]])
