@@ -50,7 +50,7 @@ class Settings:
     harm: float = 0.15
 
 
-def ngrams(text: bytes | None, known: dict[bytes, tuple[int, int]], most: int = 1 << 18) -> np.ndarray:
+def ngrams(text: bytes | None, known: dict[bytes, tuple[int, int]], most: int = 1 << 16) -> np.ndarray:
     """Bucket of every n-gram of the lower-cased text."""
     found = (text or b"").lower().split()
     pairs = []

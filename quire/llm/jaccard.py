@@ -26,7 +26,7 @@ from quire.llm.common import Store, fresh, row_key
 
 _ROLL, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _FALSE_MATCH_COST = 100
-_KNOWN = 1 << 19
+_KNOWN = 1 << 16
 STAR_ROUNDS = 6
 FEW = 24
 #: A class settles under a signature when it differs from the hub by at most so many times what similar sets can.
@@ -124,7 +124,7 @@ def signatures(items: np.ndarray, plan: Plan) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles; word hashes are kept, up to a bound."""
 
-    def __init__(self, width: int, most: int = 1 << 18):
+    def __init__(self, width: int, most: int = 1 << 16):
         self.width, self.most = width, most
         self.known: dict[bytes, int] = {}
 
@@ -151,7 +151,7 @@ def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def _some(texts: list[bytes | None], most: int = 1 << 23) -> Iterator[list[bytes | None]]:
+def _some(texts: list[bytes | None], most: int = 1 << 22) -> Iterator[list[bytes | None]]:
     """``texts`` in turn, at most about ``most`` bytes of them at once."""
     start = held = 0
     for i, text in enumerate(texts):
@@ -221,7 +221,7 @@ def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
-            for texts in _some(_texts(batch.column(0)), 1 << 21):
+            for texts in _some(_texts(batch.column(0)), 1 << 20):
                 some = [(_names(x, seed)[1], len(x), sketch(x), x.view(np.int64)) for x in map(shingle, texts) if len(x)]
                 if some:
                     columns = [pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)]
