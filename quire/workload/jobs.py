@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.analysis import ENGLISH, PLAIN, Analyzer
 from quire.functions.stem_steps import stems
 from quire.functions.text import first_heading, path_stem
-from quire.operators import catalog, embed, extract, fusion, keyword, lookup, semantic, trained, upsert
+from quire.operators import blocks, catalog, embed, extract, fusion, keyword, lookup, semantic, trained, upsert
 from quire.schemas import BOOK_NAMES, STUDY_AID_TYPES
 from quire.plans.ingest import backfill_stored_speakers, ingest
 from quire.session import materialise, scratch_path
@@ -68,6 +68,14 @@ def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.search_postings(v.passages(spark, sf_dir), stored)
 
 
+@job
+def keyword_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of the hottest terms, limits 3, 20 and 100 and such out of range, from blocks with early end."""
+    postings = materialise(keyword.build_postings(v.library(spark, sf_dir)), "postings")
+    index = blocks.write_block_index(postings, scratch_path(spark, "block-index"))
+    return blocks.search_blocks(v.hot_queries(postings), index)
+
+
 @job
 def keyword_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.keyword_search(

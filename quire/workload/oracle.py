@@ -80,6 +80,22 @@ asked AS (SELECT DISTINCT query_id, stem AS term FROM plain_asked JOIN stems USI
 needed AS (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id)"""
 )
 
+# Queries of the hottest terms, with limits and source lists of their own.
+HOT = f""",
+hot AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS i FROM postings GROUP BY term QUALIFY i <= 60),
+hot_asked AS (
+  SELECT i AS query_id, term FROM hot
+  UNION SELECT a.i, b.term FROM hot a JOIN hot b ON b.i = a.i + CASE a.i % 3 WHEN 1 THEN 1 WHEN 2 THEN 7 END),
+hot_scored AS (
+  SELECT query_id, source_type, source_id, round(sum(1 + ln(tf)), 6) AS score
+  FROM postings JOIN hot_asked USING (term)
+  JOIN (SELECT query_id, count(*) AS n FROM hot_asked GROUP BY query_id) USING (query_id)
+  WHERE query_id % 5 <> 4 OR source_type IN ('talks', 'books')
+  GROUP BY query_id, source_type, source_id, n HAVING count(*) = n)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {ORDINAL}, source_id)::INT AS rank,
+    source_type, source_id, score FROM hot_scored)
+WHERE rank <= [3, 20, 100, 20, 20, 20][query_id % 6 + 1]"""
+
 LOG_TF = "1 + ln(tf)"
 BM25 = "idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean_len))"
 BM25_STATS = """,
@@ -472,6 +488,7 @@ UNION ALL SELECT 'total', count(*) FROM checked
 UNION ALL SELECT CASE WHEN suspicious AND poor THEN 'nobody' ELSE speaker END, count(*) FROM stored GROUP BY 1""",
     "search_postings": "WITH " + LIBRARY + TERMS + keyword_hits("kw", "log_tf")
     + "\nSELECT query_id, rank, source_type, source_id, score FROM kw",
+    "keyword_top_k": "WITH " + LIBRARY + TERMS + HOT,
     "scan_corpus": "WITH " + TREE + "\nSELECT rel_path, size, content FROM files",
     "ingest_summary": "WITH " + TREE + TREE_VERSES + """
 SELECT coalesce(content_type, 'none') AS content_type,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.schemas import SOURCE_TYPES
@@ -69,6 +69,23 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- vectors ---------------------------------------------------------------
 
 
+def hot_queries(postings: DataFrame) -> DataFrame:
+    """Queries of the 60 most frequent terms, alone or in twos, with limits in and out of range and some source lists."""
+    counts = postings.groupBy("term").agg(F.count("*").alias("df"))
+    hot = counts.orderBy(F.col("df").desc(), "term").limit(60)
+    place = Window.orderBy(F.col("df").desc(), "term")
+    numbered = hot.select(F.row_number().over(place).alias("i"), "term")
+    step = F.when(F.col("i") % 3 == 1, 1).when(F.col("i") % 3 == 2, 7)
+    other = numbered.select((F.col("i")).alias("_i"), F.col("term").alias("other"))
+    limits = F.array(*[F.lit(n).cast("int") for n in (3, 20, 100, 0, 101, None)])
+    return numbered.join(other, F.col("_i") == F.col("i") + step, "left").select(
+        F.col("i").cast("long").alias("query_id"),
+        F.concat_ws(" ", "term", "other").alias("query"),
+        F.get(limits, F.col("i") % 6).alias("limit"),
+        F.when(F.col("i") % 5 == 4, F.array(F.lit("talks"), F.lit("books"))).alias("sources"),
+    )
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored vector, attached to the document with the same number."""
     docs = library(spark, sf_dir).select(F.col("source_id").alias("vec_id"), "source_type", "content")
