@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from quire.operators.upsert import insert_if_absent
 from quire.schemas import EMBEDDED_SOURCES
 
 CHUNK_KEYS = ["source_type", "source_id", "layer"]
+DOC_KEYS = ["source_type", "source_id"]
 EmbedFn = Callable[[list[str]], list]
 
 _EMBEDDED = T.StructType(
@@ -79,6 +81,39 @@ def pending_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     return chunks.join(embeddings.select(*CHUNK_KEYS), CHUNK_KEYS, "left_anti")
 
 
+def document_digests(tables: dict[str, DataFrame], sources: tuple[str, ...] = EMBEDDED_SOURCES) -> DataFrame:
+    """(source_type, source_id, digest) of every document with text to embed; nothing is chunked."""
+    parts = []
+    for name in sources:
+        text = F.col("text" if name == "scriptures" else "content")
+        rows = tables[name].filter(F.length(text) > 0)
+        parts.append(rows.select(F.lit(name).alias("source_type"), F.col("id").alias("source_id"), F.md5(text).alias("digest")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def document_changes(digests: DataFrame, known: DataFrame, model: str) -> DataFrame:
+    """(source_type, source_id, digest, status) of documents to embed again.
+
+    ``known`` is (source_type, source_id, digest, model) of the documents embedded before. A document
+    is ``new``, ``changed`` (its text, or the model) or ``vanished``; unchanged ones drop out.
+    """
+    before = known.select(*DOC_KEYS, F.col("digest").alias("_digest"), F.col("model").alias("_model"))
+    status = (
+        F.when(F.col("_digest").isNull(), "new")
+        .when(F.col("digest").isNull(), "vanished")
+        .when((F.col("digest") != F.col("_digest")) | ~F.col("_model").eqNullSafe(F.lit(model)), "changed")
+    )
+    both = digests.join(before, DOC_KEYS, "full_outer").withColumn("status", status)
+    return both.filter(F.col("status").isNotNull()).select(*DOC_KEYS, "digest", "status")
+
+
+def reusable(chunks: DataFrame, stored: DataFrame, model: str) -> DataFrame:
+    """Chunks whose place, text and model have a stored vector, with it. Repeated vectors count once."""
+    same = [*CHUNK_KEYS, "content"]
+    vectors = stored.filter(F.col("model") == model).select(*same, "embedding", "model").dropDuplicates(same)
+    return chunks.select(same).join(vectors, same)
+
+
 def _embed_batch(texts: list[str], embed_fn: EmbedFn, dim: int | None) -> tuple[list, list]:
     """Vectors and error messages; a batch that fails is retried text by text."""
     try:

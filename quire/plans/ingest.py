@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 from quire.operators import extract
 from quire.operators.embed import (
+    CHUNK_KEYS,
+    DOC_KEYS,
     EmbedFn,
     all_chunks,
+    document_changes,
+    document_digests,
     embed_chunks,
     embedded,
     embedding_failures,
     new_embeddings,
     pending_embeddings,
+    reusable,
 )
 from quire.operators.upsert import prune_vanished
 from quire.schemas import EMBEDDED_SOURCES
@@ -179,3 +184,50 @@ def embed_pending(
         F.count_if(F.col("error").isNull()).alias("embedded"),
         F.count_if(F.col("error").isNotNull()).alias("failed"),
     )
+
+
+def embed_changed(
+    spark: SparkSession,
+    state_root: str,
+    embed_fn: EmbedFn,
+    model: str,
+    dim: int | None = None,
+    sources: tuple[str, ...] = EMBEDDED_SOURCES,
+) -> DataFrame:
+    """Bring the vectors up to date with the texts; returns (source_type, outcome, n).
+
+    Documents are compared by the digest of their text with those embedded before. Only ``new`` and
+    ``changed`` ones are chunked; of their chunks those whose text stayed in its place keep their vector
+    (``kept``), the others are ``embedded`` or ``failed``. Outdated vectors, and those of ``vanished``
+    documents, are taken out. Another model than before changes every document. A document with a failed chunk
+    is not entered as embedded, so the next run tries it again.
+    """
+    state = StateTables(spark, state_root)
+    tables = state.all(sources)
+    known = state.read("embedded_documents").filter(F.col("source_type").isin(*sources))
+    diff = materialise(document_changes(document_digests(tables, sources), known, model), "document-changes")
+    fresh = diff.filter(F.col("status") != "vanished")
+
+    def touched(name: str) -> DataFrame:
+        ids = fresh.filter(F.col("source_type") == name).select(F.col("source_id").alias("id"))
+        return tables[name].join(ids, "id", "left_semi")
+
+    chunks = materialise(all_chunks({name: touched(name) for name in sources}, sources), "chunks")
+    same = [*CHUNK_KEYS, "content"]
+    kept = materialise(reusable(chunks, state.rows_of("embeddings", diff), model), "kept")
+    # stored, because embedding is the costly step and its result is used several times
+    done = materialise(embed_chunks(chunks.join(kept.select(same), same, "left_anti"), embed_fn, model, dim), "embedded")
+    failures = embedding_failures(done)
+    vectors = materialise(kept.unionByName(embedded(done)).select(*state.read("embeddings").columns), "vectors")
+    state.swap("embeddings", diff, vectors)
+    whole = fresh.join(failures.select(*DOC_KEYS).distinct(), DOC_KEYS, "left_anti")
+    entered = materialise(whole.select(*DOC_KEYS, "digest", F.lit(model).alias("model")), "entered")
+    state.swap("embedded_documents", diff, entered)
+    if not failures.isEmpty():
+        state.append("embedding_failures", failures)
+    outcomes = (
+        diff.select("source_type", F.col("status").alias("outcome"))
+        .unionByName(kept.select("source_type", F.lit("kept").alias("outcome")))
+        .unionByName(done.select("source_type", F.when(F.col("error").isNull(), "embedded").otherwise("failed").alias("outcome")))
+    )
+    return outcomes.groupBy("source_type", "outcome").agg(F.count("*").alias("n"))

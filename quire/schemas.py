@@ -83,6 +83,7 @@ EMBEDDINGS = _schema(
     "source_type string, source_id bigint, layer string, content string, "
     "embedding array<float>, model string"
 )
+EMBEDDED_DOCUMENTS = _schema("source_type string, source_id bigint, digest string, model string")
 MANIFEST = _schema(
     "file_path string, content_type string, indexed_at timestamp, file_mtime timestamp, "
     "file_size bigint, record_count int"
@@ -103,6 +104,7 @@ TABLES = {
     "study_aids": STUDY_AIDS,
     "cross_references": CROSS_REFERENCES,
     "embeddings": EMBEDDINGS,
+    "embedded_documents": EMBEDDED_DOCUMENTS,
     "index_metadata": MANIFEST,
     "speaker_quarantine": SPEAKER_QUARANTINE,
     "embedding_failures": EMBEDDING_FAILURES,

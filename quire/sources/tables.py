@@ -18,6 +18,13 @@ from quire.session import materialise
 
 PARTS = 64
 
+# The columns whose hash places a row; tables not listed are appended to and never rewritten.
+PLACED = {
+    **{name: keys for name, (keys, _) in UPSERTS.items()},
+    "embeddings": ["source_type", "source_id"],
+    "embedded_documents": ["source_type", "source_id"],
+}
+
 
 class StateTables:
     """Read, merge into and append to the tables of one corpus.
@@ -48,8 +55,20 @@ class StateTables:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _in_parts(self, name: str) -> bool:
+        path, store = self._path(name)
+        return any(f.getPath().getName().startswith("part=") for f in store.listStatus(path))
+
     def _stored(self, name: str) -> DataFrame:
-        part = [T.StructField("part", T.IntegerType())] if name in UPSERTS else []
+        if name in PLACED and self.exists(name) and not self._in_parts(name):
+            # stored before the table had partitions, or without any row
+            plain = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
+            return plain.withColumn("part", self._part(name))
+        part = [T.StructField("part", T.IntegerType())] if name in PLACED else []
         schema = T.StructType([*TABLES[name].fields, *part])
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)
@@ -60,7 +79,7 @@ class StateTables:
         return self._stored(name).select(*TABLES[name].names)
 
     def _part(self, name: str) -> Column:
-        return F.pmod(F.xxhash64(*UPSERTS[name][0]), F.lit(self.parts)).cast("int")
+        return F.pmod(F.xxhash64(*PLACED[name]), F.lit(self.parts)).cast("int")
 
     def _write(self, name: str, rows: DataFrame, overwrite: str) -> None:
         self._keep_parts()
@@ -95,11 +114,48 @@ class StateTables:
         self._write(name, materialise(rows.withColumn("part", self._part(name)), name), "static")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows to an append-only table."""
-        fields = TABLES[name].fields
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.mode("append").parquet(
-            f"{self.root}/{name}"
-        )
+        """Add rows to a table."""
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])
+        if name not in PLACED:
+            rows.write.mode("append").parquet(f"{self.root}/{name}")
+            return
+        self._place(name)
+        placed = rows.withColumn("part", self._part(name)).hint("rebalance", "part")
+        placed.write.mode("append").partitionBy("part").parquet(f"{self.root}/{name}")
+
+    def _place(self, name: str) -> None:
+        """Bring a table that was stored without partitions into them."""
+        self._keep_parts()
+        if self.exists(name) and not self._in_parts(name):
+            self.replace(name, self.read(name))
+
+    def rows_of(self, name: str, keys: DataFrame) -> DataFrame:
+        """Stored rows with the keys of a stored table ``keys``, from the partitions of these only."""
+        touched = [r.part for r in keys.select(self._part(name).alias("part")).distinct().collect()]  # at most ``parts``
+        rows = self._stored(name).filter(F.col("part").isin(touched)).drop("part")
+        return rows.join(keys.select(*PLACED[name]).distinct(), PLACED[name], "left_semi")
+
+    def swap(self, name: str, gone: DataFrame, rows: DataFrame) -> None:
+        """Take out all rows with the keys of ``gone`` and put in ``rows``; both are stored tables.
+
+        Only the partitions of either are read and rewritten. One that ends up without rows is
+        deleted, since a dynamic overwrite leaves it alone. Repeating a swap changes nothing.
+        """
+        self._place(name)
+        part = self._part(name).alias("part")
+        touched = {r.part for r in gone.select(part).union(rows.select(part)).distinct().collect()}  # at most ``parts``
+        if not touched:
+            return
+        kept = self._stored(name).filter(F.col("part").isin(*touched))
+        kept = kept.join(gone.select(*PLACED[name]).distinct(), PLACED[name], "left_anti")
+        columns = [*TABLES[name].names, "part"]
+        after = materialise(kept.select(columns).unionByName(rows.withColumn("part", self._part(name)).select(columns)), name)
+        present = {r.part for r in after.select("part").distinct().collect()}
+        if present:
+            self._write(name, after, "dynamic")
+        for emptied in touched - present:
+            path, store = self._path(f"{name}/part={emptied}")
+            store.delete(path, True)
 
     def all(self, names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
         return {name: self.read(name) for name in names or TABLES}

@@ -11,8 +11,9 @@ from quire.functions.analysis import ENGLISH, PLAIN, Analyzer
 from quire.functions.stem_steps import stems
 from quire.functions.text import first_heading, path_stem
 from quire.operators import blocks, catalog, embed, extract, fusion, keyword, lookup, semantic, trained, upsert
-from quire.schemas import BOOK_NAMES, STUDY_AID_TYPES
+from quire.schemas import BOOK_NAMES, EMBEDDED_SOURCES, STUDY_AID_TYPES, TABLES
 from quire.plans.ingest import backfill_stored_speakers, ingest
+from quire.plans.ingest import embed_changed as refresh_vectors
 from quire.session import materialise, scratch_path
 from quire.sources import corpus
 from quire.sources.tables import StateTables
@@ -72,7 +73,7 @@ def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries of the hottest terms, limits 3, 20 and 100 and such out of range, from blocks with early end."""
     postings = materialise(keyword.build_postings(v.library(spark, sf_dir)), "postings")
-    index = blocks.write_block_index(postings, scratch_path(spark, "block-index"))
+    index = blocks.write_block_index(postings, scratch_path(spark, "block-index"), parts=32)
     return blocks.search_blocks(v.hot_queries(postings), index)
 
 
@@ -577,6 +578,29 @@ def pending_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.pending_embeddings(extract.verse_chunks(v.verses(spark, sf_dir)), stored)
 
 
+def keep_library(state: StateTables, documents: DataFrame) -> None:
+    """Store documents as the rows of the state tables: verses whole, lines of others as paragraphs."""
+    for name in EMBEDDED_SOURCES:
+        rows = documents.filter(F.col("source_type") == name).withColumn("chapter", F.col("source_id").cast("int"))
+        named = rows.withColumn("id", F.col("source_id")).withColumn("text", F.col("content"))
+        named = named.withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
+        fields = TABLES[name].fields
+        state.replace(name, named.select(*[(F.col(f.name) if f.name in named.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]))
+
+
+@job
+def embed_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second run did after documents were revised, came and went, and the vectors stored then."""
+    state = StateTables(spark, scratch_path(spark, "state"))
+    for documents in (v.draft_library(spark, sf_dir), v.library(spark, sf_dir)):
+        keep_library(state, documents)
+        did = refresh_vectors(spark, state.root, embed.hashing_embedder(), "hash-64", 64)
+    stored = state.read("embeddings").groupBy("source_type").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("size"))
+    return did.unionByName(
+        stored.select("source_type", F.explode(F.create_map(F.lit("stored"), "n", F.lit("characters"), "size")).alias("outcome", "n"))
+    )
+
+
 @job
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-zero components of every chunk vector."""

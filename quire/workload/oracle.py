@@ -219,6 +219,40 @@ chunks AS (
     FROM (SELECT source_type, source_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut)))"""
 
 
+# Chunks of the documents to embed before and after a revision, and what a run over it does.
+REVISED = (
+    CHUNKS
+    + """,
+poor AS (SELECT doc_id FROM labels WHERE quality = 0),
+drafts AS (
+  SELECT source_type, source_id, CASE WHEN poor.doc_id IS NOT NULL THEN 'Draft ' || content ELSE content END AS content
+  FROM library LEFT JOIN poor ON poor.doc_id = source_id WHERE source_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  UNION ALL SELECT source_type, -source_id - 1, content FROM library JOIN poor ON doc_id = source_id)"""
+    + CHUNKS.replace("cut AS (", "draft_cut AS (").replace("FROM library)", "FROM drafts)")
+    .replace("chunks AS (", "draft_chunks AS (").replace("FROM cut)", "FROM draft_cut)")
+    + """,
+now_texts AS (
+  SELECT * FROM chunks WHERE source_type NOT IN ('scriptures', 'study_aids')
+  UNION ALL SELECT source_type, source_id, 'verse', content FROM library WHERE source_type = 'scriptures' AND content <> ''),
+old_texts AS (
+  SELECT * FROM draft_chunks WHERE source_type NOT IN ('scriptures', 'study_aids')
+  UNION ALL SELECT source_type, source_id, 'verse', content FROM drafts WHERE source_type = 'scriptures' AND content <> ''),
+told AS (
+  SELECT source_type, source_id, CASE WHEN d.content IS NULL THEN 'new' WHEN l.content IS NULL THEN 'vanished'
+    WHEN d.content <> l.content THEN 'changed' END AS outcome
+  FROM (SELECT * FROM library WHERE content <> '') l FULL JOIN (SELECT * FROM drafts WHERE content <> '') d USING (source_type, source_id)
+  WHERE source_type <> 'study_aids'),
+redone AS (
+  SELECT n.source_type, CASE WHEN o.content IS NULL THEN 'embedded' ELSE 'kept' END AS outcome
+  FROM now_texts n JOIN told USING (source_type, source_id) LEFT JOIN old_texts o USING (source_type, source_id, layer, content)
+  WHERE outcome IN ('new', 'changed'))
+SELECT source_type, outcome, count(*) AS n FROM told WHERE outcome IS NOT NULL GROUP BY ALL
+UNION ALL SELECT source_type, outcome, count(*) FROM redone GROUP BY ALL
+UNION ALL SELECT source_type, 'stored', count(*) FROM now_texts GROUP BY ALL
+UNION ALL SELECT source_type, 'characters', sum(length(content))::BIGINT FROM now_texts GROUP BY ALL"""
+)
+
+
 def hashed(name: str, keys: str, rows: str) -> str:
     """CTE ``<name>``: (keys, pos, x), the non-zero components of the hashed word vectors of ``rows``."""
     return f""",
@@ -635,6 +669,7 @@ FROM documents LEFT JOIN labels USING (doc_id)""",
 SELECT * FROM chunks ANTI JOIN vectors USING (source_type, source_id, layer) WHERE layer = 'paragraph'""",
     "pending_embeddings": "WITH " + LIBRARY + CHUNKS + VECTORS + """
 SELECT * FROM chunks ANTI JOIN vectors USING (source_type, source_id, layer)""",
+    "embed_changed": "WITH " + LIBRARY + REVISED,
     "pending_verses": "WITH " + VERSES + """
 SELECT 'scriptures' AS source_type, id AS source_id, 'verse' AS layer, text AS content FROM verses
 WHERE text <> '' AND id NOT IN (SELECT vec_id * 1000000 + 1 FROM embeddings)""",

@@ -313,6 +313,22 @@ def old_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- stored documents that change ------------------------------------------------
+
+
+def draft_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library before its last revision: poor documents read differently and have a copy that is gone later,
+    toxic ones are not there yet."""
+    labels = table(spark, sf_dir, "labels")
+    poor = labels.filter("quality = 0").select(F.col("doc_id").alias("source_id"), F.lit(True).alias("poor"))
+    toxic = labels.filter("toxic = 1").select(F.col("doc_id").alias("source_id"))
+    known = library(spark, sf_dir).join(poor, "source_id", "left")
+    draft = F.when(F.col("poor"), F.concat(F.lit("Draft "), "content")).otherwise(F.col("content"))
+    early = known.join(toxic, "source_id", "left_anti").withColumn("content", draft)
+    copies = known.filter("poor").withColumn("source_id", -F.col("source_id") - 1)
+    return early.unionByName(copies).drop("poor")
+
+
 # --- a tree on disk --------------------------------------------------------------
 
 
