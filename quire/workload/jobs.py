@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.analysis import ENGLISH, PLAIN, Analyzer
 from quire.functions.stem_steps import stems
 from quire.functions.text import first_heading, path_stem
-from quire.operators import blocks, catalog, embed, extract, fusion, keyword, lookup, semantic, trained, upsert
+from quire.operators import blocks, catalog, embed, extract, fusion, keyword, lookup, segments, semantic, trained, upsert
 from quire.schemas import BOOK_NAMES, EMBEDDED_SOURCES, STUDY_AID_TYPES, TABLES
 from quire.plans.ingest import backfill_stored_speakers, ingest
 from quire.plans.ingest import embed_changed as refresh_vectors
@@ -69,6 +69,19 @@ def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.search_postings(v.passages(spark, sf_dir), stored)
 
 
+@job
+def postings_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings after three batches and a compaction between them: drafts, their revision with deletions, late documents."""
+    kept = segments.SegmentedPostings(spark, scratch_path(spark, "segments"), parts=16)
+    drafts, library = v.draft_library(spark, sf_dir), v.library(spark, sf_dir)
+    kept.apply(drafts)
+    revised = library.join(v.table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("source_id")), "source_id", "left_semi")
+    kept.apply(revised, drafts.filter("source_id < 0"))
+    kept.compact()
+    kept.apply(library.join(v.table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("source_id")), "source_id", "left_semi"))
+    return kept.live().drop("term_part")
+
+
 @job
 def keyword_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries of the hottest terms, limits 3, 20 and 100 and such out of range, from blocks with early end."""

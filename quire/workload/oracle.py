@@ -522,6 +522,7 @@ UNION ALL SELECT 'total', count(*) FROM checked
 UNION ALL SELECT CASE WHEN suspicious AND poor THEN 'nobody' ELSE speaker END, count(*) FROM stored GROUP BY 1""",
     "search_postings": "WITH " + LIBRARY + TERMS + keyword_hits("kw", "log_tf")
     + "\nSELECT query_id, rank, source_type, source_id, score FROM kw",
+    "postings_incremental": "WITH " + LIBRARY + TERMS + "\nSELECT source_type, source_id, term, tf, doc_len FROM postings",
     "keyword_top_k": "WITH " + LIBRARY + TERMS + HOT,
     "scan_corpus": "WITH " + TREE + "\nSELECT rel_path, size, content FROM files",
     "ingest_summary": "WITH " + TREE + TREE_VERSES + """
