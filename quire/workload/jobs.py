@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.analysis import ENGLISH, PLAIN, Analyzer
 from quire.functions.stem_steps import stems
 from quire.functions.text import first_heading, path_stem
-from quire.operators import blocks, catalog, embed, extract, fusion, keyword, lookup, segments, semantic, trained, upsert
+from quire.operators import blocks, catalog, embed, extract, fusion, keyword, lookup, phrases, segments, semantic, trained, upsert
 from quire.schemas import BOOK_NAMES, EMBEDDED_SOURCES, STUDY_AID_TYPES, TABLES
 from quire.plans.ingest import backfill_stored_speakers, ingest
 from quire.plans.ingest import embed_changed as refresh_vectors
@@ -82,6 +82,14 @@ def postings_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.live().drop("term_part")
 
 
+@job
+def search_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three terms of every benchmark passage as a phrase, in every document."""
+    said = F.array_join(F.slice(PLAIN.tokens(F.col("query")), 1, 3), " ")
+    positions = materialise(phrases.build_positions(v.library(spark, sf_dir)), "positions")
+    return phrases.search_phrases(v.passages(spark, sf_dir).withColumn("query", said), positions)
+
+
 @job
 def keyword_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries of the hottest terms, limits 3, 20 and 100 and such out of range, from blocks with early end."""

@@ -96,6 +96,21 @@ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER B
     source_type, source_id, score FROM hot_scored)
 WHERE rank <= [3, 20, 100, 20, 20, 20][query_id % 6 + 1]"""
 
+_KEPT = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '' AND t NOT IN (" + _STOP + "))"
+# The first three terms of each passage, as a phrase.
+PHRASES = f""",
+doc_tokens AS (SELECT source_type, source_id,
+    {_KEPT.format("CASE WHEN source_type = 'scriptures' THEN content ELSE title || ' ' || content END")} AS w FROM library),
+phrases AS (SELECT item_id AS query_id, {_KEPT.format('text')}[1:3] AS q FROM benchmark),
+places AS (
+  SELECT source_type, source_id, array_to_string(w[i:i + n - 1], ' ') AS said
+  FROM (SELECT source_type, source_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_tokens, (SELECT DISTINCT len(q) AS n FROM phrases WHERE len(q) > 0))),
+phrase_hits AS (
+  SELECT query_id, source_type, source_id, count(*)::INT AS n_found, round(1 + ln(count(*)), 6) AS score
+  FROM places JOIN phrases ON said = array_to_string(q, ' ') GROUP BY ALL)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {ORDINAL}, source_id)::INT AS rank,
+    source_type, source_id, n_found, score FROM phrase_hits) WHERE rank <= 20"""
+
 LOG_TF = "1 + ln(tf)"
 BM25 = "idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean_len))"
 BM25_STATS = """,
@@ -523,6 +538,7 @@ UNION ALL SELECT CASE WHEN suspicious AND poor THEN 'nobody' ELSE speaker END, c
     "search_postings": "WITH " + LIBRARY + TERMS + keyword_hits("kw", "log_tf")
     + "\nSELECT query_id, rank, source_type, source_id, score FROM kw",
     "postings_incremental": "WITH " + LIBRARY + TERMS + "\nSELECT source_type, source_id, term, tf, doc_len FROM postings",
+    "search_phrases": "WITH " + LIBRARY + PHRASES,
     "keyword_top_k": "WITH " + LIBRARY + TERMS + HOT,
     "scan_corpus": "WITH " + TREE + "\nSELECT rel_path, size, content FROM files",
     "ingest_summary": "WITH " + TREE + TREE_VERSES + """
