@@ -68,6 +68,9 @@ def search_phrases(
         "phrases",
     )
 
+    # only postings of the phrases' terms go on; Spark sends the terms to every task if their table is small
+    searched = searched.join(each.select("term").distinct(), "term", "left_semi")
+
     def shifted(rows: DataFrame) -> DataFrame:
         """Where the phrase would start, from the places of its ``i``-th term."""
         back = F.filter(F.transform("positions", lambda p: p - F.col("i")), lambda p: p >= 0)
