@@ -88,9 +88,14 @@ def merge_best(pool: pa.Table, queries: QueryBlock, floors: np.ndarray) -> pa.Ta
     return kept
 
 
-def best_of_stream(batches: Iterator[pa.Table], queries: QueryBlock) -> pa.Table | None:
-    """Running top-k over a stream of batches; memory holds one batch and the k best per query."""
-    floors = np.full(len(queries), -np.inf)
+def best_of_stream(
+    batches: Iterator[pa.Table], queries: QueryBlock, floors: np.ndarray | None = None
+) -> pa.Table | None:
+    """Running top-k over a stream of batches; memory holds one batch and the k best per query.
+
+    ``floors`` are scores that the k-th row of each query is known to reach; rows below them are left out.
+    """
+    floors = np.full(len(queries), -np.inf) if floors is None else floors
     pool = None
     for batch in batches:
         if batch.num_rows == 0 or len(queries) == 0:

@@ -4,12 +4,14 @@ Three forms share the scoring code:
 
 * ``semantic_search`` with a query batch of checked size reads the vectors
   once; every task keeps its own best rows, so only top-k rows are shuffled.
-* With a larger batch the vectors are grouped into cells around pivot vectors.
-  Queries are joined to cells by equality, first their nearest ones, then those
-  that the triangle inequality cannot rule out. The result is exact.
-* ``semantic_search_approx`` stops after the nearest cells.
-
-Hot cells, and hot query groups in a cell, are split by salts sized from counts.
+* A larger batch goes in blocks of bounded size. A slice of the vectors gives each
+  query of a block a bound, its k-th score there; the pass over all vectors starts
+  from these bounds, so tasks send on little more than the final rows.
+* ``semantic_search_approx`` groups the vectors into cells around pivot vectors and
+  visits the nearest cells only. Hot cells, and hot query groups in a cell, are split
+  by salts sized from counts.
+
+The exact forms carry keys and scores; snippets are fetched for the final rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from quire.schemas import (
     normalised_limit,
     source_ordinal,
 )
-from quire.session import materialise
+from quire.session import materialise, scratch_path
 
 # A query batch of at most this many floats is sent to every task.
 SHARED_QUERY_FLOATS = 4_000_000
@@ -44,12 +46,10 @@ MAX_PIVOTS = 1024
 # Rows and queries that meet in one group of the cell join.
 CELL_ROWS = 50_000
 CELL_QUERIES = 2_000
-# Nearest cells visited first by the exact form, and the only ones visited by the approximate form.
-FIRST_PROBES = 4
+# Nearest cells visited by the approximate form.
 PROBES = 16
-# Scores and angles are rounded, so cells this close to the bound are still visited.
-SCORE_SLACK = 1e-5
-ANGLE_SLACK = 1e-4
+# One vector in so many gives the bounds of a query block.
+BOUND_SHARE = 32
 
 _VECTOR_ROW = T.StructType(
     [
@@ -59,6 +59,7 @@ _VECTOR_ROW = T.StructType(
         T.StructField("snippet", T.StringType()),
     ]
 )
+_KEY_ROW = T.StructType([f for f in _VECTOR_ROW.fields if f.name != "snippet"])
 _BEST = T.StructType(
     [
         T.StructField("query_id", T.LongType()),
@@ -67,6 +68,7 @@ _BEST = T.StructType(
         *_VECTOR_ROW.fields,
     ]
 )
+_KEY_BEST = T.StructType([f for f in _BEST.fields if f.name != "snippet"])
 
 
 def check_model(embeddings: DataFrame, model: str | None) -> DataFrame:
@@ -113,8 +115,8 @@ def _vector_rows(embeddings: DataFrame, sources: list[str]) -> DataFrame:
     )
 
 
-def _as_rows(pool: pa.Table | None, queries: QueryBlock) -> Iterator[pa.RecordBatch]:
-    """Result rows in the column order of ``_BEST``."""
+def _as_rows(pool: pa.Table | None, queries: QueryBlock, names: list[str] = _VECTOR_ROW.names) -> Iterator[pa.RecordBatch]:
+    """Result rows in the column order of ``_BEST``, with the vector columns ``names``."""
     if pool is None:
         return
     owner = pool.column("query").to_numpy()
@@ -122,7 +124,7 @@ def _as_rows(pool: pa.Table | None, queries: QueryBlock) -> Iterator[pa.RecordBa
         "query_id": pa.array(queries.ids[owner]),
         "limit": pa.array(queries.limits[owner].astype(np.int32)),
         "score": pool.column("score"),
-        **{name: pool.column(name) for name in _VECTOR_ROW.names},
+        **{name: pool.column(name) for name in names},
     }
     yield from pa.table(columns).to_batches()
 
@@ -137,19 +139,50 @@ def _shared_queries(asked: DataFrame) -> list | None:
     return asked.collect()  # bounded by the check above
 
 
-def _nearest_shared(rows: DataFrame, asked: list) -> DataFrame:
+def _nearest_shared(rows: DataFrame, asked: list, bounds: dict[int, float] | None = None) -> DataFrame:
+    """Best rows of each task, keys and scores only; ``bounds`` are scores that the k-th row of a query reaches at least."""
     vectors = matrix(pa.array([q.vector for q in asked], type=pa.list_(pa.float32())))
     wanted = np.array([q.wanted for q in asked], dtype=bool)
+    floors = np.array([(bounds or {}).get(q.query_id, -np.inf) for q in asked])
     # plain arrays: what is broadcast must be readable without this package
-    parts = ([q.query_id for q in asked], vectors, [q.limit for q in asked], wanted)
+    parts = ([q.query_id for q in asked], vectors, [q.limit for q in asked], wanted, floors)
     shared = rows.sparkSession.sparkContext.broadcast(parts)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = QueryBlock(*shared.value)
+        *parts, floors = shared.value
+        queries = QueryBlock(*parts)
         tables = (pa.Table.from_batches([b]) for b in batches)
-        yield from _as_rows(best_of_stream(tables, queries), queries)
+        yield from _as_rows(best_of_stream(tables, queries, floors.copy()), queries, _KEY_ROW.names)
+
+    return rows.select(*_KEY_ROW.names, "embedding").mapInArrow(best, _KEY_BEST)
 
-    return rows.mapInArrow(best, _BEST)
+
+def _nearest_in_blocks(rows: DataFrame, asked: DataFrame, block_floats: int) -> DataFrame:
+    """Ranked keys of each query, one block of queries after the other.
+
+    A block holds about ``block_floats`` floats; its bounds come from a slice of the vectors.
+    Driver and tasks hold one block and its k best keys, whatever the number of queries.
+    """
+    size = asked.agg(F.max(F.size("vector")).alias("dim"), F.count("*").alias("n")).first()
+    n = max(1, -(-size.n * (size.dim or 1) // block_floats))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
+    blocks = materialise(asked.withColumn("block", block), "query-blocks", partition_by="block")
+    first = F.pmod(F.xxhash64(*_KEY_ROW.names), F.lit(BOUND_SHARE)) == 0
+    stored = rows.select(*_KEY_ROW.names, "embedding").withColumn("first", first.cast("int"))
+    stored = materialise(stored, "vectors", partition_by="first")
+    place = scratch_path(rows.sparkSession, "block-hits")
+    empty = _rank(_nothing(rows))
+    empty.write.parquet(place)
+    for i in range(n):
+        queries = blocks.filter(F.col("block") == i).collect()  # one block
+        if not queries:
+            continue
+        limits = {q.query_id: q.limit for q in queries}
+        seen = _rank(_nearest_shared(stored.filter("first = 1"), queries))
+        last = seen.groupBy("query_id").agg(F.max("rank").alias("n"), F.min("score").alias("score")).collect()  # one row a query
+        bounds = {r.query_id: r.score for r in last if r.n == limits[r.query_id]}
+        _rank(_nearest_shared(stored, queries, bounds)).write.mode("append").parquet(place)
+    return rows.sparkSession.read.schema(empty.schema).parquet(place)
 
 
 def _rank(best: DataFrame) -> DataFrame:
@@ -163,11 +196,20 @@ def _rank(best: DataFrame) -> DataFrame:
         .select(
             "query_id", "rank",
             F.get(F.array(*[F.lit(s) for s in SOURCE_TYPES]), F.col("ordinal")).alias("source_type"),
-            "source_id", "layer", "snippet", "score",
+            *[c for c in ("source_id", "layer", "snippet", "score") if c in best.columns],
         )
     )
 
 
+def with_snippets(hits: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Add the stored texts' snippets to ranked keys. The hits are stored first, so the text scan is cut down to them."""
+    few = materialise(hits, "near")
+    keys = ["source_type", "source_id", "layer"]
+    texts = embeddings.select(*keys, "content").join(few.select(*keys).distinct(), keys, "left_semi")
+    texts = texts.groupBy(*keys).agg(F.min(snippet(F.col("content"))).alias("snippet"))
+    return few.join(texts, keys, "left").select("query_id", "rank", *keys, "snippet", "score")
+
+
 def nearest(
     queries: DataFrame,
     embeddings: DataFrame,
@@ -175,19 +217,24 @@ def nearest(
     model: str | None = None,
     factor: int = 1,
     shared: bool | None = None,
+    block_floats: int = SHARED_QUERY_FLOATS,
 ) -> DataFrame:
     """Exact nearest stored vectors of each query, before enrichment.
 
-    ``queries`` is (query_id, vector[, sources, limit]). ``shared`` forces the
-    one-pass form (True) or the cell form (False); by default the size decides.
+    ``queries`` is (query_id, vector[, sources, limit]) with distinct ids. ``shared`` forces the
+    one-pass form (True) or blocks of ``block_floats`` query floats (False); by default the size decides.
+    Of a key stored several times the smallest snippet is shown.
     """
     wanted = check_sources(sources)
     asked = materialise(_asked(queries, wanted, factor), "queries")
-    rows = _of_dimension(_vector_rows(check_model(embeddings, model), wanted), asked)
+    known = check_model(embeddings, model)
+    rows = _of_dimension(_vector_rows(known, wanted), asked)
     few = None if shared is False else _shared_queries(asked)
-    if few is not None:
-        return _rank(_nearest_shared(rows, few)) if few else _rank(_nothing(rows))
-    return _rank(_nearest_by_cell(rows, asked, exact=True))
+    if few is None:
+        best = _nearest_in_blocks(rows, asked, block_floats)
+    else:
+        best = _rank(_nearest_shared(rows, few) if few else _nothing(rows))
+    return with_snippets(best, known)
 
 
 def _of_dimension(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -200,7 +247,7 @@ def _of_dimension(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _nothing(rows: DataFrame) -> DataFrame:
-    return rows.sparkSession.createDataFrame([], _BEST)
+    return rows.sparkSession.createDataFrame([], _KEY_BEST)
 
 
 # --- cells ------------------------------------------------------------------
@@ -211,8 +258,7 @@ def _pivots(rows: DataFrame, cells: int | None) -> np.ndarray:
 
     By default as many as the square root of the table's size.
 
-    A top-n over the table, bounded in size; which vectors become pivots
-    affects speed only, never the exact result.
+    A top-n over the table, bounded in size.
     """
     if cells is None:
         cells = min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(rows.count())))
@@ -254,30 +300,18 @@ def _route_columns() -> list[T.StructField]:
     ]
 
 
-def _routes(asked: DataFrame, pivots: np.ndarray, probes: int, radii: np.ndarray | None = None) -> DataFrame:
-    """Query rows copied to the cells they have to visit.
-
-    Without ``radii`` these are the ``probes`` nearest cells. With them, and a
-    ``bound`` column holding the last score found so far, these are the other
-    cells whose nearest possible member could still reach the bound; cells
-    ruled out are never emitted.
-    """
-    shared = asked.sparkSession.sparkContext.broadcast((pivots, radii))
+def _routes(asked: DataFrame, pivots: np.ndarray, probes: int) -> DataFrame:
+    """Query rows copied to their ``probes`` nearest cells."""
+    shared = asked.sparkSession.sparkContext.broadcast(pivots)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radii = shared.value
+        pivots = shared.value
         for batch in batches:
             cosine = np.round(matrix(batch.column("vector"), pivots.shape[1]) @ pivots.T, 9)
             usable = ~np.isnan(cosine).any(axis=1)
             cosine = np.where(usable[:, None], cosine, 0.0)
             place = np.argsort(np.argsort(-cosine, axis=1, kind="stable"), axis=1, kind="stable")
-            if radii is None:
-                visit = place < probes
-            else:
-                bound = batch.column("bound").to_numpy(zero_copy_only=False)[:, None]
-                closest = np.maximum(np.arccos(np.clip(cosine, -1.0, 1.0)) - radii - ANGLE_SLACK, 0.0)
-                visit = (place >= probes) & (np.isnan(bound) | (np.cos(closest) >= bound - SCORE_SLACK))
-            rows, cells = np.nonzero(visit & usable[:, None])
+            rows, cells = np.nonzero((place < probes) & usable[:, None])
             chosen = batch.select(["query_id", "vector", "limit", "wanted"]).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
                 [*chosen.columns, pa.array(cells.astype(np.int32))], names=[f.name for f in _route_columns()]
@@ -343,32 +377,13 @@ def _join_cells(stored: DataFrame, routes: DataFrame, sizes: DataFrame) -> DataF
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, _BEST)
 
 
-def _nearest_by_cell(
-    rows: DataFrame, asked: DataFrame, exact: bool, cells: int | None = None, probes: int = FIRST_PROBES
-) -> DataFrame:
+def _nearest_by_cell(rows: DataFrame, asked: DataFrame, cells: int | None, probes: int) -> DataFrame:
     pivots = _pivots(rows, cells)
     if not len(pivots):
-        return _nothing(rows)
+        return rows.sparkSession.createDataFrame([], _BEST)
     stored = materialise(_with_cell(rows, pivots), "cells")
-    sizes = materialise(
-        stored.groupBy("cell").agg(F.count("*").alias("n_rows"), F.max("angle").alias("radius")), "sizes"
-    )
-    near = _join_cells(stored, materialise(_routes(asked, pivots, probes), "routes"), sizes)
-    if not exact:
-        return near
-    near = materialise(near, "near")
-    # the last score found so far is a lower bound; without enough rows there is none
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc())
-    bound = (
-        near.withColumn("place", F.row_number().over(order))
-        .filter((F.col("place") <= MAX_LIMIT * OVERFETCH) & (F.col("place") == F.col("limit")))
-        .select("query_id", F.col("score").alias("bound"))
-    )
-    radii = np.zeros(len(pivots))
-    for row in sizes.collect():  # one row per pivot
-        radii[row.cell] = row.radius
-    rest = _routes(asked.join(bound, "query_id", "left"), pivots, probes, radii)
-    return near.unionByName(_join_cells(stored, materialise(rest, "routes"), sizes))
+    sizes = materialise(stored.groupBy("cell").agg(F.count("*").alias("n_rows")), "sizes")
+    return _join_cells(stored, materialise(_routes(asked, pivots, probes), "routes"), sizes)
 
 
 # --- composed searches --------------------------------------------------------
@@ -396,9 +411,10 @@ def semantic_search(
     sources: list[str] | None = None,
     model: str | None = None,
     shared: bool | None = None,
+    block_floats: int = SHARED_QUERY_FLOATS,
 ) -> DataFrame:
     """Nearest stored chunks of each query vector, enriched; sources are filtered before the top-k."""
-    return enrich(nearest(queries, embeddings, sources, model, shared=shared), cards)
+    return enrich(nearest(queries, embeddings, sources, model, shared=shared, block_floats=block_floats), cards)
 
 
 def semantic_search_overfetch(
@@ -442,5 +458,5 @@ def semantic_search_approx(
     wanted = check_sources(sources)
     asked = materialise(_asked(queries, wanted), "queries")
     rows = _of_dimension(_vector_rows(check_model(embeddings, model), wanted), asked)
-    found = _nearest_by_cell(rows, asked, exact=False, cells=cells, probes=probes)
+    found = _nearest_by_cell(rows, asked, cells, probes)
     return enrich(_rank(found), cards)

@@ -149,9 +149,9 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def semantic_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector as a query, in the cell form."""
+    """Every vector as a query, in blocks of 4,096 queries."""
     return semantic.semantic_search(
-        v.every_vector(spark, sf_dir), vector_table(spark, sf_dir), v.library(spark, sf_dir), shared=False
+        v.every_vector(spark, sf_dir), vector_table(spark, sf_dir), v.library(spark, sf_dir), shared=False, block_floats=64 * 4096
     )
 
 
@@ -200,7 +200,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = materialise(embed.embed_queries(v.passages(spark, sf_dir), embed.hashing_embedder()), "queries")
     found = keyword.keyword_search(queries, term_index(spark, sf_dir))
     near = semantic.semantic_search(
-        queries, text_embeddings(spark, sf_dir), v.library(spark, sf_dir), model="hash-64"
+        queries, materialise(text_embeddings(spark, sf_dir), "text-vectors"), v.library(spark, sf_dir), model="hash-64"
     )
     return fusion.hybrid_merge(queries, found, near)
 

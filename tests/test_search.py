@@ -158,7 +158,7 @@ def test_nearest_equals_brute_force_with_a_third_copies(spark, shared):
     rows, data = vectors(spark, 300, copies=100)
     asked = [(i, [float(x) for x in data[i * 7]], None if i % 2 else ["talks", "books"], 5) for i in range(40)]
     queries = spark.createDataFrame(asked, "query_id bigint, vector array<float>, sources array<string>, limit int")
-    hits = semantic.nearest(queries.repartition(3), rows.repartition(5), shared=shared)
+    hits = semantic.nearest(queries.repartition(3), rows.repartition(5), shared=shared, block_floats=100)
     got = {}
     for r in hits.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.source_id)
@@ -173,9 +173,26 @@ def test_hot_cells_are_split(spark, monkeypatch):
     queries = spark.createDataFrame(
         [(i, [float(x) for x in data[i]]) for i in range(30)], "query_id bigint, vector array<float>"
     )
-    a = semantic.nearest(queries, rows, shared=True)
-    b = semantic.nearest(queries, rows, shared=False)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    wanted = semantic._asked(queries, list(SOURCE_TYPES))
+    found = semantic._rank(semantic._nearest_by_cell(semantic._vector_rows(rows, list(SOURCE_TYPES)), wanted, 16, 16))
+    one = semantic.nearest(queries, rows, shared=True).select(found.columns)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_bounds_keep_task_output_near_the_limit(spark):
+    rows, data = vectors(spark, 2000)
+    asked = semantic._asked(
+        spark.createDataFrame([(i, [float(x) for x in data[i]], 5) for i in range(8)], "query_id bigint, vector array<float>, limit int"),
+        list(SOURCE_TYPES),
+    ).collect()
+    stored = semantic._vector_rows(rows, list(SOURCE_TYPES)).repartition(16)
+    free = semantic._nearest_shared(stored, asked)
+    true = semantic._rank(free)
+    bounds = {r.query_id: r.score for r in true.filter("rank = 5").collect()}
+    bound = semantic._nearest_shared(stored, asked, bounds)
+    assert sorted(map(tuple, semantic._rank(bound).collect())) == sorted(map(tuple, true.collect()))
+    assert free.count() == 8 * 5 * 16 and bound.count() == 8 * 5
+    assert "snippet" not in free.columns
 
 
 def test_zero_and_missing_vectors_never_match(spark):
