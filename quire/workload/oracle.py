@@ -629,6 +629,19 @@ FROM requests r LEFT JOIN library l USING (source_type, source_id)"""
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber BETWEEN 1 AND 7),
 shown AS (SELECT p_partkey AS target_chapter, p_size % 7 + 1 AS target_verse, min(p_name) AS shown FROM part GROUP BY ALL)
 SELECT targets.*, coalesce(shown, 'part ' || target_chapter || coalesce(':' || target_verse, '')) AS reference
+FROM targets LEFT JOIN shown USING (target_chapter, target_verse)""",
+    "cross_references_hot": """WITH edges AS (
+  SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END AS chapter, CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_linenumber END AS verse,
+    l_partkey::INT AS target_chapter, CASE WHEN l_linestatus <> 'F' THEN l_linenumber END AS target_verse, nullif(l_returnflag, 'N') AS reference_type
+  FROM lineitem),
+asked AS (
+  SELECT o_orderkey AS request_id, o_orderkey AS chapter, unnest(range(1, 8)) AS verse FROM orders
+  UNION ALL SELECT o_orderkey, 0, 1 FROM orders WHERE o_orderkey % 1500 = 1),
+targets AS (
+  SELECT DISTINCT request_id, 'parts' AS target_volume, 'part' AS target_book, target_chapter, target_verse, reference_type
+  FROM edges JOIN asked USING (chapter, verse)),
+shown AS (SELECT p_partkey AS target_chapter, p_size % 7 + 1 AS target_verse, min(p_name) AS shown FROM part GROUP BY ALL)
+SELECT targets.*, coalesce(shown, 'part ' || target_chapter || coalesce(':' || target_verse, '')) AS reference
 FROM targets LEFT JOIN shown USING (target_chapter, target_verse)""",
     "route_files": "WITH " + MIXED + "\nSELECT * FROM routed",
     "extract_verses": (

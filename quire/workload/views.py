@@ -212,6 +212,22 @@ def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hot_line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the lineitems, those of every third order from verse 1 of chapter 0."""
+    moved = F.col("source_chapter") % 3 == 0
+    return line_edges(spark, sf_dir).withColumns({
+        "source_verse": F.when(moved, 1).otherwise(F.col("source_verse")),
+        "source_chapter": F.when(moved, 0).otherwise(F.col("source_chapter")),
+    })
+
+
+def hot_order_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of the orders; every 1500th order asks for verse 1 of chapter 0 besides."""
+    asked = order_verses(spark, sf_dir)
+    more = asked.filter("verse = 1 AND request_id % 1500 = 1").withColumn("chapter", F.lit(0))
+    return asked.unionByName(more)
+
+
 def part_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.lit("part").alias("book"),
