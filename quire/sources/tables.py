@@ -4,6 +4,10 @@ Rows lie in hash partitions of their key, so a merge reads and rewrites only
 the partitions its batch touches. The merged rows are stored in the shared
 scratch folder first: a table cannot be overwritten while it is read, and the
 stored copy is what the final write, or a repeat of it, starts from.
+
+Beside each table lie its row counts by listed column and partition. A write takes
+out the counts of the partitions it touches, and puts in new ones when it is done;
+partitions without counts, as a broken write leaves them, are counted when read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,17 @@ PLACED = {
     "embedded_documents": ["source_type", "source_id"],
 }
 
+# The columns that listings group by.
+COUNTED = {
+    "scriptures": ["volume", "book"],
+    "chapters": [],
+    "talks": ["year", "month"],
+    "manuals": ["collection_id"],
+    "books": ["collection"],
+    "study_aids": ["aid_type"],
+    "embeddings": [],
+}
+
 
 class StateTables:
     """Read, merge into and append to the tables of one corpus.
@@ -60,8 +75,17 @@ class StateTables:
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _in_parts(self, name: str) -> bool:
+        return bool(self._parts_of(name))
+
+    def _parts_of(self, name: str) -> set[int]:
+        """Partitions that a table has, at most ``parts``."""
+        path, store = self._path(name)
+        names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+        return {int(n.removeprefix("part=")) for n in names if n.startswith("part=")}
+
+    def _delete(self, name: str) -> None:
         path, store = self._path(name)
-        return any(f.getPath().getName().startswith("part=") for f in store.listStatus(path))
+        store.delete(path, True)
 
     def _stored(self, name: str) -> DataFrame:
         if name in PLACED and self.exists(name) and not self._in_parts(name):
@@ -81,8 +105,44 @@ class StateTables:
     def _part(self, name: str) -> Column:
         return F.pmod(F.xxhash64(*PLACED[name]), F.lit(self.parts)).cast("int")
 
-    def _write(self, name: str, rows: DataFrame, overwrite: str) -> None:
+    def _group_counts(self, name: str, parts: set[int]) -> DataFrame:
+        """(part, listed columns, n) of some partitions, from the table; only these columns are read."""
+        rows = self._stored(name).filter(F.col("part").isin(*parts))
+        return rows.groupBy("part", *COUNTED[name]).agg(F.count("*").alias("n"))
+
+    def _forget(self, name: str, parts: set[int] | None) -> None:
+        """Take out the counts of partitions that are about to change, or of all."""
+        if name in COUNTED:
+            for part in [""] if parts is None else [f"/part={p}" for p in parts]:
+                self._delete(f"_counts/{name}{part}")
+
+    def recount(self, name: str, parts: set[int] | None = None) -> None:
+        """Store the counts of some partitions, or of all that have none."""
+        if name not in COUNTED:
+            return
+        parts = self._parts_of(name) - self._parts_of(f"_counts/{name}") if parts is None else parts & self._parts_of(name)
+        if parts:
+            counts = self._group_counts(name, parts).hint("rebalance", "part")
+            writer = counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("part").parquet(f"{self.root}/_counts/{name}")
+
+    def counts(self, name: str) -> DataFrame:
+        """(listed columns, n): rows of a table by the columns that listings group by, from the stored counts."""
+        keys, shape = COUNTED[name], TABLES[name]
+        schema = T.StructType([*[shape[k] for k in keys], T.StructField("n", T.LongType()), T.StructField("part", T.IntegerType())])
+        stored = self._parts_of(f"_counts/{name}")
+        found = self.spark.createDataFrame([], schema)
+        if stored:
+            found = self.spark.read.schema(schema).parquet(f"{self.root}/_counts/{name}")
+        if self.exists(name) and not self._in_parts(name):
+            found = self.read(name).groupBy(*keys).agg(F.count("*").alias("n"))
+        elif missing := self._parts_of(name) - stored:
+            found = found.unionByName(self._group_counts(name, missing))
+        return found.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 0")
+
+    def _write(self, name: str, rows: DataFrame, overwrite: str, touched: set[int] | None = None) -> None:
         self._keep_parts()
+        self._forget(name, touched)
         # rebalancing splits large partitions and merges small ones by their real size
         (
             rows.hint("rebalance", "part")
@@ -91,6 +151,7 @@ class StateTables:
             .partitionBy("part")
             .parquet(f"{self.root}/{name}")
         )
+        self.recount(name, touched)
 
     def merge(
         self, name: str, batch: DataFrame, order_col: str = "file_path", update_cols: list[str] | None = None
@@ -107,7 +168,7 @@ class StateTables:
             return
         existing = self._stored(name).filter(F.col("part").isin(touched)).drop("part")
         merged = upsert(existing, batch, keys, update_cols or columns, order_col)
-        self._write(name, materialise(merged.withColumn("part", part), name), "dynamic")
+        self._write(name, materialise(merged.withColumn("part", part), name), "dynamic", set(touched))
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Overwrite the whole table."""
@@ -121,7 +182,9 @@ class StateTables:
             return
         self._place(name)
         placed = rows.withColumn("part", self._part(name)).hint("rebalance", "part")
+        self._forget(name, None)
         placed.write.mode("append").partitionBy("part").parquet(f"{self.root}/{name}")
+        self.recount(name)
 
     def _place(self, name: str) -> None:
         """Bring a table that was stored without partitions into them."""
@@ -152,10 +215,13 @@ class StateTables:
         after = materialise(kept.select(columns).unionByName(rows.withColumn("part", self._part(name)).select(columns)), name)
         present = {r.part for r in after.select("part").distinct().collect()}
         if present:
-            self._write(name, after, "dynamic")
+            self._write(name, after, "dynamic", present)
+        self._forget(name, touched - present)
         for emptied in touched - present:
-            path, store = self._path(f"{name}/part={emptied}")
-            store.delete(path, True)
+            self._delete(f"{name}/part={emptied}")
 
     def all(self, names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
         return {name: self.read(name) for name in names or TABLES}
+
+    def all_counts(self) -> dict[str, DataFrame]:
+        return {name: self.counts(name) for name in COUNTED}

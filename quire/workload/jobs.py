@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -260,6 +261,28 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job
+def listings_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing from the counts beside the tables, after files were ingested, changed, and pruned (those of toxic documents)."""
+    state, root = scratch_path(spark, "state"), scratch_path(spark, "tree")
+    ingest(spark, state, v.write_tree(v.first_tree_files(spark, sf_dir), root))
+    ingest(spark, state, v.write_tree(v.later_tree_files(spark, sf_dir), root))
+    toxic = v.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    v.remove_files(v.tree_files(spark, sf_dir, with_id=True).join(toxic, "doc_id", "left_semi"), root)
+    ingest(spark, state, root, prune=True)
+    counts = StateTables(spark, state).all_counts()
+    volumes = catalog.kept_listing(counts, "scriptures")
+    parts = [
+        volumes.select(F.lit("volumes").alias("listing"), F.col("volume").alias("key"), F.col("verses").alias("n")),
+        volumes.select(F.lit("books of volume"), "volume", "books"),
+        catalog.kept_listing(counts, "talks").select(F.lit("sessions"), F.concat_ws("/", "year", "month"), "talks"),
+        catalog.kept_listing(counts, "manuals").select(F.lit("manuals"), "collection", "pages"),
+        catalog.kept_listing(counts, "study_aids").select(F.lit("study aids"), "aid_type", "entries"),
+        catalog.kept_listing(counts).select(F.lit("tables"), "table", "n"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 # --- lookups ---------------------------------------------------------------------
 
 

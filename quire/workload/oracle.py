@@ -527,6 +527,17 @@ UNION ALL SELECT 'scriptures', 'rows', count(*) FROM tree_verses v
   WHERE chapter IN (SELECT doc_id FROM changes WHERE kind <> 'unchanged')
 UNION ALL SELECT 'scriptures', 'stored', count(*) FROM tree_verses
 UNION ALL SELECT 'scriptures', 'characters', sum(length(text))::BIGINT FROM tree_verses""",
+    "listings_kept": "WITH " + TREE + CHANGES + LATER_VERSES + """,
+live AS (SELECT * FROM routed WHERE content_type IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+live_verses AS (SELECT * FROM tree_verses WHERE chapter NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT 'volumes' AS listing, volume AS key, count(*) AS n FROM live_verses GROUP BY volume
+UNION ALL SELECT 'books of volume', volume, count(DISTINCT book) FROM live_verses GROUP BY volume
+UNION ALL SELECT 'sessions', year || '/' || month, count(*) FROM live WHERE content_type = 'talks' GROUP BY year, month
+UNION ALL SELECT 'manuals', collection, count(*) FROM live WHERE content_type = 'manuals' GROUP BY collection
+UNION ALL SELECT 'study aids', aid_type, count(*) FROM live WHERE content_type = 'study_aids' GROUP BY aid_type
+UNION ALL SELECT 'tables', name, coalesce(n, 0) FROM (SELECT unnest(['scriptures', 'chapters', 'talks', 'manuals', 'books', 'study_aids', 'embeddings']) AS name)
+  LEFT JOIN (SELECT 'scriptures' AS name, count(*) AS n FROM live_verses
+    UNION ALL SELECT CASE content_type WHEN 'scriptures' THEN 'chapters' ELSE content_type END, count(*) FROM live GROUP BY 1) USING (name)""",
     "backfill_stored": "WITH " + TALKS + f""",
 stored AS (SELECT t.*, coalesce(poor, false) AS poor FROM talks t JOIN docs USING (doc_id)
   LEFT JOIN (SELECT doc_id, true AS poor FROM labels WHERE quality = 0 GROUP BY doc_id) USING (doc_id)

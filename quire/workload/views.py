@@ -381,6 +381,22 @@ def later_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("rel_path", more.alias("content")).filter("content is not null")
 
 
+def remove_files(files: DataFrame, root: str) -> None:
+    """Delete the files of (rel_path) below ``root``, each task its own share."""
+
+    def remove(frames):
+        from pyarrow.fs import FileSystem, FileType
+
+        system, base = FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for frame in frames:
+            for path in frame["rel_path"]:
+                if system.get_file_info(f"{base}/{path}").type == FileType.File:
+                    system.delete_file(f"{base}/{path}")
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    files.select("rel_path").mapInPandas(remove, "n bigint").agg(F.sum("n")).collect()
+
+
 def write_tree(files: DataFrame, root: str) -> str:
     """Write (rel_path, content) as files below ``root``, each task its own share."""
 
