@@ -116,3 +116,30 @@ def test_cut_points_and_spreading(spark, monkeypatch):
     assert session.spread(rows, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(session, "SPREAD_BYTES", 0)
     assert session.spread(rows, "id") is rows
+
+
+def test_heavy_verses_are_not_compared_pair_by_pair(spark, frame, monkeypatch):
+    """Requests with one, two and no heavy verses: exact pairs, and those of a main verse are never shuffled."""
+    from quire.operators import lookup
+
+    monkeypatch.setattr(lookup, "HEAVY_PAIRS", 10_000, raising=False)
+    place = lambda i: ("v", "b", 1, i)
+    passages = [(r, *place(v)) for r in range(400) for v in {1, r % 5, 50 + r}] + [(1000, *place(70)), (1001, "v", "b", 1, None)]
+    edges = [(*place(v), "t", "t", i, None if i % 2 else 3, "x" if i % 3 else None) for v, some in ((1, range(2000)), (2, range(1500, 2500)), (3, range(7))) for i in some]
+    edges += [(*place(50 + r), "t", "t", r, None if r % 2 else 3, "x" if r % 3 else None) for r in range(1990, 2100)] + [(*place(60), "t", "t", 1999, None, "x")] * 2
+    verses = frame([("t", i, 3, f"T {i}") for i in range(0, 3000, 4)], "book string, chapter int, verse int, reference string")
+    reached = {}
+    for e in edges:
+        reached.setdefault(e[:4], set()).add(e[4:])
+    show = lambda t: f"T {t[2]}" if t[3] and t[2] % 4 == 0 else f"{t[1]} {t[2]}" + (f":{t[3]}" if t[3] else "")
+    want = {(r, show(t), *t) for r, *p in passages for t in reached.get(tuple(p), ())}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = shuffled()
+    got = lookup.cross_references(
+        frame(passages, "request_id bigint, volume string, book string, chapter int, verse int"),
+        frame(edges, "source_volume string, source_book string, source_chapter int, source_verse int, target_volume string, target_book string, target_chapter int, target_verse int, reference_type string"),
+        verses,
+    ).select("request_id", "reference", "target_volume", "target_book", "target_chapter", "target_verse", "reference_type").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert shuffled() - before < 3_000_000
