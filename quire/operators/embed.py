@@ -114,8 +114,8 @@ def reusable(chunks: DataFrame, stored: DataFrame, model: str) -> DataFrame:
     return chunks.select(same).join(vectors, same)
 
 
-def _embed_batch(texts: list[str], embed_fn: EmbedFn, dim: int | None) -> tuple[list, list]:
-    """Vectors and error messages; a batch that fails is retried text by text."""
+def _embed_batch(texts: list[str], embed_fn: EmbedFn, dim: int | None, zero: bool = False) -> tuple[list, list]:
+    """Vectors and error messages; a batch that fails is retried text by text. With ``zero`` a zero vector is no error."""
     try:
         vectors = list(embed_fn(texts))
         if len(vectors) != len(texts):
@@ -124,23 +124,25 @@ def _embed_batch(texts: list[str], embed_fn: EmbedFn, dim: int | None) -> tuple[
     except Exception as failure:
         if len(texts) == 1:
             return [None], [f"{type(failure).__name__}: {failure}"]
-        pairs = [_embed_batch([text], embed_fn, dim) for text in texts]
+        pairs = [_embed_batch([text], embed_fn, dim, zero) for text in texts]
         return [v[0] for v, _ in pairs], [e[0] for _, e in pairs]
     for i, vector in enumerate(vectors):
         if vector is None or len(vector) == 0:
             vectors[i], errors[i] = None, "no vector"
         elif dim is not None and len(vector) != dim:
             vectors[i], errors[i] = None, f"dimension {len(vector)} instead of {dim}"
-        elif not np.any(vector):
+        elif not zero and not np.any(vector):
             vectors[i], errors[i] = None, "zero vector"
     return vectors, errors
 
 
 def embed_chunks(
-    chunks: DataFrame, embed_fn: EmbedFn, model: str, dim: int | None = None, batch: int = 256
+    chunks: DataFrame, embed_fn: EmbedFn, model: str, dim: int | None = None, batch: int = 256, zero: bool = False
 ) -> DataFrame:
     """Add ``embedding``, ``model`` and ``error``; a failed chunk has an error and no vector.
 
+    A zero vector, which matches nothing, counts as failed unless ``zero`` is set.
+
     ``embed_fn`` takes a list of texts and runs inside the tasks, in small batches.
     """
 
@@ -149,7 +151,7 @@ def embed_chunks(
             vectors, errors = [], []
             texts = frame["content"].tolist()
             for start in range(0, len(texts), batch):
-                v, e = _embed_batch(texts[start : start + batch], embed_fn, dim)
+                v, e = _embed_batch(texts[start : start + batch], embed_fn, dim, zero)
                 vectors += v
                 errors += e
             yield frame.assign(embedding=vectors, model=model, error=errors)

@@ -97,3 +97,12 @@ def test_swap_leaves_other_partitions_alone(spark, state, tmp_path):
     after = files()
     assert sum(after.get(f) == t for f, t in before.items()) == len(before) - 1
     assert {(i, c) for i, _, c, _ in vectors(state)} == {(i, "y" if i == 3 else "x") for i in range(40)}
+
+
+def test_texts_with_a_zero_vector_are_stored_and_not_tried_again(state):
+    keep(state, {1: "one\n\n!!", 2: "..."})
+    assert run(state) == {"new": 2, "embedded": 3}
+    assert sorted((i, c) for i, _, c, _ in vectors(state)) == [(1, "!!"), (1, "one"), (2, "...")]
+    assert run(state) == {}
+    keep(state, {1: "one more\n\n!!", 2: "..."})
+    assert run(state) == {"changed": 1, "kept": 1, "embedded": 1}
