@@ -39,7 +39,17 @@ def scan_corpus(
         .option("ignoreCorruptFiles", True)
         .load(root)
     )
-    return file_columns(raw, root, with_content)
+    return file_columns(in_shares(raw), root, with_content)
+
+
+#: Bytes of files that a task reads, where there are more than a few tasks a core.
+TASK_BYTES = 64 << 20
+
+
+def in_shares(raw: DataFrame) -> DataFrame:
+    """A scan of files in a few tasks a core, or tasks of ``TASK_BYTES``: Spark counts 4 MB a file, so small ones would take a task for 32."""
+    size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return raw.coalesce(max(4 * raw.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
 
 
 def _whole_number(text: Column) -> Column:

@@ -41,7 +41,8 @@ def ingest_stream(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         state = StateTables(batch.sparkSession, state_root)
-        files = route(batch)
+        # the files of a batch in a few tasks a core, not one for every 32
+        files = route(batch.coalesce(4 * batch.sparkSession.sparkContext.defaultParallelism))
         known = corpus.manifest_diff(
             files.filter(F.col("outcome") == "routed"), state.read("index_metadata")
         )

@@ -95,3 +95,17 @@ def test_watch_sees_times_that_move_backwards(spark, library, tmp_path):
     assert tick()["ab.md"] == "Elder B"
     os.remove(place)
     assert "ab.md" in tick() and "ab.md" not in tick(prune=True)
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    """A few tasks a core, not one for 32 files; the workload's tree comes from one pass over the documents."""
+    from quire.sources import corpus
+    from quire.workload import views
+
+    for i in range(4000):
+        (tmp_path / f"{i}.md").write_text(str(i))
+    scan = corpus.scan_corpus(spark, str(tmp_path))
+    assert scan.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {(r.rel_path, r.content) for r in scan.collect()} == {(f"{i}.md", str(i)) for i in range(4000)}
+    plan = views.tree_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
