@@ -143,3 +143,27 @@ def test_heavy_verses_are_not_compared_pair_by_pair(spark, frame, monkeypatch):
     ).select("request_id", "reference", "target_volume", "target_book", "target_chapter", "target_verse", "reference_type").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert shuffled() - before < 3_000_000
+
+
+def test_texts_of_passages_move_once(spark, frame, request):
+    import random
+
+    from quire.operators import lookup
+
+    r = random.Random(1)
+    text = lambda: "".join(chr(r.randrange(33, 127)) for _ in range(1000))
+    verses = frame([(i, "v", "b", i // 50, i % 50 + 1, f"B {i}", text(), "f") for i in range(3000)],
+                   "id bigint, volume string, book string, chapter int, verse int, reference string, text string, file_path string")
+    chapters = frame([(i, "v", "b", i, f"C {i}", "whole", "f") for i in range(60)],
+                     "id bigint, volume string, book string, chapter int, title string, full_content string, file_path string")
+    asked = frame([(i, "b", i, 1, 50, True) for i in range(1, 60)] + [(99, "b", 2, None, None, True), (100, "b", 99, 1, None, True), (101, None, None, None, None, False)],
+                  "request_id bigint, book string, chapter int, verse int, end_verse int, ok boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with larger tables
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = shuffled()
+    got = lookup.get_passages(asked, verses, chapters).select("request_id", "status", "shape", "id", "text").collect()
+    assert len(got) == 59 * 50 + 3
+    assert {(x.request_id, x.status, x.shape) for x in got if x.text is None} == {(99, "ok", "chapter"), (100, "not_found", "verse"), (101, "unparseable", None)}
+    assert shuffled() - before < 5_000_000
