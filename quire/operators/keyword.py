@@ -97,12 +97,13 @@ def stemmed_postings(postings: DataFrame, vocabulary: DataFrame | None = None) -
     """Plain postings under the stems of their terms: frequencies of terms with one stem are added up.
 
     ``vocabulary`` is (term, stem), for instance a stored one; by default the distinct terms of
-    the postings are stemmed in one table. Spark sees the table's size and sends it to every
-    task only if that is small; a hot term is counted per document, so it does not pile up.
+    the postings are stemmed in one table. A task holds the words of its share of the terms in a hash table;
+    a hot term is counted per document, so it does not pile up.
     """
     if vocabulary is None:
         vocabulary = materialise(stems(postings.select("term").distinct()), "stems")
-    named = postings.join(vocabulary, "term").select(*KEYS, F.col("stem").alias("term"), "tf", "doc_len")
+    # else every posting is sorted by its term first
+    named = postings.join(vocabulary.hint("shuffle_hash"), "term").select(*KEYS, F.col("stem").alias("term"), "tf", "doc_len")
     return named.groupBy(*KEYS, "doc_len", "term").agg(F.sum("tf").cast("int").alias("tf")).select(*KEYS, "term", "tf", "doc_len")
 
 

@@ -54,3 +54,14 @@ def test_stemmed_postings_add_up(frame):
     assert got == {("talks", 1, "hope", 5, 5), ("talks", 2, "hope", 1, 1), ("books", 1, "faith", 4, 4)}
     given = frame([("hope", "x"), ("hoping", "x")], "term string, stem string")
     assert keyword.stemmed_postings(frame(rows, schema), given).collect() == [("talks", 1, "x", 5, 5)]
+
+
+def test_postings_are_not_sorted_by_term_to_be_stemmed(spark, frame):
+    rows = frame([("talks", 1, "hoping", 3, 5)], "source_type string, source_id bigint, term string, tf int, doc_len int")
+    vocabulary = frame([("hoping", "hope")], "term string, stem string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = keyword.stemmed_postings(rows, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
