@@ -128,13 +128,21 @@ def _unsettled(repeats: DataFrame, found: DataFrame, names: DataFrame, words: Da
     A fingerprint may first stand in another context than the run round it: only
     then can a repeated run be missed by laying it beside the first place.
     """
-    at, follow = _at(F.col("place")), least // 2
+    follow = least // 2
     settled = found.groupBy("r").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
-    wanted = repeats.filter("times > 2").withColumn("r", _document(F.col("place"))).join(names.select("r", "n"), "r").join(settled, "r", "left")
+    # one row a document meets its runs, not one a place
+    held = repeats.filter("times > 2").groupBy(_document(F.col("place")).alias("r"))
+    wanted = held.agg(F.collect_list(F.struct("key", "place", "first")).alias("held"))
+    wanted = wanted.join(names.select("r", "n"), "r").join(settled, "r", "left")
     inside = lambda s: F.exists("runs", lambda x: (x["start"] <= s) & (s + least <= x["stop"]))
-    spots = F.sequence(F.greatest(F.lit(0), at - (least - follow)), F.least(at, F.col("n") - least))
-    wanted = wanted.select("r", "key", "place", "first", F.filter(spots, lambda s: F.col("runs").isNull() | ~inside(s)).alias("spots"))
-    wanted = wanted.filter(F.size("spots") > 0)
+
+    def left(p: Column) -> Column:
+        at = _at(p["place"])
+        spots = F.sequence(F.greatest(F.lit(0), at - (least - follow)), F.least(at, F.col("n") - least))
+        return F.struct(p["key"], p["place"], p["first"], F.filter(spots, lambda s: F.col("runs").isNull() | ~inside(s)).alias("spots"))
+
+    unsettled = F.filter(F.transform("held", left), lambda p: F.size(p["spots"]) > 0)
+    wanted = wanted.select("r", F.explode(unsettled).alias("p")).select("r", "p.*")
     later = wanted.filter("place <> first").select("key").distinct()
     spots = wanted.join(later, "key", "left_semi").select("r", F.explode("spots").alias("s"))
     spots = spots.groupBy("r").agg(F.collect_set("s").alias("spots")).join(names.select("r", "k"), "r").join(words, "k")

@@ -56,3 +56,18 @@ def test_every_repeated_run_of_words_goes(frame):
         assert (x["text"] or "").split() == left and (x["text"] is None) == (text is None)
     twice = passages.dedup_passages(frame([rows[0], rows[0]], DOC)).collect()
     assert twice[0] == twice[1]
+
+
+def test_places_of_a_document_meet_its_runs_as_one_row(frame):
+    place = lambda r, at: (r << 31) + at
+    repeats = frame([(7, place(r, at), None, place(0, 3), 3) for r in (1, 2) for at in range(0, 176, 5)], "key bigint, place bigint, before int, first bigint, times bigint")
+    found = frame([(1, "a", 0, 120)], "r bigint, k string, start int, stop int")
+    names = frame([(1, "a", 200), (2, "b", 200)], "r bigint, k string, n int")
+    words = frame([(k, list(range(i, 200 + i))) for i, k in enumerate("ab")], "k string, hs array<bigint>")
+    left = passages._unsettled(repeats, found, names, words, 50)
+    spots = {}
+    for row in left.collect():
+        spots.setdefault(row["place"] >> 31, set()).add(row["place"] & ((1 << 31) - 1))
+    assert spots == {1: set(range(71, 151)), 2: set(range(151))}
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan[plan.index("Join LeftOuter") :]
