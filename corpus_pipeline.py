@@ -43,8 +43,11 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents without later repeats of 50 words and more: runs of whole lines go first, then passages that
     begin or end inside lines. Documents that lose every word go."""
     store = _store(spark, "lines")
-    lines = line_dedup.dedup_lines(docs, store=store)
+    first = Store(spark, "pipeline-whole-lines", _SCRATCH)
+    lines = line_dedup.dedup_lines(docs, store=first)
     kept = store.save(_counted(lines, docs, lines.columns[-1]), "lines")
+    first.drop()
+    store.release()
     cut = passages.dedup_passages(kept, store=store)
     return _counted(cut, docs, cut.columns[-1])
 

@@ -38,12 +38,13 @@ class Store:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def save_buckets(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """A stored table in buckets of ``key``, which joins on it read without a shuffle."""
+    def save_buckets(self, df: DataFrame, name: str, key: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """A stored table in buckets of ``key``, which joins on it read without a shuffle; ``then`` is applied to the dealt rows."""
         self.count += 1
         path, label = f"{self.path}/{self.count}-{name}", f"quire_{name}_{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(label)
+        dealt = df.repartition(n, key)
+        (then(dealt) if then else dealt).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(label)
         self.buckets.append((label, path))
         return self.spark.table(label)
 

@@ -103,6 +103,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, store: Store | None = No
 
     # Windows that hold a line which is still there, and whose content occurred before.
     repeats = store.save(windows.join(_first_places(windows, "content", "start"), "content"), "repeats")
+    store.drop(windows)
     lines = repeats.select("k", "start", F.explode(F.sequence("start", (F.col("start") + F.col("n") - 1).cast("int"))).alias("i"))
     open_windows = lines.join(found, ["k", "i"], "left_anti").select("k", "start").distinct()
     left = repeats.join(open_windows, ["k", "start"], "left_semi").select(

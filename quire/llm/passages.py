@@ -21,11 +21,14 @@ _PLACE = (1 << 31) - 1
 
 
 def _words(docs: DataFrame, least: int) -> DataFrame:
-    """(k, doc_id, n, a, b, hs) of each row of ``least`` words and more: the hash of each word, and two of all words."""
+    """(k, doc_id, n, a, b, hs) of each row: the hash of each word, and two of all words; ``hs`` is null below ``least`` words.
+
+    ``docs`` is (k, doc_id, text). Rows are not filtered here: the filter would cut the text a second time.
+    """
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "")
-    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), "doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("hs"))
-    rows = rows.filter(F.size("hs") >= least)
-    return rows.select("k", "doc_id", F.size("hs").alias("n"), F.xxhash64("hs").alias("a"), F.xxhash64(F.lit(1), "hs").alias("b"), "hs")
+    rows = docs.select("k", "doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("hs"))
+    rows = rows.select("k", "doc_id", F.size("hs").alias("n"), F.when(F.size("hs") >= least, F.col("hs")).alias("hs"))
+    return rows.select("k", "doc_id", "n", F.xxhash64("hs").alias("a"), F.xxhash64(F.lit(1), "hs").alias("b"), "hs")
 
 
 def _placed(spots: Column, key: Callable[[Column], Column]) -> Column:
@@ -43,7 +46,7 @@ def _placed(spots: Column, key: Callable[[Column], Column]) -> Column:
 
 
 def _run(start: Column, n: int) -> Column:
-    return F.transform(F.sequence(start, start + (n - 1)), lambda j: F.get("hs", j))
+    return F.slice("hs", start + 1, n)
 
 
 def _number(r: Column, at: Column) -> Column:
@@ -122,7 +125,7 @@ def _grow(pairs: DataFrame, names: DataFrame, words: DataFrame, least: int) -> D
     return found.select("r", "k", "x.start", "x.stop").distinct()
 
 
-def _unsettled(repeats: DataFrame, found: DataFrame, names: DataFrame, words: DataFrame, least: int) -> DataFrame:
+def _unsettled(repeats: DataFrame, found: DataFrame, names: DataFrame, words: DataFrame, least: int, store: Store | None = None) -> DataFrame:
     """(key, place, before): runs of ``least`` words, outside ``found``, round anchors that a third place shares.
 
     A fingerprint may first stand in another context than the run round it: only
@@ -134,15 +137,19 @@ def _unsettled(repeats: DataFrame, found: DataFrame, names: DataFrame, words: Da
     held = repeats.filter("times > 2").groupBy(_document(F.col("place")).alias("r"))
     wanted = held.agg(F.collect_list(F.struct("key", "place", "first")).alias("held"))
     wanted = wanted.join(names.select("r", "n"), "r").join(settled, "r", "left")
-    inside = lambda s: F.exists("runs", lambda x: (x["start"] <= s) & (s + least <= x["stop"]))
-
     def left(p: Column) -> Column:
         at = _at(p["place"])
         spots = F.sequence(F.greatest(F.lit(0), at - (least - follow)), F.least(at, F.col("n") - least))
-        return F.struct(p["key"], p["place"], p["first"], F.filter(spots, lambda s: F.col("runs").isNull() | ~inside(s)).alias("spots"))
+        # the runs that can hold a spot, found once a place
+        near = F.coalesce(F.filter("runs", lambda x: (x["start"] <= at) & (x["stop"] >= at + follow)), F.array())
+        inside = lambda near, s: F.exists(near, lambda x: (x["start"] <= s) & (s + least <= x["stop"]))
+        outside = F.transform(F.array(near), lambda n: F.filter(spots, lambda s: ~inside(n, s)))[0]
+        return F.struct(p["key"], p["place"], p["first"], outside.alias("spots"))
 
     unsettled = F.filter(F.transform("held", left), lambda p: F.size(p["spots"]) > 0)
     wanted = wanted.select("r", F.explode(unsettled).alias("p")).select("r", "p.*")
+    if store is not None:  # it is read twice
+        wanted = store.save(wanted, "unsettled")
     later = wanted.filter("place <> first").select("key").distinct()
     spots = wanted.join(later, "key", "left_semi").select("r", F.explode("spots").alias("s"))
     spots = spots.groupBy("r").agg(F.collect_set("s").alias("spots")).join(names.select("r", "k"), "r").join(words, "k")
@@ -161,7 +168,9 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, store: Store | None = Non
     are not laid beside others.
     """
     store = store or Store(docs.sparkSession, "passages")
-    rows = store.save_buckets(_words(docs, least), "words", "k")
+    # texts are dealt, not the hashes of their words, which take up more and cannot be packed
+    keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), "doc_id", "text")
+    rows = store.save_buckets(keyed, "words", "k", lambda dealt: _words(dealt, least)).filter(F.col("n") >= least)
     store.release()
     kinds = store.save(rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "k", "n")).alias("first")), "kinds")
     copies = rows.select("k", "n", "a", "b").join(kinds, ["a", "b"]).filter("k <> first.k")
@@ -177,7 +186,7 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, store: Store | None = Non
     pairs = store.save(_alignments(repeats), "pairs")
     found = store.save(_grow(pairs, names, words, least), "found")
     store.release()
-    windows = store.save(_unsettled(repeats, found, names, words, least), "windows")
+    windows = store.save(_unsettled(repeats, found, names, words, least, store), "windows")
     store.drop(repeats)
     again = store.save(_alignments(_repeats(windows)), "again")
     store.drop(windows)
