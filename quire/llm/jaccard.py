@@ -31,6 +31,8 @@ STAR_ROUNDS = 6
 FEW = 24
 #: A class settles under a signature when it differs from the hub by at most so many times what similar sets can.
 REACH = 4
+#: Signatures are settled pair by pair as soon as they hold so many classes on average, as a class sees it.
+DIRECT = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -409,7 +411,8 @@ def _connect(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     first and as many as the prefix filter asks for, become signatures of the
     next round; classes far from the hub stay under their signature. So thousands of
     variants of one text do not cost a comparison a pair. What ``STAR_ROUNDS``
-    leave is compared pair by pair. The first round compares with hubs only.
+    leave is compared pair by pair, and before that as soon as a row of ``live`` meets ``DIRECT`` others
+    at most, on average: further rounds would compare more than is left. The first round compares with hubs only.
     """
     live, tested = shared, None
     for turn in range(STAR_ROUNDS + 1):
@@ -418,25 +421,26 @@ def _connect(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
         if live.isEmpty():
             break
         if turn:
-            few = live if turn == STAR_ROUNDS else live.filter(F.col("members") <= FEW)
-            other = few.select("sig", *[F.col(c).alias(f"other_{c}") for c in ("cls", "comp", "probe", "n")])
+            last = turn == STAR_ROUNDS or turn > 1 and live.agg(F.avg("members")).first()[0] <= DIRECT
+            few = live if last else live.filter(F.col("members") <= FEW)
+            other = few.select("sig", *[F.col(c).alias(f"other_{c}") for c in ("cls", "comp", "probe", "n", "weight")])
             alike = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
+            alike &= (100 + percent) * _apart("weight", "other_weight") <= (100 - percent) * (F.col("n") + F.col("other_n"))
             pairs = few.join(other, "sig").filter(alike & F.expr("cls < other_cls and comp <> other_comp and (probe or other_probe)"))
             pairs = pairs.select("cls", F.col("other_cls").alias("hub")).distinct().join(tested, ["cls", "hub"], "left_anti")
             met = _compare(pairs, sets, percent, store, f"direct{turn}")
             labels = components(_links(met, labels, store), labels, store)
-            if turn == STAR_ROUNDS:
+            if last:
                 break
             tested = tested.unionByName(met.select("cls", "hub"))
             live = live.filter(F.col("members") > FEW)
-        hub = F.max(F.struct("probe", "weight", "cls")).alias("hub")
-        starred = live.join(live.groupBy("sig").agg(hub), "sig").select("sig", "cls", "weight", "probe", F.col("hub.cls").alias("hub"))
+        hub = F.max(F.struct("probe", "weight", "cls", "n")).alias("hub")
+        columns = ["sig", "cls", "weight", "probe", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")]
+        starred = live.join(live.groupBy("sig").agg(hub), "sig").select(columns)
         starred = store.save(starred.filter("cls <> hub"), f"starred{turn}")
-        pairs = starred.select("hub", "cls").distinct()
-        if turn == 0:  # only links count here, and sizes rule some out
-            ns = labels.select("cls", "n")
-            pairs = pairs.join(ns, "cls").join(ns.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n")), "hub")
-            pairs = pairs.filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "cls")
+        alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+        # at first only links count, and sizes rule some out
+        pairs = (starred if turn else starred.filter(alike)).select("hub", "cls").distinct()
         met = _compare(pairs, sets, percent, store, f"met{turn}", REACH if turn else 0)
         labels = components(_links(met, labels, store), labels, store)
         seen = met.select(F.least("hub", "cls").alias("cls"), F.greatest("hub", "cls").alias("hub"))
@@ -450,6 +454,15 @@ def _connect(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     return labels
 
 
+def _apart(weight: str, other: str) -> Column:
+    """Lower bound of what two classes under one signature differ by.
+
+    Under a signature from differences, weights are the negative differences from the same hub.
+    """
+    both = (F.col(weight) < 0) & (F.col(other) < 0)
+    return F.when(both, F.abs(F.col(weight) - F.col(other))).otherwise(0)
+
+
 def _links(met: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
     """Edges (a, b) between the components of linked pairs."""
     edges = met.filter("linked").select("hub", "cls")
@@ -464,7 +477,9 @@ def _differences(met: DataFrame, labels: DataFrame, percent: int, store: Store)
     Let x and y be similar, in different components, with differences dx and
     dy from the hub. One of them is not linked to the hub, say y, and then dx
     and dy share more than |dx| p / (100 + p) elements, and at least
-    |dy| less what similar sets can differ. Either set's prefix follows.
+    |dy| less what similar sets can differ. Either set's prefix follows. Of two differences
+    the one that is not greater shares all but half of what similar sets can differ, so the first
+    elements of its prefix suffice: these probe, and the others are only found.
     """
     near = met.filter("diff is not null").join(labels.select("cls", "comp"), "cls")
     mixed = near.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
@@ -476,7 +491,8 @@ def _differences(met: DataFrame, labels: DataFrame, percent: int, store: Store)
     prefix = F.when(F.col("linked"), F.col("differ") - F.floor(F.col("differ") * percent / (100 + percent)))
     prefix = prefix.otherwise(F.least("differ", F.col("most") + 1))
     chosen = rows.withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("times") > 1))
-    return chosen.select(F.xxhash64("hub", "e").alias("sig"), "cls", (-F.col("differ")).cast("long").alias("weight"), F.lit(True).alias("probe"))
+    probe = F.col("rank") <= F.floor(F.col("most") / 2) + 1
+    return chosen.select(F.xxhash64("hub", "e").alias("sig"), "cls", (-F.col("differ")).cast("long").alias("weight"), probe.alias("probe"))
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
