@@ -46,9 +46,17 @@ def upsert(
     Only ``update_cols`` change on a conflict; ids and carried columns survive,
     and an incoming null does overwrite. The result has the schema of ``existing``.
     """
+    return applied(existing, incoming_rows(incoming, existing.schema, keys, update_cols, order_col), keys, update_cols)
+
+
+def incoming_rows(incoming: DataFrame, schema: StructType, keys: list[str], update_cols: list[str], order_col: str) -> DataFrame:
+    """The rows of a batch that count, one a key, with the columns of ``schema``."""
     ties = [F.col(c).desc_nulls_last() for c in update_cols]
-    batch = latest_per_key(incoming, keys, [F.col(order_col).desc_nulls_last(), *ties])
-    fresh = _as_schema(batch, existing.schema, keys)
+    return _as_schema(latest_per_key(incoming, keys, [F.col(order_col).desc_nulls_last(), *ties]), schema, keys)
+
+
+def applied(existing: DataFrame, fresh: DataFrame, keys: list[str], update_cols: list[str]) -> DataFrame:
+    """``existing`` with rows of its own columns, one a key, inserted or updated."""
     marked = fresh.select(*[F.col(c).alias(f"_new_{c}") for c in fresh.columns], F.lit(True).alias("_hit"))
     on = F.lit(True)
     for key in keys:

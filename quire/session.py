@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDER: dict[str, str] = {}
+_PASSING = threading.local()
 
 
 def local_session(cpus: int | str = "*", app: str = "quire", shuffle_partitions: int = 8) -> SparkSession:
@@ -50,7 +55,33 @@ def _own_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{'/'.join([_own_folder(spark), *getattr(_PASSING, 'folders', [])])}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Cut points made inside go when it ends well; results that read them must be stored elsewhere by then."""
+    outer = getattr(_PASSING, "folders", [])
+    _PASSING.folders = [*outer, f"passing-{uuid.uuid4().hex}"]
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join([_own_folder(spark), *_PASSING.folders]))
+    try:
+        yield
+    finally:
+        _PASSING.folders = outer
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def at_once(*steps: Callable[[], None]) -> None:
+    """Run steps that do not need each other side by side: short Spark jobs leave most cores idle one after the other."""
+    folders = getattr(_PASSING, "folders", [])
+
+    def run(step: Callable[[], None]) -> None:
+        _PASSING.folders = folders
+        step()
+
+    with ThreadPoolExecutor(max(1, len(steps))) as pool:
+        for done in [pool.submit(run, step) for step in steps]:
+            done.result()
 
 
 def drop_scratch(spark: SparkSession) -> None:

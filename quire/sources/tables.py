@@ -12,13 +12,15 @@ partitions without counts, as a broken write leaves them, are counted when read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators.upsert import UPSERTS, upsert
+from quire.operators.upsert import UPSERTS, applied, incoming_rows
 from quire.schemas import TABLES
-from quire.session import materialise
+from quire.session import materialise, passing
 
 PARTS = 64
 
@@ -61,7 +63,8 @@ class StateTables:
             return self.spark.read.schema("parts int").json(f"{self.root}/_parts/data").first().parts
         return PARTS if any(self.exists(name) for name in UPSERTS) else None  # stored before the number was
 
-    def _keep_parts(self) -> None:
+    def begin(self) -> None:
+        """Store the number of parts, before the first write."""
         if not self.exists("_parts"):
             one = self.spark.createDataFrame([(self.parts,)], "parts int").coalesce(1)
             one.write.mode("overwrite").json(f"{self.root}/_parts/data")
@@ -98,9 +101,49 @@ class StateTables:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
-    def read(self, name: str) -> DataFrame:
-        """The table, or an empty one with its schema."""
-        return self._stored(name).select(*TABLES[name].names)
+    def read(self, name: str, among: DataFrame | None = None) -> DataFrame:
+        """The table, or an empty one with its schema; with ``among`` (key columns) only its rows of these keys."""
+        rows, later = self._stored(name).select(*TABLES[name].names), self._later(name)
+        if among is not None:
+            rows = rows.join(among, UPSERTS[name][0], "left_semi")
+        if not later:
+            return rows
+        keys, columns = UPSERTS[name]
+        return applied(rows, self._deferred(name, among), keys, columns)
+
+    def _later(self, name: str) -> list[int]:
+        """Numbers of the deferred merges of a table."""
+        if name not in UPSERTS:
+            return []
+        path, store = self._path(f"_later/{name}")
+        names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+        return sorted(int(n.removeprefix("seq=")) for n in names if n.startswith("seq="))
+
+    def _deferred(self, name: str, among: DataFrame | None = None) -> DataFrame:
+        """What the deferred merges come to, one row a key: updated columns as the last has them, others as the first."""
+        keys, columns = UPSERTS[name]
+        schema = T.StructType([*TABLES[name].fields, T.StructField("seq", T.IntegerType())])
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/_later/{name}")
+        if among is not None:
+            rows = rows.join(among, keys, "left_semi")
+        # rows with a null in their key match none, so each merge adds its own
+        apart = F.when(reduce(Column.__or__, [F.col(k).isNull() for k in keys]), F.col("seq"))
+        of_key = Window.partitionBy(*keys, apart).orderBy(F.col("seq").desc())
+        whole = of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        carried = [n for n in TABLES[name].names if n not in keys and n not in columns]
+        ranked = rows.select("*", F.row_number().over(of_key).alias("_n"), F.last(F.struct(*carried)).over(whole).alias("_first") if carried else F.lit(None).alias("_first"))
+        return ranked.filter("_n = 1").select(*[F.col(f"_first.{n}").alias(n) if n in carried else F.col(n) for n in TABLES[name].names])
+
+    def settle(self, *names: str) -> None:
+        """Merge what was deferred, of all tables or those named; repeating it changes nothing."""
+        for name in names or UPSERTS:
+            if self._later(name):
+                keys, columns = UPSERTS[name]
+                with passing(self.spark):
+                    fresh = self._deferred(name)
+                    # read several times where rows are stored already
+                    self._merge(name, materialise(fresh, f"{name}-deferred") if self.exists(name) else fresh, keys, columns)
+                self._delete(f"_later/{name}")
 
     def _part(self, name: str) -> Column:
         return F.pmod(F.xxhash64(*PLACED[name]), F.lit(self.parts)).cast("int")
@@ -129,6 +172,8 @@ class StateTables:
     def counts(self, name: str) -> DataFrame:
         """(listed columns, n): rows of a table by the columns that listings group by, from the stored counts."""
         keys, shape = COUNTED[name], TABLES[name]
+        if self._later(name):
+            return self.read(name).groupBy(*keys).agg(F.count("*").alias("n"))
         schema = T.StructType([*[shape[k] for k in keys], T.StructField("n", T.LongType()), T.StructField("part", T.IntegerType())])
         stored = self._parts_of(f"_counts/{name}")
         found = self.spark.createDataFrame([], schema)
@@ -141,7 +186,7 @@ class StateTables:
         return found.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 0")
 
     def _write(self, name: str, rows: DataFrame, overwrite: str, touched: set[int] | None = None) -> None:
-        self._keep_parts()
+        self.begin()
         self._forget(name, touched)
         # rebalancing splits large partitions and merges small ones by their real size
         (
@@ -154,25 +199,47 @@ class StateTables:
         self.recount(name, touched)
 
     def merge(
-        self, name: str, batch: DataFrame, order_col: str = "file_path", update_cols: list[str] | None = None
+        self, name: str, batch: DataFrame, order_col: str = "file_path", update_cols: list[str] | None = None, later: bool = False
     ) -> None:
-        """Upsert a batch; ``batch`` is read several times, so pass a stored one."""
+        """Upsert a batch; ``batch`` is read several times, so pass a stored one. With ``later`` it is read once and its rows are
+        only put down as a deferred merge, which is one write however much is stored."""
         keys, columns = UPSERTS[name]
+        fresh = incoming_rows(batch, TABLES[name], keys, update_cols or columns, order_col)
+        pending = self._later(name)
+        if update_cols not in (None, columns):
+            later = False
+            if pending:  # these update other columns
+                self.settle(name)
+                pending = []
+        if later or pending:
+            self.begin()
+            fresh.write.mode("overwrite").parquet(f"{self.root}/_later/{name}/seq={max(pending, default=0) + 1}")
+            if not later:
+                self.settle(name)
+            return
+        self._merge(name, fresh, keys, update_cols or columns, batch)
+
+    def _merge(self, name: str, fresh: DataFrame, keys: list[str], columns: list[str], batch: DataFrame | None = None) -> None:
+        """Upsert rows of one a key; ``batch``, by default these, is a stored table with the same keys."""
         part = self._part(name)
         if not self.exists(name):
-            first = upsert(self.read(name), batch, keys, update_cols or columns, order_col)
-            self._write(name, first.withColumn("part", part), "dynamic")
+            self._write(name, fresh.withColumn("part", part), "dynamic")
             return
+        batch = fresh if batch is None else batch
         touched = [r.part for r in batch.select(part.alias("part")).distinct().collect()]  # at most ``parts``
         if not touched:
             return
         existing = self._stored(name).filter(F.col("part").isin(touched)).drop("part")
-        merged = upsert(existing, batch, keys, update_cols or columns, order_col)
-        self._write(name, materialise(merged.withColumn("part", part), name), "dynamic", set(touched))
+        merged = applied(existing, fresh, keys, columns)
+        with passing(self.spark):
+            self._write(name, materialise(merged.withColumn("part", part), name), "dynamic", set(touched))
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Overwrite the whole table."""
-        self._write(name, materialise(rows.withColumn("part", self._part(name)), name), "static")
+        with passing(self.spark):
+            self._write(name, materialise(rows.withColumn("part", self._part(name)), name), "static")
+        if self._later(name):
+            self._delete(f"_later/{name}")
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows to a table."""
@@ -187,13 +254,15 @@ class StateTables:
         self.recount(name)
 
     def _place(self, name: str) -> None:
-        """Bring a table that was stored without partitions into them."""
-        self._keep_parts()
+        """Bring a table that was stored without partitions into them, and deferred merges as well."""
+        self.begin()
+        self.settle(name)
         if self.exists(name) and not self._in_parts(name):
             self.replace(name, self.read(name))
 
     def rows_of(self, name: str, keys: DataFrame) -> DataFrame:
         """Stored rows with the keys of a stored table ``keys``, from the partitions of these only."""
+        self.settle(name)
         touched = [r.part for r in keys.select(self._part(name).alias("part")).distinct().collect()]  # at most ``parts``
         rows = self._stored(name).filter(F.col("part").isin(touched)).drop("part")
         return rows.join(keys.select(*PLACED[name]).distinct(), PLACED[name], "left_semi")
