@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import path_stem
 from quire.schemas import CROSS_REFERENCES, SCRIPTURE_VOLUMES, STUDY_AID_TYPES
+from quire.sources.changed import read_contents
+from quire.sources.listing import list_tree
 
 
 def file_columns(raw: DataFrame, root: str, with_content: bool = True) -> DataFrame:
@@ -29,8 +31,12 @@ def scan_corpus(
 ) -> DataFrame:
     """One row per matching file below ``root``.
 
-    Without ``content`` the scan only lists files and never opens one.
+    Tasks list the tree, so the driver holds no file names. Without ``content`` the scan never opens a
+    file; with it, files that cannot be read are left out. Spark's own scan, which lists on the driver, stands in where only Spark can list.
     """
+    listed = list_tree(spark, root, glob)
+    if listed is not None:
+        return read_contents(listed) if with_content else listed
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
