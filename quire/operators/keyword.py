@@ -12,6 +12,11 @@ form reads only the partitions that hold their terms.
 
 from __future__ import annotations
 
+import gc
+import re
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ TERM_SALTS = 16
 
 # Partitions of a stored postings table.
 TERM_PARTS = 256
+# Stored bytes of postings that are shuffled at a time, for shuffle files take several times as much.
+SLICE_BYTES = 512 << 20
 
 KEYS = ["source_type", "source_id"]
 
@@ -93,18 +100,44 @@ def build_postings(corpus: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame:
     )
 
 
-def stemmed_postings(postings: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def _slices(postings: DataFrame, slice_bytes: int) -> int:
+    """Slices of ``slice_bytes`` in a stored table; 1 for what is made by more than reading, which slices would repeat."""
+    plan = postings._jdf.queryExecution().optimizedPlan()
+    kinds = {re.match(r"[\s:+\-|]*(\w*)", line)[1] for line in plan.toString().strip().split("\n")}
+    if not kinds <= {"Relation", "Project", "Filter", "Union"}:
+        return 1
+    return max(1, -(-int(str(plan.stats().sizeInBytes())) // slice_bytes))
+
+
+def _in_slices(postings: DataFrame, slice_bytes: int) -> Iterator[DataFrame]:
+    """``postings`` in slices by document, one after the other; shuffle files of a slice go before the next one."""
+    n = _slices(postings, slice_bytes)
+    for i in range(n):
+        yield postings if n == 1 else postings.filter(F.pmod(F.xxhash64(*KEYS), F.lit(n)) == i)
+        if n > 1:
+            gc.collect()
+            postings.sparkSession._jvm.System.gc()  # Spark drops the shuffle files of what is not referred to any more
+
+
+def stemmed_postings(postings: DataFrame, vocabulary: DataFrame | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Plain postings under the stems of their terms: frequencies of terms with one stem are added up.
 
     ``vocabulary`` is (term, stem), for instance a stored one; by default the distinct terms of
     the postings are stemmed in one table. A task holds the words of its share of the terms in a hash table;
-    a hot term is counted per document, so it does not pile up.
+    a hot term is counted per document, so it does not pile up. A large table is stemmed in slices of documents, each
+    stored before the next, so shuffle files never take more disk than one slice's.
     """
     if vocabulary is None:
         vocabulary = materialise(stems(postings.select("term").distinct()), "stems")
-    # else every posting is sorted by its term first
-    named = postings.join(vocabulary.hint("shuffle_hash"), "term").select(*KEYS, F.col("stem").alias("term"), "tf", "doc_len")
-    return named.groupBy(*KEYS, "doc_len", "term").agg(F.sum("tf").cast("int").alias("tf")).select(*KEYS, "term", "tf", "doc_len")
+
+    def stemmed(some: DataFrame) -> DataFrame:
+        # else every posting is sorted by its term first
+        named = some.join(vocabulary.hint("shuffle_hash"), "term").select(*KEYS, F.col("stem").alias("term"), "tf", "doc_len")
+        return named.groupBy(*KEYS, "doc_len", "term").agg(F.sum("tf").cast("int").alias("tf")).select(*KEYS, "term", "tf", "doc_len")
+
+    if _slices(postings, slice_bytes) == 1:
+        return stemmed(postings)
+    return reduce(DataFrame.unionByName, [materialise(stemmed(some), "stemmed", compression="zstd") for some in _in_slices(postings, slice_bytes)])
 
 
 def query_terms(queries: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame:
@@ -319,20 +352,24 @@ def _term_part(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
-def write_postings(postings: DataFrame, path: str, parts: int = TERM_PARTS) -> DataFrame:
+def write_postings(postings: DataFrame, path: str, parts: int = TERM_PARTS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Store postings by hash of the term, sorted by term inside each file.
 
-    Rebalancing cuts the partition of a hot term into several files.
+    Rebalancing cuts the partition of a hot term into several files. A large stored table is dealt out in
+    slices of documents, each with files of its own.
     """
-    placed = postings.withColumn("term_part", _term_part(F.col("term"), parts))
-    (
-        placed.hint("rebalance", "term_part")
-        .sortWithinPartitions("term_part", "term")
-        .write.mode("overwrite")
-        .partitionBy("term_part")
-        .parquet(path)
-    )
-    return postings.sparkSession.read.schema(placed.schema).parquet(path)
+    spark = postings.sparkSession
+    schema = postings.withColumn("term_part", _term_part(F.col("term"), parts)).schema
+    for i, some in enumerate(_in_slices(postings, slice_bytes)):
+        (
+            some.withColumn("term_part", _term_part(F.col("term"), parts))
+            .hint("rebalance", "term_part")
+            .sortWithinPartitions("term_part", "term")
+            .write.mode("append" if i else "overwrite")
+            .partitionBy("term_part")
+            .parquet(path)
+        )
+    return spark.read.schema(schema).parquet(path)
 
 
 def search_postings(

@@ -90,7 +90,7 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The copy outlives lost executors, is computed once however often it is
@@ -100,7 +100,7 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
-    writer.parquet(path)
+    writer.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

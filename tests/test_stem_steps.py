@@ -65,3 +65,28 @@ def test_postings_are_not_sorted_by_term_to_be_stemmed(spark, frame):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_large_postings_are_stemmed_and_stored_in_slices(spark, frame, tmp_path):
+    """The rows are those of one pass; documents that repeat, null keys and null sources included."""
+    from quire.operators.keyword import _slices, write_postings
+    from quire.session import materialise
+
+    words = ["hope", "hoped", "hoping", "faith", "faiths", "law"]
+    rows = [(s, d, w, 1 + (d or 0) % 3, 9) for s in ("talks", None) for d in (*range(20), 7, None) for w in words]
+    postings = materialise(frame(rows, "source_type string, source_id bigint, term string, tf int, doc_len int"), "postings")
+    size = int(str(postings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert _slices(postings, size) == 1 and _slices(postings, size // 3) > 2
+    assert _slices(postings.groupBy("term").count(), 1) == 1 and _slices(postings.join(postings, "term"), 1) == 1
+    whole = stemmed(keyword.stemmed_postings(postings))
+    sliced = keyword.stemmed_postings(postings, slice_bytes=size // 3)
+    assert stemmed(sliced) == whole and {r[2] for r in sliced.collect()} == {"hope", "faith", "law"}
+    # no shuffle is left to whoever stores them
+    assert "Exchange" not in sliced._jdf.queryExecution().executedPlan().toString()
+    stored = write_postings(sliced, str(tmp_path / "p"), parts=4, slice_bytes=size // 3)
+    assert stemmed(stored.drop("term_part")) == whole
+    assert stemmed(write_postings(postings, str(tmp_path / "p"), parts=4).drop("term_part")) == stemmed(postings)
+
+
+def stemmed(df):
+    return sorted(map(str, df.collect()))
